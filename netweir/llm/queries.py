@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, linededup
+from . import bpe, fingerprint, html, linededup, toxicity
 from .sql import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.visible_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out()), most=12_000)
+    out = toxicity.scores(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"), least=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -39,6 +51,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_html_text": op3_html_text,
+    "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
