@@ -4,7 +4,7 @@ A lexical step turns words into symbols: insults and threats from seed lists and
 (you, they ...), negations, words of reporting, intent.  Three small transducers follow each other and are composed into one
 table: negation marks matches in its reach, reported speech marks matches in what somebody is said to have said, and
 the target transducer joins a match with a target in the same clause.  What comes out per clause is a list of kinds of
-match; a text's score is a logistic function of how many clauses matched each kind, fitted on labelled texts.
+match; a text's score is a logistic function of which kinds its clauses match and how many do, fitted on labelled texts.
 """
 
 from __future__ import annotations
@@ -175,7 +175,8 @@ def grammar(lexicon: Lexicon) -> Grammar:
 
 
 def vector(found: Counter) -> list[float]:
-    return [math.log1p(found[k]) for k in KINDS]
+    """Which kinds of match a text has, and how many in all."""
+    return [*(float(found[k] > 0) for k in KINDS), math.log1p(sum(found.values()))]
 
 
 @dataclass(frozen=True)
@@ -183,7 +184,7 @@ class Model:
     """A lexicon and the weights of the kinds of match, the bias last."""
 
     lexicon: Lexicon = SEEDS
-    weights: tuple[float, ...] = (4.0, 5.0, 1.0, 1.0, 2.0, 5.0, 0.5, 0.5, -3.0)
+    weights: tuple[float, ...] = (3.0, 4.0, 0.5, 0.5, 1.0, 4.0, 0.0, 0.0, 1.0, -3.0)
 
     def score(self, text: str) -> float:
         z = sum(w * x for w, x in zip(self.weights, [*vector(grammar(self.lexicon).matches(text)), 1.0]))
@@ -199,7 +200,7 @@ def terms(text: str) -> set[str]:
 def learned(counts: list[tuple[str, int, int, int]], toxic: int, clean: int, odds: float = 20.0) -> Lexicon:
     """Seeds and the words and stems that mark toxic texts, from rows of (term, toxic texts, clean texts, distinct words).
 
-    A term is taken if it is ``odds`` times as frequent in toxic texts as in clean ones; a stem if at least four toxic texts
+    A term is taken if it is ``odds`` times as frequent in toxic texts as in clean ones; a stem if at least four toxic texts, one in sixty
     and four distinct words of toxic texts have it, a word if at least six toxic texts and one in fifty have it.  Of
     stems that begin alike, the shortest stands for all.
     """
@@ -210,13 +211,13 @@ def learned(counts: list[tuple[str, int, int, int]], toxic: int, clean: int, odd
     known = dict(SEEDS.words)
     stems: set[str] = set()
     for t, a, b, n in sorted(counts, key=lambda r: (len(r[0]), r[0])):
-        if t.endswith("*") and n >= 4 and a >= 4 and marks(a, b) and not any(t[:k] in stems for k in STEM_LENGTHS if k < len(t) - 1):
+        if t.endswith("*") and n >= 4 and a >= max(4, toxic / 60) and marks(a, b) and not any(t[:k] in stems for k in STEM_LENGTHS if k < len(t) - 1):
             stems.add(t[:-1])
     words = [t for t, a, b, _ in counts if not t.endswith("*") and a >= max(6, toxic / 50) and marks(a, b) and t not in known and not any(t[:k] in stems for k in STEM_LENGTHS)]
     return Lexicon(SEEDS.words + tuple((w, "I") for w in sorted(words)), tuple(sorted(stems)))
 
 
-def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50) -> np.ndarray:
+def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton's method; x has a last column of ones."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
