@@ -124,6 +124,9 @@ class Lexicon:
 SEEDS = Lexicon(tuple((w, s) for s, ws in WORDS.items() for w in ws.split()))
 
 
+SEED_WORDS = frozenset(w for w, _ in SEEDS.words)
+
+
 class Grammar:
     """The lexicon's automaton and the composed transducers."""
 
@@ -192,8 +195,8 @@ class Model:
 
 
 def terms(text: str) -> set[str]:
-    """Distinct words of a text, and their beginnings marked by an asterisk."""
-    words = {w for w in TOKEN.findall(text.lower()) if len(w) > 3}
+    """Distinct words of a text that are no seeds, and their beginnings marked by an asterisk."""
+    words = {w for w in TOKEN.findall(text.lower()) if len(w) > 3} - SEED_WORDS
     return words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) > k}
 
 
