@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, linededup, toxicity
+from . import bpe, fingerprint, html, linededup, mixing, toxicity
 from .sql import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,6 +45,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, block_rows=16, cycle=240).select("doc_id", "source", "block", "rank", "slot", "release", "deadline")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_copies(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_source_mix": op7_source_mix,
     "op10_fingerprints": op10_fingerprints,
 }
 
