@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, linededup, mixing, toxicity
+from . import bpe, fingerprint, html, linededup, minhash, mixing, toxicity
 from .sql import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -50,6 +50,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, block_rows=16, cycle=240).select("doc_id", "source", "block", "rank", "slot", "release", "deadline")
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), similar=0.8)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_copies(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mix": op7_source_mix,
+    "op9_near_dups": op9_near_dups,
     "op10_fingerprints": op10_fingerprints,
 }
 
