@@ -195,8 +195,8 @@ class LineIndex:
         touched = cut(self.refs.join(gone, "id", "left_semi").select("k1", "k2").distinct())
         return self._with_refs(self.refs.join(gone, "id", "left_anti"), touched)
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, text, n_lines, n_dropped): each row's text without the lines that a document of larger id holds too.
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+        """(id, text, n_lines, n_dropped, *keep): each row's text without the lines that a document of larger id holds too.
 
         A key of at least ``least`` code points in at least ``min_docs`` documents loses all its lines but those of its
         largest holder.  Null or empty texts are one empty line.  Rows without an id keep all lines; rows that repeat an id
@@ -208,7 +208,8 @@ class LineIndex:
             filters = self.spark.sparkContext.broadcast(Filters([(r["shard"], bytes(r["filter"])) for r in self.filters.collect()], self.shards))
         refs = line_refs(docs, self.least, filters, id_col, text_col).distinct()
         drop = refs.join(self.counts, ["k1", "k2"]).filter(F.col("id") < F.col("last")).groupBy("id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
-        rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(drop, "id", "left")
+        others = [f"_k{n}" for n in range(len(keep))]
+        rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *(docs[c].alias(o) for c, o in zip(keep, others))).join(drop, "id", "left")
         least = self.least
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -222,9 +223,12 @@ class LineIndex:
                 kept.append("\n".join(stay))
                 lines.append(len(all_))
                 dropped.append(len(all_) - len(stay))
-            return pa.record_batch([b.column(0), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["id", "text", "n_lines", "n_dropped"])
+            made = [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+            return pa.record_batch([b.column(0), *made, *b.columns[3:]], ["id", "text", "n_lines", "n_dropped", *others])
 
-        return map_arrow(rows.select("id", "text", "drop"), run, "id long, text string, n_lines long, n_dropped long").withColumnRenamed("id", id_col)
+        kinds = "".join(f", {o} {docs.schema[c].dataType.simpleString()}" for c, o in zip(keep, others))
+        out = map_arrow(rows.select("id", "text", "drop", *others), run, "id long, text string, n_lines long, n_dropped long" + kinds)
+        return out.select(F.col("id").alias(id_col), "text", "n_lines", "n_dropped", *(F.col(o).alias(c) for c, o in zip(keep, others)))
 
     def save(self, path: str) -> None:
         """Write the three tables under a folder; the old ones stay untouched if the folder is a new one."""
@@ -252,6 +256,6 @@ def refilled(old: pd.DataFrame, changes: pd.DataFrame) -> Iterator[pd.DataFrame]
     return pd.DataFrame({"shard": [shard], "filter": [made.dump()]})
 
 
-def dedup_lines(docs: DataFrame, least: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Index a corpus and apply the index to it: (id, text, n_lines, n_dropped); see LineIndex.apply."""
-    return LineIndex(docs.sparkSession, least=least, min_docs=min_docs).insert(docs, id_col, text_col).apply(docs, id_col, text_col)
+def dedup_lines(docs: DataFrame, least: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Index a corpus and apply the index to it: (id, text, n_lines, n_dropped, *keep); see LineIndex.apply."""
+    return LineIndex(docs.sparkSession, least=least, min_docs=min_docs).insert(docs, id_col, text_col).apply(docs, id_col, text_col, keep)

@@ -285,6 +285,17 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is under ``least``, with all columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.score(t or "") < least for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5):
     """Whether a row's label may not be learned from: crc32 of the id as text leaves no rest."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
