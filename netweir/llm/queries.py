@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, linededup, minhash, mixing, toxicity
+from . import bpe, fingerprint, html, linededup, minhash, mixing, suffix, toxicity
 from .sql import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -50,6 +50,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, block_rows=16, cycle=240).select("doc_id", "source", "block", "rank", "slot", "release", "deadline")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), similar=0.8)
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mix": op7_source_mix,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dups": op9_near_dups,
     "op10_fingerprints": op10_fingerprints,
 }
