@@ -19,3 +19,22 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS BIGINT)) AS BIGINT)
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+#: Character i of a digest in base 32 is its bits 5i to 5i+4, which lie in two hexadecimal digits.
+ORACLE["op1_warc"] = r"""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+    SELECT page_id, strlen(payload) AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first,
+        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            ((((strpos('0123456789abcdef', substr(h, (5 * i) // 4 + 1, 1)) - 1) * 16
+              + strpos('0123456789abcdef', substr(h, (5 * i) // 4 + 2, 1)) - 1) >> (3 - (5 * i) % 4)) & 31)::BIGINT + 1, 1)
+            for i in range(0, 32)], '') AS payload_digest
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+#: Brute force over all 50-byte strings is too slow on whole tables; tests hold op8 against it on a small fixture.
