@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, linededup, minhash, mixing, suffix, toxicity, warc
+from . import bpe, fingerprint, html, linededup, media, minhash, mixing, suffix, toxicity, warc
 from .sql import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.media_of_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"), least=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
+    "op5_image_copies": op5_image_copies,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_substring_dedup": op8_substring_dedup,
