@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import flows
+from . import flows, tables
 
-QUERIES = {**flows.QUERIES}
+QUERIES = {**flows.QUERIES, **tables.QUERIES}
