@@ -17,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parts, pieces, total_bytes
+from .common import KEY_BITS, mix, pack, parts, pieces, total_bytes, unpack, unzipped, zipped
 
 LENGTH, ANCHOR, SHALLOW = 50, 16, 16
 SPAN = LENGTH - ANCHOR + 1
 BATCH, BUCKET, HOT = 3 << 20, 6 << 20, 1024
-KEY_BITS = 48
 ODD = mix(np.arange(101, 108, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -104,27 +103,6 @@ def blind_tries(padded: np.ndarray, word: np.ndarray, starts: np.ndarray, order:
         regroup(order, head, live, padded[at + np.repeat(skip, size)[~leaf]])
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted 48-bit numbers: differences, byte by byte, compressed."""
-    step = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
-    return len(keys).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(step.T).tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    step = np.zeros((n, 8), np.uint8)
-    step[:, : KEY_BITS // 8] = np.frombuffer(pa.decompress(data[4:], n * KEY_BITS // 8, codec="zstd"), np.uint8).reshape(-1, n).T
-    return np.cumsum(step.view("<u8").reshape(-1), dtype=np.uint64)
-
-
-def zipped(x: np.ndarray) -> bytes:
-    return len(x.tobytes()).to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
-
-
-def unzipped(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd"), kind)
-
-
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Which of the buckets, which are ranges of keys, each key belongs to."""
     return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
