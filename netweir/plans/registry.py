@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import flows, tables
+from . import flows, models, tables
 
-QUERIES = {**flows.QUERIES, **tables.QUERIES}
+QUERIES = {**flows.QUERIES, **tables.QUERIES, **models.QUERIES}
