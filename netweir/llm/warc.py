@@ -84,7 +84,7 @@ def inflated(stream, size: int = READ_BYTES) -> Iterator[bytes]:
         rest = b""
         if out := z.decompress(data, size):
             yield out
-        while z.unconsumed_tail:
+        while z.unconsumed_tail and not z.eof:
             if out := z.decompress(z.unconsumed_tail, size):
                 yield out
         if z.eof:
