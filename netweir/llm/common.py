@@ -79,6 +79,8 @@ def pack(keys: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
     step = np.zeros((n, 8), np.uint8)
     step[:, : KEY_BITS // 8] = np.frombuffer(pa.decompress(data[4:], n * KEY_BITS // 8, codec="zstd"), np.uint8).reshape(-1, n).T
     return np.cumsum(step.view("<u8").reshape(-1), dtype=np.uint64)

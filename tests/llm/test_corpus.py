@@ -261,3 +261,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         docs_ = stage(spark, docs_, str(tmp_path))
         assert docs_.columns == d.columns, name
     assert toxicity.Model().score("") < 0.5 and hashlib
+
+
+def test_packed_keys_come_back():
+    from netweir.llm.common import pack, unpack
+
+    for keys in ([], [0], [5, 6, 1 << 47], list(range(0, 10**6, 7))):
+        assert unpack(pack(np.array(keys, np.uint64))).tolist() == keys
