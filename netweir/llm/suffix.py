@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from .common import KEY_BITS, mix, pack, parts, pieces, total_bytes, unpack, unz
 
 LENGTH, ANCHOR, SHALLOW = 50, 16, 16
 SPAN = LENGTH - ANCHOR + 1
-BATCH, BUCKET, HOT = 3 << 20, 6 << 20, 1024
+BATCH, BUCKET, CHUNK, HOT = 3 << 20, 3 << 20, 1 << 19, 1024
 ODD = mix(np.arange(101, 108, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -108,6 +109,40 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def runs(data: np.ndarray, ends: np.ndarray, offset: int, first_doc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, strings, anchor's key, document) of the stretches of strings with one anchor, in documents that end at ``ends``."""
+    none = np.zeros(0, np.int64)
+    nothing = (none, none, np.zeros(0, np.uint64), none)
+    n = len(data)
+    if n < LENGTH:
+        return nothing
+    word = words_at(np.concatenate((data, np.zeros(8, np.uint8))), "<")
+    h = word[: n - ANCHOR + 1] * ODD[0] + word[8 : n - ANCHOR + 9] * ODD[1]
+    del word
+    h = (h ^ (h >> np.uint64(31))) * ODD[2]
+    h ^= h >> np.uint64(29)
+    best, at, wide = h, np.arange(len(h), dtype=np.int32), 1
+    while wide < SPAN:  # the least hash, leftmost first, over windows of growing width
+        step = min(wide, SPAN - wide)
+        right = best[step:] < best[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        best = np.where(right, best[step:], best[:-step])
+        wide += step
+    begin = np.concatenate(([0], ends[:-1]))
+    whole = np.zeros(n + 1, np.int32)
+    long = ends - begin >= LENGTH
+    whole[begin[long]] += 1
+    np.add.at(whole, ends[long] - LENGTH + 1, -1)
+    valid = np.flatnonzero(np.cumsum(whole[: n - LENGTH + 1]) > 0)
+    if not len(valid):
+        return nothing
+    anchor = at[valid]
+    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    start = valid[first]
+    key = h[anchor[first]] >> np.uint64(64 - KEY_BITS)
+    return start + offset, np.diff(np.append(first, len(valid))), key, np.searchsorted(ends, start, side="right") + first_doc
+
+
 class Batch:
     """The documents of a batch in the order of their ids, and the runs of strings that have the same anchor."""
 
@@ -117,38 +152,14 @@ class Batch:
         self.ends = np.cumsum([len(t) for _, t in rows])
         self.raw = b"".join(t for _, t in rows)
         self.data = np.frombuffer(self.raw, np.uint8)
-        n = len(self.data)
         none = np.zeros(0, np.int64)
-        self.start = self.count = self.doc = none
-        self.key = np.zeros(0, np.uint64)
-        if n < LENGTH:
-            return
-        self.word = words_at(np.concatenate((self.data, np.zeros(8, np.uint8))), "<")
-        w = self.word[: n - ANCHOR + 1]
-        h = w * ODD[0] + self.word[8 : n - ANCHOR + 9] * ODD[1]
-        h = (h ^ (h >> np.uint64(31))) * ODD[2]
-        h ^= h >> np.uint64(29)
-        best, at, wide = h, np.arange(len(h), dtype=np.int32), 1
-        while wide < SPAN:  # the least hash, leftmost first, over windows of growing width
-            step = min(wide, SPAN - wide)
-            right = best[step:] < best[:-step]
-            at = np.where(right, at[step:], at[:-step])
-            best = np.where(right, best[step:], best[:-step])
-            wide += step
-        begin = np.concatenate(([0], self.ends[:-1]))
-        whole = np.zeros(n + 1, np.int32)
-        long = self.ends - begin >= LENGTH
-        whole[begin[long]] += 1
-        np.add.at(whole, self.ends[long] - LENGTH + 1, -1)
-        valid = np.flatnonzero(np.cumsum(whole[: n - LENGTH + 1]) > 0)
-        if not len(valid):
-            return
-        anchor = at[valid]
-        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        self.start = valid[first]
-        self.count = np.diff(np.append(first, len(valid)))
-        self.key = h[anchor[first]] >> np.uint64(64 - KEY_BITS)
-        self.doc = np.searchsorted(self.ends, self.start, side="right")
+        found = [(none, none, np.zeros(0, np.uint64), none)]
+        first = begin = 0
+        for k, end in enumerate(self.ends.tolist(), 1):  # some documents at a time, to bound the memory of the hashes
+            if end - begin >= CHUNK or k == len(self.ends):
+                found.append(runs(self.data[begin:end], self.ends[first:k] - begin, begin, first))
+                first, begin = k, end
+        self.start, self.count, self.key, self.doc = map(np.concatenate, zip(*found))
 
     def keep(self, keys: np.ndarray, hot: np.ndarray) -> None:
         """Only runs whose anchor is one of the keys, or in several documents of this batch; runs of hot anchors string by string."""
@@ -163,8 +174,10 @@ class Batch:
         self.count = np.where(np.repeat(split, each), 1, np.repeat(count, each))
         self.doc = np.repeat(doc, each)
         own = np.zeros(len(self.start), np.uint64)
-        for j, o in enumerate((0, 8, 16, 24, 32, 40, 42)):
-            own += self.word[self.start + o] * ODD[j] if len(own) else own
+        if split.any():
+            word = words_at(np.concatenate((self.data, np.zeros(8, np.uint8))), "<")
+            for j, o in enumerate((0, 8, 16, 24, 32, 40, 42)):
+                own += word[self.start + o] * ODD[j]
         self.key = np.where(np.repeat(split, each), mix(own) >> np.uint64(64 - KEY_BITS), np.repeat(key, each))
 
     def distinct(self, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -219,7 +232,7 @@ def common_anchors(sent: pa.Table, hot: int) -> pa.Table:
 def opened(docs: pa.Table, control: pa.Table) -> Batch:
     """A batch cut down to the runs that can matter."""
     batch = Batch(docs)
-    mine = control.filter(pa.compute.equal(control["kind"], 0))
+    mine = control.filter(pc.equal(control["kind"], 0))
     none = np.zeros(0, np.uint64)
     batch.keep(*(np.sort(np.concatenate([none, *map(unpack, mine[c].to_pylist())])) for c in "ab"))
     return batch
@@ -278,7 +291,7 @@ def cleaned(docs: pa.Table, control: pa.Table, buckets: int) -> pa.Table:
     """The documents of a batch without what smaller documents hold."""
     batch = opened(docs, control)
     number, firsts = batch.distinct(buckets)
-    mine = control.filter(pa.compute.equal(control["kind"], 1)).sort_by("bucket")
+    mine = control.filter(pc.equal(control["kind"], 1)).sort_by("bucket")
     none = np.zeros(0, np.int64)
     masks = np.concatenate([none, *(unzipped(x, np.int64) for x in mine["a"].to_pylist())])
     first = np.concatenate([none, *firsts])
