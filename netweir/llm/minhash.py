@@ -3,9 +3,10 @@
 A shingle is five words in a row; its weight is its count in the text times the mean inverse document frequency of its words.
 Document frequencies are counted over all documents, in a table of SLOTS slots by a hash of the word, so the table's size
 does not depend on the corpus.  Each text gets SAMPLES consistent weighted samples; texts that agree on all samples of a band
-share a bucket.  Buckets of few texts give all their pairs.  Larger ones are split by a second band, and what is still large
-pairs each text with one leader of the bucket: near copies share many buckets, and components join what leaders join.  Pairs
-whose samples agree too seldom are put aside, all others are verified by the exact weighted Jaccard similarity.
+share a bucket.  Buckets of few texts give all their pairs.  Texts that larger buckets connect are a group: it is cut into
+blocks by total weight, and each two blocks that may hold similar texts are compared whole, as matrices, so that counts of
+links and a forest leave them, not pairs.  Pairs whose samples agree too seldom are put aside, all others that share a bucket
+are verified by the exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import candidates
+from .buckets import grouped
 from .common import cut, mix, pack, strings, unpack, unzipped, zipped
 from .components import components
 
@@ -28,6 +29,8 @@ SAMPLES = BANDS * ROWS
 SLOTS, RANGES = 1 << 20, 64
 #: Share of equal samples below which a pair cannot reach the similarity, but for a chance of about one in ten million.
 FEWEST = 0.48
+#: The most texts, and about the most shingles, of a block; columns and cells of the matrices that compare two blocks.
+BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS, CELLS = 1024, 1 << 21, 4096, 1 << 24
 ODD = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 PIECE = 2 << 20
 
@@ -193,7 +196,7 @@ def likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def weighted_sets(rows: DataFrame, idf) -> DataFrame:
-    """(id, hashes, weights): the distinct shingles of each text in order of their hashes, as packed numbers."""
+    """(id, hashes, weights, total weight): the distinct shingles of each text in order of their hashes, as packed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in by_pieces(batches):
@@ -201,11 +204,11 @@ def weighted_sets(rows: DataFrame, idf) -> DataFrame:
             owner, h, w = shingles(words, starts, idf.value)
             cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array([pack(h[i:j] >> np.uint64(16)) for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array([zipped(w[i:j].astype(np.float32)) for i, j in zip(cuts, cuts[1:])], pa.binary())],
-                ["id", "h", "w"],
+                [pa.array(ids, pa.int64()), pa.array([pack(h[i:j] >> np.uint64(16)) for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array([zipped(w[i:j].astype(np.float32)) for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array([float(w[i:j].astype(np.float32).sum(dtype=float)) for i, j in zip(cuts, cuts[1:])], pa.float64())],
+                ["id", "h", "w", "total"],
             )
 
-    return rows.mapInArrow(run, "id long, h binary, w binary")
+    return rows.mapInArrow(run, "id long, h binary, w binary, total double")
 
 
 def jaccard(h: bytes, w: bytes, g: bytes, v: bytes) -> float:
@@ -230,6 +233,119 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
+def blocks(groups: DataFrame, sets: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """The texts of (id, label) groups, once for each two blocks they are compared in: (label, c, s, t, right, id, ...).
+
+    Class c of a text is the power of 1/least that its total weight reaches.  Similar texts are in one class or in neighbours,
+    as the weight of one is at least ``least`` of the other's.  Classes are dealt to blocks by a hash of the id.  Block s of
+    class c meets block t of the same class, s <= t, and the blocks of class c + 1, whose numbers t are negative: -1 is the first.
+    """
+    base = 1 / min(least * (1 - 1e-9), 0.99)  # a little more, so that rounding can't part neighbours
+    level = F.floor(F.log("total") / float(np.log(base))).cast("int")
+    each = F.greatest(F.lit(16), F.least(F.lit(BLOCK_TEXTS), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(base), F.col("c")))))
+    member = cut(groups.join(sets.select("id", "total"), "id").withColumn("c", level).select("id", "label", "c"))
+    count = member.groupBy("label", "c").agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / each).cast("int")).select("label", "c", "k")
+    up, down = count.select("label", (F.col("c") - 1).alias("c"), F.col("k").alias("above")), count.select("label", (F.col("c") + 1).alias("c"), F.col("k").alias("below"))
+    dealt = member.join(count, ["label", "c"]).join(up, ["label", "c"], "left").join(down, ["label", "c"], "left").withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    at = lambda c, s, t, right: F.struct(c.alias("c"), s.cast("int").alias("s"), t.cast("int").alias("t"), F.lit(right).alias("right"))
+    same = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: at(F.col("c"), F.least("s", t), F.greatest("s", t), False))
+    same = F.transform(same, lambda x: F.struct(x["c"].alias("c"), x["s"].alias("s"), x["t"].alias("t"), ((x["t"] == F.col("s")) & (x["s"] != x["t"])).alias("right")))
+    none = F.array().cast("array<struct<c:int,s:int,t:int,right:boolean>>")
+    higher = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(1), F.col("above")), lambda t: at(F.col("c"), F.col("s"), -t, False))).otherwise(none)
+    lower = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda s: at(F.col("c") - 1, s, -1 - F.col("s"), True))).otherwise(none)
+    places = dealt.select("id", "label", F.explode(F.concat(same, higher, lower)).alias("at")).select("id", "label", "at.*")
+    return places.join(own.select("id", "bands", "samples"), "id").join(sets, "id")
+
+
+def shared_weights(h: list[np.ndarray], w: list[np.ndarray], m: int) -> np.ndarray | None:
+    """Sums of the lesser weights of the sets before m with those from m on; None if that takes too many cells.
+
+    A shingle is a column for each of its weights, of the step from the weight before: products of rows then add up minima.
+    """
+    row, key, weight = np.repeat(np.arange(len(h)), [len(x) for x in h]), np.concatenate(h), np.concatenate(w)
+    order = np.lexsort((weight, key))
+    row, key, weight = row[order], key[order], weight[order]
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))
+    step = fresh | np.concatenate(([True], weight[1:] != weight[:-1]))
+    column = np.cumsum(step) - 1
+    start = np.flatnonzero(step)
+    height = weight[start] - np.where(fresh[start], 0.0, np.concatenate(([0.0], weight[start][:-1])))
+    base = np.maximum.accumulate(np.where(fresh[start], np.arange(len(start)), 0))[column]
+    times = column - base + 1
+    if times.sum() > CELLS:
+        return None
+    row = np.repeat(row, times)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(base, times)
+    both = (np.bincount(column[row < m], minlength=len(start)) > 0) & (np.bincount(column[row >= m], minlength=len(start)) > 0)
+    inside = both[column]
+    row, column, height = row[inside], (np.cumsum(both) - 1)[column[inside]], height[both]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((m, len(h) - m))
+    for c in range(0, len(height), COLUMNS):
+        i, j = np.searchsorted(column, (c, c + COLUMNS))
+        x = np.zeros((len(h), min(COLUMNS, len(height) - c)))
+        x[row[i:j], column[i:j] - c] = 1
+        out += (x[:m] * height[c : c + COLUMNS]) @ x[m:].T
+    return out
+
+
+def compared(table: pa.Table, least: float) -> pa.Table:
+    """(a, b, n) for the texts of two blocks, or of one: how many links a has if b is null, else that both are of one class."""
+    t = table.to_pydict()
+    right = np.array(t["right"], bool)
+    one = not right.any() and t["t"][0] == t["s"][0]
+    x = np.arange(len(right)) if one else np.flatnonzero(~right)
+    y = x if one else np.flatnonzero(right)
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    if not len(x) or not len(y):
+        return none
+    bands = np.array(t["bands"], np.int64)
+    samples = np.frombuffer(b"".join(t["samples"]), np.uint32).reshape(len(right), -1)
+    meet = np.zeros((len(x), len(y)), bool)
+    for k in range(bands.shape[1]):
+        meet |= bands[x, k][:, None] == bands[y, k]
+    alike = np.zeros(meet.shape, np.int16)
+    for k in range(samples.shape[1]):
+        alike += samples[x, k][:, None] == samples[y, k]
+    meet &= alike / samples.shape[1] >= FEWEST
+    total = np.array(t["total"])
+    low, high = np.minimum(total[x][:, None], total[y]), np.maximum(total[x][:, None], total[y])
+    meet &= low >= least * high * (1 - 1e-9)
+    if one:
+        meet = np.triu(meet, 1)
+    i, j = np.nonzero(meet)
+    if not len(i):
+        return none
+    shared, p, q = None, np.unique(i), np.unique(j)
+    h, w = {}, {}
+    for k in {*x[p].tolist(), *y[q].tolist()}:
+        h[k], w[k] = unpack(t["h"][k]), unzipped(t["w"][k], np.float32).astype(float)
+    if len(i) > 2 * (len(p) + len(q)):
+        shared = shared_weights([h[k] for k in (*x[p], *y[q])], [w[k] for k in (*x[p], *y[q])], len(p))
+    if shared is not None:
+        shared = shared[np.searchsorted(p, i), np.searchsorted(q, j)]
+    else:
+        shared = np.zeros(len(i))
+        for n, (a, b) in enumerate(zip(x[i], y[j])):
+            _, f, g = np.intersect1d(h[a], h[b], assume_unique=True, return_indices=True)
+            shared[n] = np.minimum(w[a][f], w[b][g]).sum()
+    good = shared / (total[x[i]] + total[y[j]] - shared) >= least
+    i, j = x[i[good]], y[j[good]]
+    n_links = np.bincount(i, minlength=len(right)) + np.bincount(j, minlength=len(right))
+    label = np.arange(len(right))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    ids, linked, moved = np.array(t["id"]), np.flatnonzero(n_links), np.flatnonzero(label != np.arange(len(right)))
+    return pa.table({"a": pa.array([*ids[linked], *ids[moved]], pa.int64()), "b": pa.array([*[None] * len(linked), *ids[label[moved]]], pa.int64()), "n": pa.array([*n_links[linked], *[0] * len(moved)], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links) of every row: the least id of its group, and with how many other texts it was found similar.
 
@@ -246,12 +362,16 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     copies = all_.select("id", "digest").join(heads, "digest").groupBy("id").agg(F.min("head").alias("head"))
     first = heads.groupBy(F.col("head").alias("id")).agg(F.min("digest").alias("digest"))
     own = cut(all_.join(first, ["id", "digest"], "left_semi"))
-    pairs = cut(likely(candidates(own, BANDS), own).distinct())
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(first, "id")
+    pairs, groups = grouped(own.select("id", "bands"))
+    pairs = cut(likely(pairs, own))
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("id")).distinct().join(first, "id")
     sets = cut(weighted_sets(rows.withColumn("digest", F.unhex(F.md5("text"))).join(wanted, ["id", "digest"], "left_semi").select("id", "text"), idf))
     links = cut(verified(pairs, sets, similar).dropDuplicates(["a", "b"]))
-    ends = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("head")).agg(F.count("*").alias("n_links"))
-    label = components(links).select(F.col("id").alias("head"), "label")
+    # what the blocks of large groups give
+    within = cut(blocks(groups, sets, own, similar).groupBy("label", "c", "s", "t").applyInArrow(lambda t: compared(t, similar), "a long, b long, n long"))
+    one = F.lit(1).cast("long").alias("n")
+    ends = links.select("a", one).union(links.select("b", one)).union(within.filter("b is null").select("a", "n")).groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n_links"))
+    label = components(links.select("a", "b").union(within.select("a", "b"))).select(F.col("id").alias("head"), "label")
     known = copies.join(label, "head", "left").join(ends, "head", "left").select("id", F.coalesce("label", "head").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = rows.select("id").join(known, "id", "left").select("id", "class_id", "n_links")
     return out.withColumnRenamed("id", id_col)

@@ -220,6 +220,43 @@ def test_large_buckets_stay_connected(spark):
     assert len({labels[i] for i in range(0, n, 2)}) == 1 and len(labels) == n
 
 
+def test_large_groups_give_all_links(spark, monkeypatch):
+    # copies of one text are similar to it, not to each other: every link of the group counts, in blocks of any size
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    text = [word() for _ in range(200)]
+    rows = [(1000, " ".join(text))]
+    for i in range(150):
+        w = list(text)
+        for k in rng.sample(range(10, 190, 9), 3):
+            w[k] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(2000 + i, " ".join(text + [word() for _ in range(4 * i)])) for i in range(1, 40)]
+    expected, sim = brute_classes(rows, 0.8)
+    sure, most = Counter(), Counter()
+    for (a, _), (b, _) in itertools.combinations(rows, 2):
+        for k in (a, b):
+            sure[k] += sim[(a, b)] >= 0.802
+            most[k] += sim[(a, b)] >= 0.798
+    assert sure[1000] >= 150
+    for texts in (1024, 16):
+        monkeypatch.setattr(minhash, "BLOCK_TEXTS", texts)
+        got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, *rows)).collect()}
+        assert {k: r["class_id"] for k, r in got.items()} == expected
+        assert all(sure[k] <= r["n_links"] <= most[k] for k, r in got.items())
+
+
+def test_weights_shared_by_matrices():
+    rng = np.random.default_rng(3)
+    h = [np.sort(rng.choice(500, 300, replace=False)).astype(np.uint64) for _ in range(7)]
+    w = [rng.integers(1, 4, 300) * (1 + x / 512) for x in h]
+    got = minhash.shared_weights(h, w, 3)
+    for i in range(3):
+        for j in range(3, 7):
+            _, f, g = np.intersect1d(h[i], h[j], return_indices=True)
+            assert abs(got[i, j - 3] - np.minimum(w[i][f], w[j][g]).sum()) < 1e-9
+
+
 def test_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 1 << 62, 300).astype(np.uint64))
