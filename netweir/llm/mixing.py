@@ -2,20 +2,28 @@
 
 A source of weight w owes its block j (from 0) between slots floor(j/w) and ceil((j+1)/w): its release time and deadline.
 Filling each slot with the released block of earliest deadline keeps every source within one block of its share of any
-prefix.  Weights are rounded to q/Q with whole q, so that the schedule repeats after Q slots: one cycle is laid out by an
-aggregate over Q slots, and each block finds its slot by its number alone.  When a source runs out, the others go on in a
-new phase with their weights scaled up; so every row is used once, and each phase keeps the bound.
+prefix.  Weights that are plain fractions are taken as such, others as whole numbers of 2^40ths, which no run is long enough
+to tell from the weights given; the slots of all blocks are laid out on the driver in one pass, some ten bytes a block, and joined with the rows.  When a source runs out, the
+others go on in a new phase with their weights scaled up; so every row is used once, and each phase keeps the bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import heapq
+import math
+from array import array
+from fractions import Fraction
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: The most sources that a mix may have; their totals go to the driver and their schedule to every worker.
 MOST_SOURCES = 2000
 ROWS_A_BUCKET = 2048
+#: Parts that a weight is counted in.
+PARTS = 1 << 40
 NO_SOURCE = "\x00none"
 
 
@@ -29,6 +37,16 @@ def quotas(weights: dict[str, float], cycle: int) -> dict[str, int]:
     return out
 
 
+def parts(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in proportion to the weights: exactly if these are plain fractions of their sum, else to a 2^40th."""
+    total = sum(weights.values())
+    plain = {s: Fraction(w / total).limit_denominator(100_000) for s, w in weights.items()}
+    length = math.lcm(*(x.denominator for x in plain.values()))
+    if length <= PARTS and sum(plain.values()) == 1 and all(x > 0 and abs(float(x) - weights[s] / total) < 1e-14 for s, x in plain.items()):
+        return {s: int(x * length) for s, x in plain.items()}
+    return quotas(weights, PARTS)
+
+
 def cycle_slots(quota: Column) -> Column:
     """array<int>: for each slot of a cycle the index of the source that fills it; quota is an array<int> of blocks a cycle."""
     total = F.aggregate(quota, F.lit(0), lambda a, x: a + x)
@@ -54,29 +72,34 @@ def cycle_slots(quota: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), total - 1), start, step, lambda s: s["slots"])
 
 
-def phases(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], cycle: int) -> list[tuple]:
-    """(source, first block, blocks a cycle, cycle length, first slot, slots of the cycle) for each phase and source in it."""
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, tuple[array, array, array]]:
+    """For each source the slots, releases and deadlines of its blocks in order, by the weights themselves."""
     left = {s: n for s, n in sorted(blocks.items()) if n > 0}
-    used = dict.fromkeys(left, 0)
-    slot, out = 0, []
+    out = {s: (array("q"), array("q"), array("q")) for s in left}
+    start = slot = 0
     while left:
-        quota = quotas({s: weights[s] for s in left}, cycle)
-        names, length = list(left), sum(quota.values())
-        order = spark.range(1).select(cycle_slots(F.array(*(F.lit(quota[s]) for s in names)))).first()[0]
-        own: dict[str, list[int]] = {s: [] for s in names}
-        for k, i in enumerate(order):
-            own[names[i]].append(k)
-        out += [(s, used[s], quota[s], length, slot, own[s]) for s in names]
-        whole = min(left[s] // quota[s] for s in names)
-        rest = {s: left[s] - whole * quota[s] for s in names}
-        # the phase ends where a source that has run out would be next
-        end = min((own[s][rest[s]] for s in names if rest[s] < quota[s]), default=0)
-        for s in names:
-            n = whole * quota[s] + sum(k < end for k in own[s])
-            used[s] += n
-            left[s] -= n
-        slot += whole * length + end
+        quota = parts({s: weights[s] for s in left})
+        length = sum(quota.values())
+        done = dict.fromkeys(left, 0)
+        later, ready = [(0, s) for s in left], []
+        while True:
+            t = slot - start
+            while later and later[0][0] <= t:
+                s = heapq.heappop(later)[1]
+                heapq.heappush(ready, (-(-(done[s] + 1) * length // quota[s]), s))
+            deadline, s = heapq.heappop(ready)
+            if not left[s]:
+                break  # the phase ends where a source that has run out would be next
+            for x, y in zip(out[s], (slot, start + done[s] * length // quota[s], start + deadline)):
+                x.append(y)
+            slot += 1
+            left[s] -= 1
+            done[s] += 1
+            if not left[s] and not any(left.values()):
+                break
+            heapq.heappush(later, (done[s] * length // quota[s], s))
         left = {s: n for s, n in left.items() if n > 0}
+        start = slot
     return out
 
 
@@ -100,7 +123,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     """docs with block, slot, rank, release and deadline: each row's block within its source, the block's slot, and the row's
     place in the block.  Sorted by (slot, rank) the rows are the mix.
 
-    ``weights`` are by source; sources without one, or all if None, weigh their number of rows to the given power.  A null
+    ``cycle`` is taken for older callers and has no effect: nothing is rounded to a cycle.  ``weights`` are by source; sources without one, or all if None, weigh their number of rows to the given power.  A null
     source is a source of its own; rows that repeat an id are rows of their own; null ids are ordered like other ids.  An
     empty table gives an empty mix.  Columns named as those added are replaced; names that begin with _ are reserved.
     """
@@ -110,21 +133,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"{source_col} has more than {MOST_SOURCES} values; group them first")
     full = {r["s"]: (weights or {}).get(r["s"], r["n"] ** power) for r in sizes}
-    plan = phases(spark, {r["s"]: -(-r["n"] // block_rows) for r in sizes}, full, cycle)
-    kind = "_source string, first long, quota int, length int, slot long, slots array<int>"
-    steps = spark.createDataFrame(plan, kind).groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("first", "quota", "length", "slot", "slots"))).alias("_steps"))
-    rows = numbered(docs.drop("block", "slot", "rank", "release", "deadline"), source, id_col, seed).join(F.broadcast(steps), "_source")
+    plan = schedule({r["s"]: -(-r["n"] // block_rows) for r in sizes}, full)
+    names = [s for s, (slots, _, _) in plan.items() for _ in slots]
+    flat = [[x for own in plan.values() for x in own[k]] for k in range(3)]
+    numbers = [k for slots, _, _ in plan.values() for k in range(len(slots))]
+    places = pa.table({"_source": pa.array(names, pa.string()), "block": pa.array(numbers, pa.int64()), **{n: pa.array(x, pa.int64()) for n, x in zip(("slot", "release", "deadline"), flat)}})
+    rows = numbered(docs.drop("block", "slot", "rank", "release", "deadline"), source, id_col, seed)
     rows = rows.withColumn("block", F.floor(F.col("_row") / block_rows).cast("long")).withColumn("rank", (F.col("_row") % block_rows).cast("int"))
-    rows = rows.withColumn("_step", F.element_at(F.filter("_steps", lambda p: p["first"] <= F.col("block")), -1))
-    rows = rows.withColumn("_j", F.col("block") - F.col("_step.first"))
-    at = F.col("_step.slot") + F.floor(F.col("_j") / F.col("_step.quota")) * F.col("_step.length") + F.get("_step.slots", (F.col("_j") % F.col("_step.quota")).cast("int"))
-    share = F.col("_step.length") / F.col("_step.quota")
-    return (
-        rows.withColumn("slot", at.cast("long"))
-        .withColumn("release", (F.col("_step.slot") + F.floor(F.col("_j") * share)).cast("long"))
-        .withColumn("deadline", (F.col("_step.slot") + F.ceil((F.col("_j") + 1) * share)).cast("long"))
-        .drop("_source", "_row", "_steps", "_step", "_j")
-    )
+    out = rows.join(spark.createDataFrame(places), ["_source", "block"])
+    return out.select(*(c for c in rows.columns if c not in ("_source", "_row", "block", "rank")), "block", "rank", "slot", "release", "deadline")
 
 
 def mixed(docs: DataFrame, **given) -> DataFrame:

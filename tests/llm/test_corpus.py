@@ -112,6 +112,32 @@ def test_mix_cycle_equals_a_plain_schedule(spark):
         assert got == out
 
 
+def test_mix_keeps_to_the_target_weights(spark):
+    # one source of half the weight beside many small ones, and a cycle too short for them
+    weights = {"big": 0.5, **{f"s{k}": 0.5 / 60 for k in range(60)}}
+    rows = [(i, "big" if i % 2 else f"s{i // 2 % 60}") for i in range(2400)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=2, cycle=24).collect()
+    order = [s for _, s in sorted({(r["slot"], r["source"]) for r in out})]
+    assert len(order) == len({r["slot"] for r in out}) == 1200
+    done = Counter()
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        assert all(abs(done[k] - t * w) < 1 for k, w in weights.items()), t
+
+
+def test_mix_does_not_drift():
+    root = {f"s{k}": (100000 if k == 0 else 900 + 97 * k) ** 0.5 for k in range(20)}
+    total = sum(root.values())
+    plan = mixing.schedule({s: int(3e4 * w / total) for s, w in root.items()}, root)
+    order = sorted((t, s) for s, (slots, _, _) in plan.items() for t in slots)
+    assert [t for t, _ in order] == list(range(len(order)))
+    done = Counter()
+    for t, s in order[:29900]:
+        done[s] += 1
+        if t % 97 == 0:
+            assert all(abs(done[k] - (t + 1) * w / total) < 1.001 for k, w in root.items()), t
+
+
 @pytest.mark.parametrize("shallow", [8, 16, 32])
 @pytest.mark.parametrize("letters", [1, 2, 250])
 def test_deep_shallow_sorts(shallow, letters):
