@@ -37,9 +37,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, block_rows=16, cycle=240)
 
 
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that a sorted write left in ``path``, with ``position`` from 0 in their order: files by name, rows by index."""
+    docs = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    sizes = sorted((r["_file"], r["count"]) for r in docs.groupBy("_file").count().collect())  # one row a file
+    starts = spark.createDataFrame([(f, sum(n for _, n in sizes[:k])) for k, (f, _) in enumerate(sizes)], "_file string, _start long")
+    return docs.join(F.broadcast(starts), "_file").withColumn("position", F.col("_start") + F.col("_index")).drop("_file", "_index", "_start")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the length and digests of their round trip."""
-    return bpe.encode(docs, vocabulary_path())
+    """Token ids of every document, with their number and the document's position in the mix, if it has one."""
+    if "position" not in docs.columns:
+        return bpe.encode(docs, vocabulary_path())
+    # the key of a row is its id and position together, which the encoder passes on as it is
+    keyed = docs.select(F.struct("doc_id", "position").alias("key"), "text")
+    return bpe.encode(keyed, vocabulary_path(), id_col="key").select("key.doc_id", "key.position", "n_tokens", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -55,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    """All stages over documents, each written as Parquet in the shared folder and read again.
+
+    Rows come with their ``position`` in the mix: those under n, for any n, hold the sources in the shares of their weights.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -63,5 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        docs = placed(spark, path) if name == "source_mix" else spark.read.parquet(path)
     raise ValueError("no stages")

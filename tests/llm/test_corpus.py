@@ -326,6 +326,26 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert toxicity.Model().score("") < 0.5 and hashlib
 
 
+def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(9)), "en", "a" if i % 9 else "b", 9) for i in range(1800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    place = {r["position"]: r["doc_id"] for r in out}
+    assert sorted(place) == list(range(1800))
+    of = {r[0]: r[3] for r in rows}
+    share = 200**0.5 / (200**0.5 + 1600**0.5)
+    n = seen = 0
+    while seen < 200:  # until source b ends
+        assert abs(seen - n * share) <= 32, n
+        seen += of[place[n]] == "b"
+        n += 1
+
+
 def test_packed_keys_come_back():
     from netweir.llm.common import pack, unpack
 
