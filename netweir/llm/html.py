@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,11 @@ from .common import map_arrow
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object svg math audio video canvas select datalist title meta link base".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link base".split())
+#: Parts of svg and math elements that are not drawn where they stand.
+UNDRAWN = {"desc": "svg", "metadata": "svg", "defs": "svg", "symbol": "svg", "annotation": "math", "annotation-xml": "math"}
+#: What may stand in a head; the start tag of anything else ends it.
+HEADED = frozenset("head base basefont bgsound link meta title style script template noscript noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED = frozenset("p blockquote pre ul ol dl table h1 h2 h3 h4 h5 h6 figure menu dir".split())
 #: The start tag at the left closes an open element at the right, up to but not beyond an element of the third set.
@@ -29,6 +34,7 @@ IMPLIED = {
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
     "tr": (frozenset(["tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
@@ -56,58 +62,79 @@ def attributes(text: str) -> dict[str, str]:
 
 def unseen(tag: str, attrs: dict[str, str]) -> bool:
     """Whether an element's text is not shown."""
-    return tag in HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or attrs.get("aria-hidden", "").lower() == "true" or tag == "input" or bool(UNSEEN.search(attrs.get("style", "")))
+    return tag in HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or tag == "input" or bool(UNSEEN.search(attrs.get("style", "")))
 
 
 def tree(page: str) -> Node:
     """The element tree of a page: unknown end tags are passed over, missing ones are implied."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a tag are
     at = 0
     low = None
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
+
+    def shut(k: int) -> None:
+        for n in stack[k:]:
+            places[n.tag].pop()
+        if any(n.tag in BLOCK for n in stack[max(k, DEEPEST) :]):
+            stack[DEEPEST - 1].children.append(Node("div"))  # ends the line
+        del stack[k:]
+
+    def put(child: Node | str) -> None:
+        # what is deeper than DEEPEST stays a sibling at that depth, but its text is shown only if all around it is
+        if isinstance(child, Node) or not stack[-1].hidden or len(stack) <= DEEPEST:
+            stack[min(len(stack), DEEPEST) - 1].children.append(child)
+
+    def write(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            shut(len(stack) - 1)
+        put(html.unescape(text))
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
-            stack[-1].children.append(html.unescape(page[at:]))
+            write(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            write(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            if tag == "p" and not last("p"):
+                put(Node("p"))
+            k = last(tag)
+            if k and (tag in ("td", "th", "tr", "table", "tbody", "thead", "tfoot", "body", "html") or k > max(map(last, ("td", "th", "table")))):
+                shut(k)
             continue
+        if tag == "body" and last("head"):
+            shut(last("head"))
         if tag in ("html", "body"):
             continue
-        if stack[-1].tag == "head" and tag not in RAW | HIDDEN:
-            del stack[-1]
+        if stack[-1].tag == "head" and tag not in HEADED:
+            shut(len(stack) - 1)
         close, within = IMPLIED.get(tag, ((), ()))
         if tag in CLOSES_P:
             close, within = frozenset(close) | {"p"}, frozenset(within) | SCOPE
         if tag[0] == "h" and tag in SPACED and stack[-1].tag in SPACED and stack[-1].tag[0] == "h":
-            del stack[-1]
-        if close:
-            lowest = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in close:
-                    lowest = k
-                elif stack[k].tag in within:
-                    break
-            if lowest is not None:
-                del stack[lowest:]
+            shut(len(stack) - 1)
+        if any(map(last, close)):
+            beyond = max((last(x) for x in within if x not in close), default=0)
+            lowest = min((places[x][k] for x in close if places.get(x) and (k := bisect_right(places[x], beyond)) < len(places[x])), default=0)
+            if lowest:
+                shut(lowest)
         attrs = attributes(m[3]) if m[3] and m[3].strip(" /\n") else {}
-        node = Node(tag, stack[-1].hidden or unseen(tag, attrs), attrs)
-        stack[-1].children.append(node)
+        foreign = last("svg") or last("math")
+        undrawn = tag in UNDRAWN and last(UNDRAWN[tag]) > 0
+        node = Node(tag, stack[-1].hidden or undrawn or unseen(tag, attrs), attrs)
+        put(node)
+        if foreign and m[3] and m[3].endswith("/"):
+            continue
         if tag in RAW:
             if low is None:
                 low = page.lower()
@@ -116,7 +143,8 @@ def tree(page: str) -> Node:
             text = page[at:end]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = (low.find(">", end) + 1 or len(page)) if end < len(page) else end
-        elif tag not in VOID and len(stack) < DEEPEST:
+        elif tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -215,6 +243,18 @@ def rendered(node: Node, out: Lines) -> None:
             out.end(True)
             out.add(table_lines(child))
             out.gap = True
+        elif tag in ("option", "optgroup"):
+            out.end()
+            if tag == "optgroup" or "label" in child.attrs:
+                out.text(child.attrs.get("label", ""))
+                out.end()
+            if tag == "optgroup" or "label" not in child.attrs:
+                rendered(child, out)
+                out.end()
+        elif tag == "text":  # of an svg: drawn at a place of its own
+            out.text(" ")
+            rendered(child, out)
+            out.text(" ")
         elif tag in BLOCK:
             nested = tag in ("ul", "ol", "menu", "dir") and node.tag == "li"
             out.end(tag in SPACED and not nested)

@@ -220,3 +220,22 @@ def test_cuckoo_filter_deletes_what_was_inserted():
     for f, i, j in zip(*(x.tolist() for x in c.places(h[:2500]))):
         assert c.delete(f, i, j)
     assert c.contains(h[2500:]).all() and c.contains(h[:2500]).mean() < 0.01
+
+
+def test_html_text_that_browsers_show():
+    from netweir.llm.html import DEEPEST, extract
+
+    # a head without an end tag ends at the body, or at the first text or element that can't be in it
+    assert extract("<head><title>T</title><body>Hello <b>you</b>") == "Hello you"
+    assert extract("<head><title>T</title>Hello<p>you") == "Hello\n\nyou"
+    assert extract("<head><meta charset=x> <link href=y></head><body>a") == "a"
+    assert extract("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> it") == "so x=1 it"
+    assert extract("<svg><title>t</title><defs/><defs><text>no</text></defs><text>one</text><path d='M0'/><text>two</text></svg>") == "one two"
+    assert extract("<select><option>red<option value=2>green</select>") == "red\ngreen"
+    assert extract("<p>a <span aria-hidden='true'>b</span> c") == "a b c"
+    assert extract("<p>a <span hidden>b</span> c") == "a c"
+    # beyond the depth limit hidden text stays hidden, and what stands around it is shown in its order
+    deep = "<div>" * (DEEPEST + 9)
+    for inner in ("<div style='display:none'><div>no</div>no<b>no</b></div>", "<p hidden>no", "<span hidden><div>no</div></span>"):
+        assert extract(f"{deep}<p>a</p>{inner}<div>b <i>c</i> d</div></div>e").split() == ["a", "b", "c", "d", "e"]
+    assert extract("<div hidden>" + deep + "no" + "</div>" * (DEEPEST + 9) + "no</div>yes") == "yes"
