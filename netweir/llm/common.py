@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import math
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +15,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+#: Bytes and rows of an Arrow batch between Spark and its Python workers.
+ARROW_BYTES, ARROW_ROWS = 4 << 20, 4000
 #: Bits of a hash that pack() keeps.
 KEY_BITS = 48
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a fresh local one where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    A local session without that setting, as in tests, gets a fresh folder of its own; on a cluster, where a folder of one
+    machine would lose data silently, the setting must be there.
+    """
     sc = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not given and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return given or sc.getCheckpointDir()
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that batches of long texts stay small; settings that are smaller already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give memory that is free again back to the system: workers live on between tasks, and idle ones keep theirs else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not on this platform
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that releases memory when its task's batches are through."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def grouped_tidy(fn: Callable) -> Callable:
+    """A function of one table, or of two, for applyInArrow that releases memory after each group."""
+
+    def tidied(*tables: pa.Table) -> pa.Table:
+        try:
+            return fn(*tables)
+        finally:
+            release()
+
+    two = len(inspect.signature(fn).parameters) == 2
+    return (lambda a, b: tidied(a, b)) if two else lambda a: tidied(a)  # Spark looks at how many parameters there are
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,7 +94,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 if (out := fn(b.slice(i, most))) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    bounded(df.sparkSession)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:

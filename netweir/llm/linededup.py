@@ -1,10 +1,11 @@
 """Incremental line dedup: exact reference counts of lines, and sharded cuckoo filters in front of them.
 
-An index has three tables: ``refs`` says which document holds which line key, ``counts`` has the exact reference count and
-the largest holder of each key that is in enough documents to be dropped, and ``filters`` has a cuckoo filter of those
-keys for each shard.  Inserting documents raises counts and adds fingerprints; deleting documents lowers counts and takes the
-fingerprints of keys out again, so the index is as if the documents had never been there.  Lines of a text are first asked
-for in the filters; only what those do not rule out is joined with the exact counts, which alone decide.
+An index has three tables, all cut into shards by key: ``refs`` says which document holds which line key, ``counts`` has the
+exact reference count and the largest holder of each key that is in enough documents to be dropped, and ``filters`` has a
+cuckoo filter of those keys for each shard.  Inserting documents raises counts and adds fingerprints; deleting documents
+lowers counts and takes the fingerprints of keys out again, so the index is as if the documents had never been there.  A
+text's lines are dealt out to the filters of their shards; only what these do not rule out is joined with the exact counts,
+which alone decide.
 """
 
 from __future__ import annotations
@@ -13,18 +14,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, mix, strings
+from .common import bounded, cut, grouped_tidy, map_arrow, mix, strings, tidy
 
 BLANK = " \t\n\v\f\r"
 SLOTS, MAX_KICKS = 4, 500
-#: Keys in one filter shard, and the most bytes of filters that are sent to every worker; beyond, the exact join has no filter before it.
-SHARD_KEYS, FILTER_BYTES = 100_000, 64 << 20
+#: Keys in one filter shard, and how many lines of a shard are asked together; a shard of more lines is asked in parts.
+SHARD_KEYS, PART_REFS = 1 << 14, 200_000
 
 
 def line_key(line: str, least: int) -> bytes | None:
@@ -69,7 +69,10 @@ class Cuckoo:
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fingerprint and the two buckets of each hash."""
-        return places(hashes, np.uint64(len(self.slots)))
+        f = (hashes & np.uint64(0xFFFF)) | np.uint64(1)
+        mask = np.uint64(len(self.slots) - 1)
+        i = (hashes >> np.uint64(16)) & mask
+        return f.astype(np.uint16), i.astype(np.int64), (i ^ (mix(f) & mask)).astype(np.int64)
 
     def insert(self, f: int, i: int, j: int) -> bool:
         slots, buckets = self.slots, np.uint64(len(self.slots))
@@ -108,25 +111,8 @@ def places(hashes: np.ndarray, buckets: np.ndarray | np.uint64) -> tuple[np.ndar
     return f.astype(np.uint16), i.astype(np.int64), (i ^ (mix(f) & mask)).astype(np.int64)
 
 
-class Filters:
-    """The filters of all shards, to ask many keys at once."""
-
-    def __init__(self, rows: list[tuple[int, bytes]], shards: int):
-        tables = {s: np.frombuffer(b, np.uint16).reshape(-1, SLOTS) for s, b in rows}
-        none = np.zeros((1, SLOTS), np.uint16)
-        all_ = [tables.get(s, none) for s in range(shards)]
-        self.slots, self.buckets = np.concatenate(all_), np.array([len(t) for t in all_], np.uint64)
-        self.start = np.cumsum([0, *map(len, all_)])[:-1]
-
-    def contain(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-        shard = k1 % len(self.buckets)
-        f, i, j = places(k2.view(np.uint64), self.buckets[shard])
-        at = self.start[shard]
-        return (self.slots[at + i] == f[:, None]).any(1) | (self.slots[at + j] == f[:, None]).any(1)
-
-
-def line_refs(docs: DataFrame, least: int, filters=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, id): the keys of each row's lines, each once a row; if filters (a broadcast) are given, only keys that they may hold."""
+def line_refs(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k1, k2, id): the keys of each row's lines, each once a row; rows without an id give none."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         k1, k2, ids = [], [], []
@@ -136,17 +122,48 @@ def line_refs(docs: DataFrame, least: int, filters=None, id_col: str = "doc_id",
                 k1 += [k[0] for k in own]
                 k2 += [k[1] for k in own]
                 ids += [i] * len(own)
-        if not ids:
-            return None
-        a, c, d = (np.array(x, np.int64) for x in (k1, k2, ids))
-        if filters is not None:
-            may = filters.value.contain(a, c)
-            a, c, d = a[may], c[may], d[may]
-        return pa.record_batch([pa.array(a), pa.array(c), pa.array(d)], ["k1", "k2", "id"])
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (k1, k2, ids)], ["k1", "k2", "id"]) if ids else None
 
     return map_arrow(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), run, "k1 long, k2 long, id long")
 
 
+def made_filter(rows: pa.Table) -> pa.Table:
+    """A filter of all keys of a shard."""
+    made = Cuckoo.of(rows["k2"].to_numpy().view(np.uint64))
+    return pa.table({"shard": rows["shard"][:1], "filter": pa.array([made.dump()], pa.binary())})
+
+
+def changed_filter(old: pa.Table, changes: pa.Table) -> pa.Table:
+    """A shard's filter after keys came in or went out; null for one that must be made anew, as it is new or full."""
+    shard = (old if len(old) else changes)["shard"][0].as_py()
+    made = Cuckoo.load(old["filter"][0].as_py()) if len(old) else None
+    fine = made is not None
+    if fine and len(changes):
+        hashes = changes["k2"].to_numpy().view(np.uint64)
+        was, now = (changes[c].to_numpy().astype(bool) for c in ("was", "now"))
+        for f, i, j in zip(*(x.tolist() for x in made.places(hashes[was & ~now]))):
+            fine = fine and made.delete(f, i, j)
+        for f, i, j in zip(*(x.tolist() for x in made.places(hashes[now & ~was]))):
+            fine = fine and made.insert(f, i, j)
+    return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([made.dump() if fine else None], pa.binary())})
+
+
+def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shard and part, each part's filter first, the line keys that their filter may hold."""
+    own = None
+    for b in batches:
+        k2 = b.column(1).to_numpy().view(np.uint64)
+        may = np.zeros(b.num_rows, bool)
+        heads = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
+        for i, j in zip([-1, *heads.tolist()], [*heads.tolist(), b.num_rows]):
+            if i >= 0:
+                data = b.column(4)[i].as_py()
+                own = Cuckoo.load(data) if data else None
+            if own is not None and j > i + 1:
+                may[i + 1 : j] = own.contains(k2[i + 1 : j])
+        yield pa.RecordBatch.from_arrays(b.columns[:3], ["k1", "k2", "id"]).filter(pa.array(may))
+
+
 @dataclass(frozen=True)
 class LineIndex:
     """An index of lines; all changes give a new index, and the tables of the old one stay as they are."""
@@ -159,55 +176,77 @@ class LineIndex:
     least: int = 40
     min_docs: int = 5
 
-    def _with_refs(self, refs: DataFrame, touched: DataFrame | None) -> LineIndex:
-        """The index over other refs; ``touched`` has the keys whose holders changed, None for all."""
-        own = refs if touched is None else refs.join(touched, ["k1", "k2"], "left_semi")
-        counts = own.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("id").alias("last")).filter(F.col("n_docs") >= self.min_docs)
-        if touched is not None:
-            counts = counts.unionByName(self.counts.join(touched, ["k1", "k2"], "left_anti"))
-        counts = cut(counts)
-        held = counts.count()
-        if touched is None or held > self.shards * SHARD_KEYS * 2:
-            shards = max(1, -(-held // SHARD_KEYS))
-            old = None
-        else:
-            shards, old = self.shards, self
-        shard = F.pmod("k1", F.lit(shards)).cast("int")
-        if old is None:
-            filters = counts.select(shard.alias("shard"), "k2").groupBy("shard").applyInPandas(lambda rows: pd.DataFrame({"shard": rows["shard"][:1], "filter": [Cuckoo.of(rows["k2"].to_numpy().view(np.uint64)).dump()]}), "shard int, filter binary")
-        else:
-            was, now = (t.select("k1", "k2", F.lit(1).alias(n)) for t, n in ((old.counts, "was"), (counts, "now")))
-            changes = was.join(now, ["k1", "k2"], "full_outer").select(shard.alias("shard"), "k2", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"))
-            filters = old.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(refilled, "shard int, filter binary")
-        return replace(self, refs=refs, counts=counts, filters=cut(filters), shards=shards)
+    def _shard(self, df: DataFrame, shards: int | None = None) -> DataFrame:
+        return df.withColumn("shard", F.pmod("k1", F.lit(shards or self.shards)).cast("int"))
+
+    def _counted(self, refs: DataFrame) -> DataFrame:
+        return refs.groupBy("shard", "k1", "k2").agg(F.count("*").alias("n_docs"), F.max("id").alias("last")).filter(F.col("n_docs") >= self.min_docs)
+
+    def _made(self, counts: DataFrame) -> DataFrame:
+        return counts.select("shard", "k2").groupBy("shard").applyInArrow(grouped_tidy(made_filter), "shard int, filter binary")
+
+    def _fresh(self, refs: DataFrame) -> LineIndex:
+        """An index of all refs, with as many shards as its keys ask for."""
+        counts = cut(self._counted(self._shard(refs, 1)))
+        shards = max(1, -(-counts.count() // SHARD_KEYS))
+        counts = self._shard(counts, shards)
+        return replace(self, refs=self._shard(refs, shards), counts=counts, filters=cut(self._made(counts)), shards=shards)
+
+    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
+        """The index over other refs; ``touched`` has (shard, k1, k2) whose holders changed.  Other shards are not looked at."""
+        key = ["shard", "k1", "k2"]
+        was = self.counts.join(touched, key, "left_semi")
+        now = cut(self._counted(refs.join(touched, key, "left_semi")))
+        counts = cut(self.counts.join(touched, key, "left_anti").unionByName(now))
+        if counts.count() > 2 * self.shards * SHARD_KEYS:
+            return self._fresh(refs.drop("shard"))
+        mark = lambda t, n: t.select(*key, F.lit(1).alias(n))
+        changes = mark(was, "was").join(mark(now, "now"), key, "full_outer").select("shard", "k2", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"))
+        shards = touched.select("shard").distinct()
+        old = self.filters.join(shards, "shard", "left_semi")
+        new = cut(old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(grouped_tidy(changed_filter), "shard int, filter binary"))
+        again = self._made(counts.join(new.filter("filter is null"), "shard", "left_semi"))
+        filters = self.filters.join(shards, "shard", "left_anti").unionByName(new.filter("filter is not null")).unionByName(again)
+        return replace(self, refs=refs, counts=counts, filters=cut(filters))
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Add documents.  Ids that are there already gain the new lines; rows without an id are not indexed."""
-        new = line_refs(docs, self.least, None, id_col, text_col).distinct()
+        bounded(self.spark)
+        new = line_refs(docs, self.least, id_col, text_col).distinct()
         if self.refs is None:
-            return self._with_refs(new, None)
-        new = cut(new.join(self.refs, ["k1", "k2", "id"], "left_anti"))
-        return self._with_refs(self.refs.unionByName(new), new.select("k1", "k2").distinct())
+            return self._fresh(cut(new))
+        new = cut(self._shard(new).join(self.refs, ["shard", "k1", "k2", "id"], "left_anti"))
+        return self._changed(self.refs.unionByName(new), new.select("shard", "k1", "k2").distinct())
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Take documents out again; ids that are not there change nothing."""
         gone = ids.select(ids[id_col].cast("long").alias("id")).distinct()
-        touched = cut(self.refs.join(gone, "id", "left_semi").select("k1", "k2").distinct())
-        return self._with_refs(self.refs.join(gone, "id", "left_anti"), touched)
+        touched = cut(self.refs.join(gone, "id", "left_semi").select("shard", "k1", "k2").distinct())
+        return self._changed(self.refs.join(gone, "id", "left_anti"), touched)
+
+    def possible(self, refs: DataFrame) -> DataFrame:
+        """The (k1, k2, id) of refs whose key their shard's filter may hold.
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+        Refs are dealt out by shard, and those of a shard that has many, as one with a very common line does, by id as well;
+        each part's filter comes before its refs, which then pass by without being gathered.
+        """
+        sizes = refs.groupBy("shard").agg(F.ceil(F.count("*") / PART_REFS).cast("int").alias("parts"))
+        zero = F.lit(0).cast("long")
+        heads = sizes.join(self.filters, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), zero.alias("k1"), zero.alias("k2"), zero.alias("id"), F.lit(True).alias("head"), "filter")
+        rows = refs.join(sizes, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "k1", "k2", "id", F.lit(False).alias("head"), F.lit(None).cast("binary").alias("filter"))
+        dealt = heads.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", F.desc("head"))
+        return dealt.select("k1", "k2", "id", "head", "filter").mapInArrow(tidy(asked), "k1 long, k2 long, id long")
+
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), refs: DataFrame | None = None) -> DataFrame:
         """(id, text, n_lines, n_dropped, *keep): each row's text without the lines that a document of larger id holds too.
 
         A key of at least ``least`` code points in at least ``min_docs`` documents loses all its lines but those of its
         largest holder.  Null or empty texts are one empty line.  Rows without an id keep all lines; rows that repeat an id
-        are the same document and lose the same lines.
+        are the same document and lose the same lines.  ``refs`` are those of docs, if they are known.
         """
-        size = self.counts.count() * SLOTS
-        filters = None
-        if size <= FILTER_BYTES:
-            filters = self.spark.sparkContext.broadcast(Filters([(r["shard"], bytes(r["filter"])) for r in self.filters.collect()], self.shards))
-        refs = line_refs(docs, self.least, filters, id_col, text_col).distinct()
-        drop = refs.join(self.counts, ["k1", "k2"]).filter(F.col("id") < F.col("last")).groupBy("id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
+        bounded(self.spark)
+        refs = self._shard(line_refs(docs, self.least, id_col, text_col).distinct()) if refs is None else refs
+        drop = self.possible(refs).join(self.counts.drop("shard"), ["k1", "k2"]).filter(F.col("id") < F.col("last")).groupBy("id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
         others = [f"_k{n}" for n in range(len(keep))]
         rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *(docs[c].alias(o) for c, o in zip(keep, others))).join(drop, "id", "left")
         least = self.least
@@ -231,31 +270,17 @@ class LineIndex:
         return out.select(F.col("id").alias(id_col), "text", "n_lines", "n_dropped", *(F.col(o).alias(c) for c, o in zip(keep, others)))
 
     def save(self, path: str) -> None:
-        """Write the three tables under a folder; the old ones stay untouched if the folder is a new one."""
+        """Write the three tables under a new folder, each shard in a folder of its own, so that changes read only theirs."""
         for name in ("refs", "counts", "filters"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            getattr(self, name).write.partitionBy("shard").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, shards: int, **given) -> LineIndex:
-        return cls(spark, *(spark.read.parquet(f"{path}/{name}") for name in ("refs", "counts", "filters")), shards=shards, **given)
-
-
-def refilled(old: pd.DataFrame, changes: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
-    """A shard's filter after keys came in or went out; a full or new one is built from all its keys."""
-    shard = int(old["shard"].iloc[0] if len(old) else changes["shard"].iloc[0])
-    hashes = changes["k2"].to_numpy().view(np.uint64) if len(changes) else np.zeros(0, np.uint64)
-    was, now = changes["was"].to_numpy(bool), changes["now"].to_numpy(bool)
-    made = Cuckoo.load(old["filter"].iloc[0]) if len(old) else Cuckoo(2)
-    fine = bool(len(old))
-    for f, i, j in zip(*(x.tolist() for x in made.places(hashes[was & ~now]))):
-        fine = fine and made.delete(f, i, j)
-    for f, i, j in zip(*(x.tolist() for x in made.places(hashes[now & ~was]))):
-        fine = fine and made.insert(f, i, j)
-    if not fine:
-        made = Cuckoo.of(hashes[now])
-    return pd.DataFrame({"shard": [shard], "filter": [made.dump()]})
+        kinds = {"refs": "k1 long, k2 long, id long, shard int", "counts": "k1 long, k2 long, n_docs long, last long, shard int", "filters": "filter binary, shard int"}
+        return cls(spark, *(spark.read.schema(k).parquet(f"{path}/{name}") for name, k in kinds.items()), shards=shards, **given)
 
 
 def dedup_lines(docs: DataFrame, least: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Index a corpus and apply the index to it: (id, text, n_lines, n_dropped, *keep); see LineIndex.apply."""
-    return LineIndex(docs.sparkSession, least=least, min_docs=min_docs).insert(docs, id_col, text_col).apply(docs, id_col, text_col, keep)
+    index = LineIndex(docs.sparkSession, least=least, min_docs=min_docs).insert(docs, id_col, text_col)
+    return index.apply(docs, id_col, text_col, keep, index.refs)
