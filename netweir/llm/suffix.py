@@ -18,11 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_BITS, mix, pack, parts, pieces, total_bytes, unpack, unzipped, zipped
+from .common import KEY_BITS, bounded, grouped_tidy, mix, pack, parts, pieces, total_bytes, unpack, unzipped, zipped
 
 LENGTH, ANCHOR, SHALLOW = 50, 16, 16
 SPAN = LENGTH - ANCHOR + 1
 BATCH, BUCKET, CHUNK, HOT = 3 << 20, 3 << 20, 1 << 19, 1024
+#: Ranges of anchors in a bucket, which are sorted one after another; runs whose strings are marked at once.
+SLICES, RUNS = 16, 50_000
 ODD = mix(np.arange(101, 108, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -181,9 +183,9 @@ class Batch:
         self.key = np.where(np.repeat(split, each), mix(own) >> np.uint64(64 - KEY_BITS), np.repeat(key, each))
 
     def distinct(self, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """For each run the number of its stretch, and the first run of each stretch by bucket; numbers follow the buckets."""
-        bucket = bucket_of(self.key, buckets)
-        order = np.argsort(bucket, kind="stable")
+        """For each run the number of its stretch, and the first run of each stretch by bucket; numbers follow the buckets' slices."""
+        fine = bucket_of(self.key, buckets * SLICES)
+        order = np.argsort(fine, kind="stable")
         seen: dict[bytes, int] = {}
         number, firsts = np.zeros(len(order), np.int64), []
         raw = self.raw
@@ -194,7 +196,7 @@ class Batch:
                 firsts.append(r)
             number[r] = i
         firsts = np.array(firsts, np.int64)
-        own = bucket[firsts]
+        own = fine[firsts] // SLICES
         at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else []
         return number, [x for x in np.split(firsts, at[1:]) if len(x)]
 
@@ -239,26 +241,51 @@ def opened(docs: pa.Table, control: pa.Table) -> Batch:
 
 
 def stretches_of(docs: pa.Table, control: pa.Table, buckets: int) -> pa.Table:
-    """A batch's distinct stretches with the first document that has each, by bucket."""
-    out: dict[str, list] = {"bucket": [], "batch": [], "a": [], "b": [], "c": []}
+    """A batch's distinct stretches with the first document that has each, by bucket; d: how many each slice of the bucket has."""
+    out: dict[str, list] = {"bucket": [], "batch": [], "a": [], "b": [], "c": [], "d": []}
     if len(docs):
         batch = opened(docs, control)
         for firsts in batch.distinct(buckets)[1]:
-            out["bucket"].append(int(bucket_of(batch.key[firsts[:1]], buckets)[0]))
+            fine = bucket_of(batch.key[firsts], buckets * SLICES)
+            out["bucket"].append(int(fine[0]) // SLICES)
             out["batch"].append(docs["batch"][0].as_py())
             out["a"].append(zipped(batch.count[firsts].astype(np.uint8)))
             out["b"].append(zipped(batch.ids[batch.doc[firsts]]))
             ends = batch.start[firsts] + batch.count[firsts] + LENGTH - 1
             out["c"].append(zipped(np.frombuffer(b"".join(batch.raw[s:e] for s, e in zip(batch.start[firsts].tolist(), ends.tolist())), np.uint8)))
+            out["d"].append(zipped(np.bincount(fine % SLICES, minlength=SLICES).astype(np.int32)))
     return rows(**out)
 
 
 def judged(sent: pa.Table) -> pa.Table:
-    """For each stretch that a batch sent, a bit for each string in it: whether a document before the batch's first has it."""
+    """For each stretch that a batch sent, a bit for each string in it: whether a document before the batch's first has it.
+
+    Equal strings have equal anchors, so a bucket is sorted slice by slice, each slice's stretches of all batches together.
+    """
+    packed = list(zip(*(sent[k].to_pylist() for k in "abcd")))
+    # what of each batch's stretches comes before each slice: stretches, and bytes
+    cuts, bytes_ = [], []
+    for a, _, _, d in packed:
+        n = np.concatenate(([0], np.cumsum(unzipped(d, np.int32))))
+        size = np.concatenate(([0], np.cumsum(unzipped(a, np.uint8).astype(np.int64) + LENGTH - 1)))
+        cuts.append(n)
+        bytes_.append(size[n])
+    opened_ = [(unzipped(a, np.uint8), unzipped(b, np.int64), unzipped(c, np.uint8)) for a, b, c, _ in packed]
+    del packed
+    masks = [[] for _ in opened_]
+    for k in range(SLICES):
+        part = [(count[n[k] : n[k + 1]].astype(np.int64), first[n[k] : n[k + 1]], raw[m[k] : m[k + 1]].tobytes()) for (count, first, raw), n, m in zip(opened_, cuts, bytes_)]
+        for out, mask in zip(masks, slice_judged(part)):
+            out.append(mask)
+    n = len(masks)
+    return rows(batch=sent["batch"].to_pylist(), kind=[1] * n, bucket=sent["bucket"].to_pylist(), a=[zipped(np.concatenate(x)) for x in masks], b=[None] * n)
+
+
+def slice_judged(part: list[tuple[np.ndarray, np.ndarray, bytes]]) -> list[np.ndarray]:
+    """The bits of each batch's stretches, from (strings in each, first document of each, their bytes)."""
     seen: dict[bytes, int] = {}
     least, own = [], []
-    for a, b, c in zip(*(sent[k].to_pylist() for k in "abc")):
-        count, first, raw = unzipped(a, np.uint8).astype(np.int64), unzipped(b, np.int64), unzipped(c, np.uint8).tobytes()
+    for count, first, raw in part:
         ends = np.cumsum(count + LENGTH - 1).tolist()
         index = []
         for s, e, d in zip([0, *ends], ends, first.tolist()):
@@ -268,11 +295,14 @@ def judged(sent: pa.Table) -> pa.Table:
             elif d < least[i]:
                 least[i] = d
             index.append(i)
-        own.append((np.array(index), first))
+        own.append((np.array(index, np.int64), first))
+    if not seen:
+        return [np.zeros(0, np.int64) for _ in part]
     text = np.frombuffer(b"".join(seen), np.uint8)
     size = np.array([len(x) for x in seen]) - LENGTH + 1
-    which = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    del seen
+    which = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    place = (np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
     starts = place + np.repeat(np.cumsum(size + LENGTH - 1) - size - LENGTH + 1, size)
     order, head = deep_shallow(text, starts)
     first = np.flatnonzero(head)
@@ -282,9 +312,7 @@ def judged(sent: pa.Table) -> pa.Table:
     table = np.full((len(size), SPAN), np.iinfo(np.int64).max)
     table[which, place] = keeper
     bit = np.int64(1) << np.arange(SPAN, dtype=np.int64)
-    masks = [zipped(((table[i] < d[:, None]) * bit).sum(1)) for i, d in own]
-    n = len(masks)
-    return rows(batch=sent["batch"].to_pylist(), kind=[1] * n, bucket=sent["bucket"].to_pylist(), a=masks, b=[None] * n)
+    return [((table[i] < d[:, None]) * bit).sum(1) if len(i) else np.zeros(0, np.int64) for i, d in own]
 
 
 def cleaned(docs: pa.Table, control: pa.Table, buckets: int) -> pa.Table:
@@ -298,13 +326,14 @@ def cleaned(docs: pa.Table, control: pa.Table, buckets: int) -> pa.Table:
     # a later document of this batch loses the whole stretch, the first one what the answer says
     later = batch.ids[batch.doc] > batch.ids[batch.doc[first[number]]] if len(number) else np.zeros(0, bool)
     mask = np.where(later, (np.int64(1) << SPAN) - 1, masks[number] if len(number) else none)
-    run = np.repeat(np.arange(len(mask)), batch.count)
-    place = np.arange(len(run)) - np.repeat(np.cumsum(batch.count) - batch.count, batch.count)
-    gone = (mask[run] >> place) & 1 == 1
     mark = np.zeros(len(batch.data) + 1, np.int32)
-    at = (batch.start[run] + place)[gone]
-    mark[at] += 1
-    total = np.concatenate((np.zeros(LENGTH, np.int32), np.cumsum(mark[:-1])))
+    for i in range(0, len(mask), RUNS):
+        count = batch.count[i : i + RUNS]
+        run = np.repeat(np.arange(i, i + len(count)), count)
+        place = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        gone = (mask[run] >> place) & 1 == 1
+        mark[(batch.start[run] + place)[gone]] += 1
+    total = np.concatenate((np.zeros(LENGTH, np.int32), np.cumsum(mark[:-1], dtype=np.int32)))
     covered = total[LENGTH:] > total[:-LENGTH]
     out: dict[str, list] = {"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
     for i, s, e in zip(batch.ids.tolist(), [0, *batch.ends.tolist()], batch.ends.tolist()):
@@ -329,15 +358,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = total_bytes(docs, text_col)
     batches, buckets = pieces(total, batch_bytes), pieces(total, bucket_bytes)
     n = parts(spark, total)
+    bounded(spark)
     dealt = d.dropna(subset=["id"]).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).repartition(n, "batch")
     by = dealt.groupBy("batch")
     control = "batch int, kind int, bucket int, a binary, b binary"
-    sent = by.applyInArrow(lambda t: anchors_of(t, buckets), "bucket int, batch int, a binary")
-    common = sent.groupBy("bucket").applyInArrow(lambda t: common_anchors(t, hot), control)
-    stretches = by.cogroup(common.groupBy("batch")).applyInArrow(lambda t, c: stretches_of(t, c, buckets), "bucket int, batch int, a binary, b binary, c binary")
-    answers = stretches.groupBy("bucket").applyInArrow(judged, control)
+    sent = by.applyInArrow(grouped_tidy(lambda t: anchors_of(t, buckets)), "bucket int, batch int, a binary")
+    common = sent.groupBy("bucket").applyInArrow(grouped_tidy(lambda t: common_anchors(t, hot)), control)
+    stretches = by.cogroup(common.groupBy("batch")).applyInArrow(grouped_tidy(lambda t, c: stretches_of(t, c, buckets)), "bucket int, batch int, a binary, b binary, c binary, d binary")
+    answers = stretches.groupBy("bucket").applyInArrow(grouped_tidy(judged), control)
     kind = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    out = by.cogroup(common.unionByName(answers).groupBy("batch")).applyInArrow(lambda t, c: cleaned(t, c, buckets), kind)
+    out = by.cogroup(common.unionByName(answers).groupBy("batch")).applyInArrow(grouped_tidy(lambda t, c: cleaned(t, c, buckets)), kind)
     zero = F.lit(0).cast("long")
     rest = d.filter(F.col("id").isNull()).select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))
     return out.unionByName(rest).withColumnRenamed("id", id_col)
