@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, strings
 
-WORD_CACHE, PAIR_CACHE, LONG_WORD = 800_000, 1_000_000, 64
+#: Bytes of cached words (as many of older ones beside them), cached pairs, the longest word that is cached and merged in the plain way; characters taken at once.
+WORD_BYTES, PAIR_CACHE, LONG_WORD, PIECE = 40 << 20, 200_000, 64, 1 << 20
+#: About what a cached word takes beside its characters and tokens.
+ENTRY = 200
 #: The pre-tokeniser's pattern that byte-level BPE files of this kind imply.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts whose characters are all ASCII, but for U+001C to U+001F, or Latin-1 letters; for these texts re's classes
@@ -75,13 +78,11 @@ class Codec:
         self.pair_keys, self.pair_ranks, self.size = keys[order], ranks[order], size
         # Byte tokens stand for themselves; another token must be what its own bytes merge to, or it is never proposed.
         self.match = {b: i for b, i in self.ids.items() if len(b) == 1 or self.merged(b) == [i]}
-        self.trie: dict = {}
-        for b, i in self.match.items():
-            node = self.trie
-            for x in b:
-                node = node.setdefault(x, {})
-            node[-1] = i
+        # Tokens by their bytes, and all beginnings of tokens, which say how far a longer one may be looked for.
+        self.begins = {b[:k] for b in self.match for k in range(2, len(b))}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.pairs: dict[int, bool] = {}
         self.pattern, self.simple, self.beyond = regex.compile(PATTERN), re.compile(SIMPLE), re.compile(BEYOND)
         self.cuts = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
@@ -126,17 +127,26 @@ class Codec:
         return [x for x in out if x >= 0]
 
     def proposed(self, word: bytes) -> list[int]:
-        """Greedy longest match from the left, by a trie of dicts; key -1 of a node holds the id of the token that ends there."""
-        out, k, n, root = [], 0, len(word), self.trie
+        """Greedy longest match from the left."""
+        match, begins = self.match, self.begins
+        if (i := match.get(word)) is not None:
+            return [i]
+        out, k, n = [], 0, len(word)
         while k < n:
-            node, found, end = root, -1, k
-            for j in range(k, n):
-                if (node := node.get(word[j])) is None:
-                    break
-                if (i := node.get(-1)) is not None:
+            end = k + 1
+            found = match[word[k:end]]
+            j = k + 2
+            while j <= n:
+                piece = word[k:j]
+                if (i := match.get(piece)) is not None:
                     found, end = i, j
+                elif piece not in begins:
+                    break
+                if piece not in begins:
+                    break
+                j += 1
             out.append(found)
-            k = end + 1
+            k = end
         return out
 
     def combined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,8 +179,8 @@ class Codec:
             a, b = np.where(undo_left, self.right[a], a), np.where(undo_left, b, self.left[b])
         return good
 
-    def learn(self, new: list[str]) -> None:
-        """Encode words that are not in the cache."""
+    def learn(self, new: list[str]) -> dict[str, tuple[int, ...]]:
+        """Encode words."""
         if len(self.pairs) > PAIR_CACHE:
             self.pairs.clear()
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
@@ -180,23 +190,38 @@ class Codec:
         if todo:
             keys = np.array(todo, np.int64)
             pairs.update(zip(todo, self.compatible(keys // size, keys % size).tolist()))
-        for w, b, g in zip(new, raw, guess):
-            self.words[w] = tuple(g if all(pairs[x * size + y] for x, y in zip(g, g[1:])) else self.merged(b))
+        return {w: tuple(g if all(pairs[x * size + y] for x, y in zip(g, g[1:])) else self.merged(b)) for w, b, g in zip(new, raw, guess)}
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Token ids of each text; strings of special tokens in a text are those tokens."""
-        if len(self.words) > WORD_CACHE:
-            self.words.clear()
+        out, i = [], 0
+        while i < len(texts):  # about PIECE characters at once, one text at least
+            j, size = i + 1, len(texts[i])
+            while j < len(texts) and size + len(texts[j]) <= PIECE:
+                size += len(texts[j])
+                j += 1
+            out += self.encode_some(texts[i:j])
+            i = j
+        return out
+
+    def encode_some(self, texts: list[str]) -> list[list[int]]:
         split = []
         for t in texts:
             sections = self.cuts.split(t) if self.cuts else [t]
             words_in = (self.pattern if self.beyond.search(t) else self.simple).findall
             split.append([s if k % 2 else words_in(s) for k, s in enumerate(sections)])
-        new = {w for s in split for x in s if not isinstance(x, str) for w in x}
-        new.difference_update(self.words)
+        here = {w for s in split for x in s if not isinstance(x, str) for w in x}
+        new = list(here.difference(self.words))
+        if self.held > WORD_BYTES:  # words that were not used since the last time go
+            self.older, self.words, self.held = self.words, {}, 0
+            new = list(here)
+        words, older, long = self.words, self.older, []
         if new:
-            self.learn(list(new))
-        words, out = self.words, []
+            words.update({w: x for w in new if (x := older.get(w)) is not None})
+            words.update(self.learn([w for w in new if w not in older]))
+            long = [w for w in new if len(w) > LONG_WORD]
+            self.held += sum(ENTRY + len(w) + 8 * len(words[w]) for w in new)
+        out = []
         for s in split:
             ids: list[int] = []
             for x in s:
@@ -206,6 +231,8 @@ class Codec:
                     for w in x:
                         ids.extend(words[w])
             out.append(ids)
+        for w in long:  # one such word can be as long as a text
+            self.held -= ENTRY + len(w) + 8 * len(words.pop(w))
         return out
 
     def decode(self, ids: list[int]) -> str:
