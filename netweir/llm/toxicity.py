@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexical step turns words into symbols: insults and threats from seed lists and from stems learned on labelled texts, targets
-(you, they ...), negations, words of reporting, intent.  Three small transducers follow each other and are composed into one
-table: negation marks matches in its reach, reported speech marks matches in what somebody is said to have said, and
-the target transducer joins a match with a target in the same clause.  What comes out per clause is a list of kinds of
-match; a text's score is a logistic function of which kinds its clauses match and how many do, fitted on labelled texts.
+A lexical step turns the words of a clause into symbols: insults and threats from seed lists and from stems learned on labelled
+texts, targets (you, they ...), negations, words of reporting, of intent and of stress.  A clause is read twice.  From right to
+left, a small machine notes what is still to come: a target, or a reporting verb behind a comma.  From left to right five
+weighted transducers follow each other, composed into one table: the insult transducer adds weight to insults under stress,
+the threat transducer tells threats with intent from others, negation and reported speech mark what lies in their reach,
+and the target transducer says which matches are directed at somebody.  Weights add up along a path; a clause gives the kinds
+of match that it has with their weights.  A text's score is a logistic function of the greatest weight of each kind among its
+clauses and of the sum of all, fitted on labelled texts.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from functools import cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, strings
+from .common import bounded, cut, map_arrow, strings, tidy
 
 # Seed words by symbol, in four languages.
 WORDS = {
@@ -32,24 +35,29 @@ WORDS = {
     "Y": "you your yours you're he she they them him her these those people everyone du dich dir ihr euch sie vous tu te toi ils elles tú usted ustedes ellos",
     "N": "not no never isn't aren't wasn't don't without nicht kein keine nie ne pas jamais no nunca ni sin",
     "R": "said says say called calls claimed wrote writes reported alleged according quoted sagte sagt nannte schrieb dit disait appelle dijo dice llamó escribió",
+    "V": "so such very really total totally complete completely absolute absolutely utter utterly damn sehr total völlig très vraiment muy tan totalmente",
     "M": "will shall gonna going should must want werde wird sollte muss vais va dois voy debe",
 }
-SYMBOLS = "OITYNRM."  # O: any other word, .: end of a clause
-#: Kinds of match: insult or threat, and plain, directed at a target, negated, reported.
-KINDS = [f"{a}{b}" for a in "IT" for b in "pdnr"]
-TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n]")
-STEM_LENGTHS, REACH = (4, 5, 6), 3
+SYMBOLS = "OITYNRMV,."  # O: any other word, .: end of a clause
+#: What the reading from the right writes before a clause: whether a target, and a reporting verb behind a comma, is to come.
+HEADS = ("<", "<Y", "<R", "<YR")
+#: Kinds of match: insult or threat, and plain, directed at a target, with intent at a target, negated, reported.
+KINDS = ["Ip", "Id", "In", "Ir", "Tp", "Td", "Ti", "Tn", "Tr"]
+TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:,\n]")
+STEM_LENGTHS = (4, 5, 6)
+#: How many words after them stress, intent and negation reach; negation reaches further to an insult than to a threat.
+STRESS, INTENT, FAR, NEAR = 2, 3, 4, 2
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """next[state][symbol] and out[state][symbol]; outputs are symbols of the next transducer or kinds of match."""
+    """next[state][symbol], and out[state][symbol]: symbols of the next transducer, or kinds of match, with what they weigh."""
 
     next: list[dict[str, int]]
-    out: list[dict[str, tuple[str, ...]]]
+    out: list[dict[str, tuple[tuple[str, float], ...]]]
 
     def __rshift__(self, other: Transducer) -> Transducer:
-        """The composition: what this one writes, the other reads."""
+        """The composition: what this one writes, the other reads, and weights add up."""
         n = len(other.next)
         nexts, outs = [], []
         for s in range(len(self.next)):
@@ -57,15 +65,15 @@ class Transducer:
                 to, written = {}, {}
                 for x, s2 in self.next[s].items():
                     t2, w = t, []
-                    for y in self.out[s][x]:
-                        w += other.out[t2][y]
+                    for y, weight in self.out[s][x]:
+                        w += [(z, weight + more) for z, more in other.out[t2][y]]
                         t2 = other.next[t2][y]
                     to[x], written[x] = s2 * n + t2, tuple(w)
                 nexts.append(to)
                 outs.append(written)
         return Transducer(nexts, outs)
 
-    def run(self, symbols: list[str]) -> list[str]:
+    def run(self, symbols: list[str]) -> list[tuple[str, float]]:
         s, out = 0, []
         for x in symbols:
             out += self.out[s][x]
@@ -73,44 +81,100 @@ class Transducer:
         return out
 
 
-def negation() -> Transducer:
-    """Matches up to REACH words after a negation are negated: I and T become In and Tn."""
+def transducer(states: int, alphabet: list[str], step) -> Transducer:
+    """A transducer from a function (state, symbol) -> (next state, symbol written or None, weight)."""
     nexts, outs = [], []
-    for s in range(REACH + 1):
-        down = max(0, s - 1)
-        nexts.append({x: REACH if x == "N" else 0 if x == "." else down for x in SYMBOLS})
-        outs.append({x: (x + "n",) if s and x in "IT" else (x,) for x in SYMBOLS})
+    for s in range(states):
+        made = {x: step(s, x) for x in alphabet}
+        nexts.append({x: t for x, (t, _, _) in made.items()})
+        outs.append({x: ((y, w),) if y is not None else () for x, (_, y, w) in made.items()})
     return Transducer(nexts, outs)
 
 
+def insults() -> Transducer:
+    """An insult weighs 1, and more up to STRESS words after a word of stress."""
+
+    def step(s: int, x: str) -> tuple:
+        if x == "V":
+            return STRESS, "O", 0.0
+        return (0 if x in ",." else max(0, s - 1)), x, (1.25 if s else 1.0) if x == "I" else 0.0
+
+    return transducer(STRESS + 1, [*SYMBOLS, *HEADS], step)
+
+
+def threats() -> Transducer:
+    """A threat weighs 1; up to INTENT words after a word of intent it is meant: W, which weighs half as much again."""
+
+    def step(s: int, x: str) -> tuple:
+        if x == "M":
+            return INTENT, "O", 0.0
+        y = "W" if x == "T" and s else x
+        # targets and negations stand between intent and verb without using up its reach
+        return (0 if x in ",." else s if x in "YN" else max(0, s - 1)), y, {"T": 1.0, "W": 1.5}.get(y, 0.0)
+
+    return transducer(INTENT + 1, [*"OITYNRM,.", *HEADS], step)
+
+
+def negation() -> Transducer:
+    """Insults up to FAR words and threats up to NEAR words after a negation are negated: In and Tn, of half the weight of others."""
+
+    def step(s: int, x: str) -> tuple:
+        if x in "ITW" and s > (0 if x == "I" else FAR - NEAR):
+            return max(0, s - 1), ("I" if x == "I" else "T") + "n", -0.5
+        return FAR if x == "N" else 0 if x in ",." else max(0, s - 1), x, 0.0
+
+    return transducer(FAR + 1, [*"OITWYNR,.", *HEADS], step)
+
+
 def reporting() -> Transducer:
-    """After a word of reporting, the matches of its clause are reported ones."""
-    alphabet = [*SYMBOLS, "In", "Tn"]
-    nexts = [{x: 0 if x == "." else 1 if x == "R" or s else 0 for x in alphabet} for s in (0, 1)]
-    outs = [{x: (x[0] + "r",) if s and x[0] in "IT" else (x,) for x in alphabet} for s in (0, 1)]
-    return Transducer(nexts, outs)
+    """Matches after a word of reporting, or before one that a comma parts from them, are reported: Ir and Tr.
+
+    States: nothing yet, a reporting verb is to come behind a comma, a verb was there.
+    """
+
+    def step(s: int, x: str) -> tuple:
+        if x in HEADS:
+            return int("R" in x), x.replace("R", ""), 0.0
+        if x == ".":
+            return 0, x, 0.0
+        if x == "R":
+            return 2, "O", 0.0
+        if s and x[0] in "ITW":
+            return s, ("I" if x[0] == "I" else "T") + "r", -0.5
+        return (0 if s == 1 and x == "," else s), x, 0.0
 
+    return transducer(3, [*"OITWYNR,.", "In", "Tn", *HEADS], step)
 
-def directing() -> Transducer:
-    """A plain match with a target in its clause, before or after it, is directed; a clause's matches are written at its end.
 
-    The state has whether a target was seen and which plain matches wait for the clause's end.
+def targeting() -> Transducer:
+    """Matches of a clause with a target, before or after them, are directed: Id and Td, Ti with intent; else plain: Ip and Tp."""
+
+    def step(s: int, x: str) -> tuple:
+        if x in HEADS:
+            return int("Y" in x), None, 0.0
+        if x == ".":
+            return 0, None, 0.0
+        if len(x) == 2:
+            return s, x, 0.0
+        if x in "ITW":
+            return s, {"I": "Ip", "T": "Tp", "W": "Tp"}[x] if not s else {"I": "Id", "T": "Td", "W": "Ti"}[x], 0.5 * s
+        return int(s or x == "Y"), None, 0.0
+
+    return transducer(2, [*"OITWYN,.", "In", "Tn", "Ir", "Tr", "<", "<Y"], step)
+
+
+def ahead() -> Transducer:
+    """Read from right to left: writes, at the clause's beginning, one of HEADS.
+
+    States: target seen (1), reporting verb seen (2), and a comma before that verb (4).
     """
-    alphabet = [*SYMBOLS, "In", "Tn", "Ir", "Tr"]
-    nexts, outs = [], []
-    for s in range(8):
-        target, insult, threat = s & 1, s & 2, s & 4
-        to, written = {}, {}
-        for x in alphabet:
-            written[x] = (x,) if len(x) == 2 else ()
-            if x == ".":
-                to[x] = 0
-                written[x] = tuple(a + ("d" if target else "p") for a, seen in (("I", insult), ("T", threat)) if seen)
-            else:
-                to[x] = s | {"Y": 1, "I": 2, "T": 4}.get(x, 0)
-        nexts.append(to)
-        outs.append(written)
-    return Transducer(nexts, outs)
+
+    def step(s: int, x: str) -> tuple:
+        if x == ".":
+            return 0, HEADS[(s & 1) + 2 * bool(s & 4)], 0.0
+        return s | {"Y": 1, "R": 2}.get(x, 0) | (4 if x == "," and s & 2 else 0), None, 0.0
+
+    return transducer(8, [*SYMBOLS], step)
 
 
 @dataclass(frozen=True)
@@ -139,7 +203,8 @@ class Grammar:
         for w in lexicon.stems:
             self.hits.add_word(w, (len(w), False))
         self.hits.make_automaton()
-        self.machine = negation() >> reporting() >> directing()
+        self.machine = insults() >> threats() >> negation() >> reporting() >> targeting()
+        self.ahead = ahead()
 
     def symbol_of(self, word: str) -> str:
         if (s := self.symbol.get(word)) is not None:
@@ -154,8 +219,13 @@ class Grammar:
                 return True
         return False
 
+    def clause(self, symbols: list[str]) -> list[tuple[str, float]]:
+        """Kinds of match of a clause and what they weigh."""
+        head = self.ahead.run([*reversed(symbols), "."])[0][0]
+        return self.machine.run([head, *symbols, "."])
+
     def matches(self, text: str) -> Counter:
-        """How many clauses of a whole text have each kind of match."""
+        """The greatest weight of each kind of match among the clauses of a whole text, and the sum of all under "all"."""
         out: Counter = Counter()
         low = text.lower()
         if not self.found(low):
@@ -164,10 +234,12 @@ class Grammar:
         for w in [*TOKEN.findall(low), "."]:
             if w in ".!?;:\n":
                 if "I" in clause or "T" in clause:
-                    out.update(set(self.machine.run([*clause, "."])))
+                    for kind, weight in self.clause(clause):
+                        out[kind] = max(out[kind], weight)
+                        out["all"] += weight
                 clause = []
             else:
-                clause.append(self.symbol_of(w))
+                clause.append("," if w == "," else self.symbol_of(w))
         return out
 
 
@@ -178,8 +250,8 @@ def grammar(lexicon: Lexicon) -> Grammar:
 
 
 def vector(found: Counter) -> list[float]:
-    """Which kinds of match a text has, and how many in all."""
-    return [*(float(found[k] > 0) for k in KINDS), math.log1p(sum(found.values()))]
+    """A text's greatest weight of each kind of match, and how much they weigh in all."""
+    return [*(float(found[k]) for k in KINDS), math.log1p(found["all"])]
 
 
 @dataclass(frozen=True)
@@ -187,36 +259,49 @@ class Model:
     """A lexicon and the weights of the kinds of match, the bias last."""
 
     lexicon: Lexicon = SEEDS
-    weights: tuple[float, ...] = (3.0, 4.0, 0.5, 0.5, 1.0, 4.0, 0.0, 0.0, 1.0, -3.0)
+    weights: tuple[float, ...] = (3.0, 3.0, 0.5, 0.5, 1.0, 2.0, 3.0, 0.0, 0.0, 1.0, -3.0)
 
     def score(self, text: str) -> float:
         z = sum(w * x for w, x in zip(self.weights, [*vector(grammar(self.lexicon).matches(text)), 1.0]))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def terms(text: str) -> set[str]:
-    """Distinct words of a text that are no seeds, and their beginnings marked by an asterisk."""
-    words = {w for w in TOKEN.findall(text.lower()) if len(w) > 3} - SEED_WORDS
-    return words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) > k}
+def terms(words: list[str]) -> set[str]:
+    """Distinct words that are no seeds, and their beginnings marked by an asterisk."""
+    own = {w for w in words if len(w) > 3} - SEED_WORDS
+    return own | {w[:k] + "*" for w in own for k in STEM_LENGTHS if len(w) > k}
+
+
+def clauses(text: str) -> Iterator[list[str]]:
+    """The words of each clause of a text, in lower case."""
+    words: list[str] = []
+    for w in [*TOKEN.findall(text.lower()), "."]:
+        if w in ".!?;:\n":
+            if words:
+                yield words
+            words = []
+        elif w != ",":
+            words.append(w)
 
 
-def learned(counts: list[tuple[str, int, int, int]], toxic: int, clean: int, odds: float = 20.0) -> Lexicon:
-    """Seeds and the words and stems that mark toxic texts, from rows of (term, toxic texts, clean texts, distinct words).
+def learned(counts: list[tuple[str, int, int, int, int]], toxic: int, clean: int, odds: float = 20.0) -> Lexicon:
+    """Seeds and the words and stems that mark toxic texts, from rows of (term, toxic texts, clean texts, distinct words, distinct
+    clauses of toxic texts that have it).
 
-    A term is taken if it is ``odds`` times as frequent in toxic texts as in clean ones; a stem if at least four toxic texts, one in sixty
-    and four distinct words of toxic texts have it, a word if at least six toxic texts and one in fifty have it.  Of
-    stems that begin alike, the shortest stands for all.
+    A term is taken if it is ``odds`` times as frequent in toxic texts as in clean ones, and in four different clauses at
+    least: near copies of a text share theirs.  A stem asks for four toxic texts, one in sixty and four distinct words, a
+    word for six toxic texts and one in fifty.  Of stems that begin alike, the shortest stands for all.
     """
 
-    def marks(a: int, b: int) -> bool:
-        return (a + 0.5) / (toxic + 1) >= odds * (b + 0.5) / (clean + 1)
+    def marks(a: int, b: int, c: int) -> bool:
+        return c >= 4 and (a + 0.5) / (toxic + 1) >= odds * (b + 0.5) / (clean + 1)
 
     known = dict(SEEDS.words)
     stems: set[str] = set()
-    for t, a, b, n in sorted(counts, key=lambda r: (len(r[0]), r[0])):
-        if t.endswith("*") and n >= 4 and a >= max(4, toxic / 60) and marks(a, b) and not any(t[:k] in stems for k in STEM_LENGTHS if k < len(t) - 1):
+    for t, a, b, n, c in sorted(counts, key=lambda r: (len(r[0]), r[0])):
+        if t.endswith("*") and n >= 4 and a >= max(4, toxic / 60) and marks(a, b, c) and not any(t[:k] in stems for k in STEM_LENGTHS if k < len(t) - 1):
             stems.add(t[:-1])
-    words = [t for t, a, b, _ in counts if not t.endswith("*") and a >= max(6, toxic / 50) and marks(a, b) and t not in known and not any(t[:k] in stems for k in STEM_LENGTHS)]
+    words = [t for t, a, b, _, c in counts if not t.endswith("*") and a >= max(6, toxic / 50) and marks(a, b, c) and t not in known and not any(t[:k] in stems for k in STEM_LENGTHS)]
     return Lexicon(SEEDS.words + tuple((w, "I") for w in sorted(words)), tuple(sorted(stems)))
 
 
@@ -233,10 +318,11 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn a model from labelled texts: at most ``most`` of them, those of the smallest hashes of their ids.
+    """Learn a model from labelled texts: at most ``most`` of them, those of the smallest hashes of their ids, read whole.
 
-    Rows without an id or label are left out; several labels of an id count as their largest.  Without any label of
-    either kind the seed model is returned.
+    Rows without an id or label are left out; several labels of an id count as their largest, several texts of an id are
+    texts of their own, and null texts are empty ones.  Without any label of either kind the seed model is returned.  The
+    model is the same on every run.
     """
     spark = docs.sparkSession
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
@@ -248,21 +334,34 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "d
     chosen = spark.createDataFrame([(r["id"], r["y"]) for r in sample], known.schema)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id").repartition(8, "id")
 
-    # copies of a text would pass for many texts that share rare words, so texts that begin or end alike are learned from once
-    varied = texts.withColumn("head", F.substring("text", 1, 60)).withColumn("tail", F.substring("text", -60, 60)).dropDuplicates(["head", "y"]).dropDuplicates(["tail", "y"])
+    texts = cut(texts)
+    varied = texts.select("text", "y").dropDuplicates()  # equal texts count once
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = (Counter(), Counter())
-        for f in frames:
-            for t, y in zip(f["text"], f["y"]):
-                each[y].update(terms(t or ""))
-        if each[1] or each[0]:
-            yield pd.DataFrame([(t, each[1][t], each[0][t]) for t in each[1].keys() | each[0].keys()], columns=["term", "a", "b"])
-
-    counts = cut(varied.select("text", "y").mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a > 0 and a > b"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each, where = (Counter(), Counter()), {}
+        for b in batches:
+            for t, y in zip(strings(b, "text"), b.column(1).to_pylist()):
+                own: set[str] = set()
+                for words in clauses(t):
+                    new = terms(words)
+                    own |= new
+                    if y:
+                        h = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) >> 1
+                        for x in new:
+                            where.setdefault(x, set()).add(h)
+                each[y].update(own)
+        # terms that no toxic text has can't be learned, so only their counts matter where some other task has them
+        found = list(each[1].keys() | each[0].keys())
+        for i in range(0, len(found), 20_000):
+            part = found[i : i + 20_000]
+            yield pa.record_batch([pa.array(part), pa.array([each[1][t] for t in part], pa.int64()), pa.array([each[0][t] for t in part], pa.int64()), pa.array([sorted(where.get(t, ())) for t in part], pa.list_(pa.int64()))], ["term", "a", "b", "clauses"])
+
+    bounded(spark)
+    counted = varied.mapInArrow(tidy(count), "term string, a long, b long, clauses array<long>")
+    counts = cut(counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.size(F.array_distinct(F.flatten(F.collect_list("clauses")))).alias("clauses")).filter("a > 0 and a > b"))
     stem = F.explode(F.array(*(F.when(F.length("term") > k, F.concat(F.substring("term", 1, k), F.lit("*"))) for k in STEM_LENGTHS)))
     spread = counts.filter(~F.col("term").endswith("*")).select(stem.alias("term")).dropna().groupBy("term").agg(F.count("*").alias("n"))
-    found = counts.filter("a >= 4").join(spread, "term", "left").select("term", "a", "b", F.coalesce("n", F.lit(1)).alias("n")).filter("term not like '%*' or n >= 4")
+    found = counts.filter("a >= 4 and clauses >= 4").join(spread, "term", "left").select("term", "a", "b", F.coalesce("n", F.lit(1)).alias("n"), "clauses").filter("term not like '%*' or n >= 4")
     kinds = {r["y"]: r["count"] for r in varied.groupBy("y").count().collect()}
     lexicon = learned([tuple(r) for r in found.collect()], kinds.get(1, 0), kinds.get(0, 0))
 
@@ -271,8 +370,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "d
         return pa.record_batch([b.column(1), pa.array([vector(g.matches(t)) for t in strings(b, "text")], pa.list_(pa.float64()))], ["y", "x"])
 
     rows = map_arrow(texts.select("text", "y"), features, "y int, x array<double>").collect()  # as many as the sample
-    x = np.array([[*r["x"], 1.0] for r in rows])
-    return Model(lexicon, tuple(fitted(x, np.array([r["y"] for r in rows], float)).tolist()))
+    rows = sorted((r["y"], *r["x"]) for r in rows)  # so that sums, and with them the weights, are the same on every run
+    x = np.array([[*r[1:], 1.0] for r in rows])
+    return Model(lexicon, tuple(round(w, 9) for w in fitted(x, np.array([r[0] for r in rows], float)).tolist()))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,14 +386,18 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def without_toxic(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is under ``least``, with all columns as they are."""
+    """The rows of docs whose score is under ``least``, with all columns as they are.
+
+    Null and empty texts have no match and stay, repeated rows are judged alike, and an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([model.score(t or "") < least for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    bounded(docs.sparkSession)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

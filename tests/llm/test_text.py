@@ -134,13 +134,36 @@ def test_edited_copies_follow_the_order(spark):
 
 def test_toxicity_grammar_scores_clauses():
     g = toxicity.Grammar(toxicity.SEEDS)
-    assert g.matches("You are an idiot.") == {"Id": 1}
-    assert g.matches("What an idiot. Fine.") == {"Ip": 1}
-    assert g.matches("You are not an idiot.") == {"In": 1}
-    assert g.matches("They said he was a loser. I will kill you!") == {"Ir": 1, "Td": 1}
+    kinds = lambda t: {k: w for k, w in g.matches(t).items() if k != "all"}
+    assert kinds("You are an idiot.") == {"Id": 1.5}
+    assert kinds("You are such an idiot.") == {"Id": 1.75}
+    assert kinds("What an idiot. Fine.") == {"Ip": 1.0}
+    assert kinds("You are not an idiot.") == {"In": 0.5}
+    assert kinds("They said he was a loser. I will kill you!") == {"Ir": 0.5, "Ti": 2.0}
+    # intent makes a difference, before or after the target
+    assert kinds("Kill you") == {"Td": 1.5} and kinds("I will kill you") == {"Ti": 2.0} and kinds("You must hurt") == {"Ti": 2.0}
+    assert kinds("I will not kill you") == {"Tn": 1.0} and kinds("Never in my life would they kill") == {"Td": 1.5}
+    # reported speech may come before its verb, if a comma parts them
+    assert kinds("You idiot, he said") == {"Ir": 0.5} and kinds("You idiot said nothing") == {"Id": 1.5}
     assert not g.matches("A fine day; nothing else.") and not g.matches("")
 
 
+def test_toxicity_composition_equals_one_after_another():
+    parts = [toxicity.insults(), toxicity.threats(), toxicity.negation(), toxicity.reporting(), toxicity.targeting()]
+    whole = toxicity.Grammar(toxicity.SEEDS).machine
+    rng = random.Random(8)
+    for _ in range(500):
+        clause = [rng.choice(toxicity.HEADS), *(rng.choice(toxicity.SYMBOLS[:-1]) for _ in range(rng.randint(0, 12))), "."]
+        rows = [(x, 0.0) for x in clause]
+        for t in parts:
+            state, out = 0, []
+            for x, w in rows:
+                out += [(y, w + v) for y, v in t.out[state][x]]
+                state = t.next[state][x]
+            rows = out
+        assert whole.run(clause) == rows
+
+
 def test_toxicity_learns_stems_and_holds_out(spark):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
@@ -161,6 +184,7 @@ def test_toxicity_learns_stems_and_holds_out(spark):
     assert toxicity.without_toxic(d, m).columns == d.columns
     assert toxicity.without_toxic(d, m).count() == 602 - 120
     assert toxicity.fit(d, lab.limit(0)) == toxicity.Model()
+    assert toxicity.fit(d.repartition(5), lab.repartition(3).filter(~toxicity.held_out())) == m
 
 
 LINE = "this line is certainly longer than forty characters, number {}"
