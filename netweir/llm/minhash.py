@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import grouped
-from .common import cut, mix, pack, strings, unpack, unzipped, zipped
+from .common import bounded, cut, grouped_tidy, mix, pack, strings, tidy, unpack, unzipped, zipped
 from .components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -30,9 +30,9 @@ SLOTS, RANGES = 1 << 20, 64
 #: Share of equal samples below which a pair cannot reach the similarity, but for a chance of about one in ten million.
 FEWEST = 0.48
 #: The most texts, and about the most shingles, of a block; columns and cells of the matrices that compare two blocks.
-BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS, CELLS = 1024, 1 << 21, 4096, 1 << 24
+BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS, CELLS = 1024, 1 << 19, 4096, 1 << 22
 ODD = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def shingles(words: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> tuple[np
 
 def uniform(bits: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1, both excluded, from 32 bits."""
-    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2**-32)
+    return ((bits >> np.uint64(9)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-23)  # 23 bits are exact in float32
 
 
 def sampled(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
             yield pa.record_batch([pa.array(total, pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].tobytes() for x in total.values()], pa.binary())], ["part", "n", "seen"])
 
     kind = "part int, n long, seen binary"
-    parts = rows.mapInArrow(count, kind).repartition(RANGES // 4, "part").mapInArrow(add, kind).collect()  # RANGES rows
+    parts = rows.mapInArrow(tidy(count), kind).repartition(RANGES // 4, "part").mapInArrow(tidy(add), kind).collect()  # RANGES rows
     out = np.zeros((RANGES, SLOTS // RANGES), np.int64)
     for r in parts:
         out[r["part"]] = np.frombuffer(r["seen"], np.int64)
@@ -180,7 +180,7 @@ def signatures(rows: DataFrame, idf) -> DataFrame:
                 ["id", "digest", "samples", "bands"],
             )
 
-    return rows.mapInArrow(run, "id long, digest binary, samples binary, bands array<long>")
+    return rows.mapInArrow(tidy(run), "id long, digest binary, samples binary, bands array<long>")
 
 
 def likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, SAMPLES) for k in (2, 3))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array((x == y).mean(1) >= FEWEST))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def weighted_sets(rows: DataFrame, idf) -> DataFrame:
@@ -208,7 +208,7 @@ def weighted_sets(rows: DataFrame, idf) -> DataFrame:
                 ["id", "h", "w", "total"],
             )
 
-    return rows.mapInArrow(run, "id long, h binary, w binary, total double")
+    return rows.mapInArrow(tidy(run), "id long, h binary, w binary, total double")
 
 
 def jaccard(h: bytes, w: bytes, g: bytes, v: bytes) -> float:
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             s = np.array([jaccard(*(c.as_py() for c in x)) for x in zip(*b.columns[2:])], float)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(s)], ["a", "b", "similarity"]).filter(pa.array(s >= least))
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.mapInArrow(tidy(run), "a long, b long, similarity double")
 
 
 def blocks(groups: DataFrame, sets: DataFrame, own: DataFrame, least: float) -> DataFrame:
@@ -354,6 +354,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     repeat an id count as the text of least digest.  Of a group of copies only the least id is compared with others.
     """
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     n, seen = frequencies(rows)
     idf = spark.sparkContext.broadcast(1 + np.log((1 + n) / (1 + seen)) / np.log(2 + n))  # from 1, words of all texts, to 2
@@ -368,7 +369,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     sets = cut(weighted_sets(rows.withColumn("digest", F.unhex(F.md5("text"))).join(wanted, ["id", "digest"], "left_semi").select("id", "text"), idf))
     links = cut(verified(pairs, sets, similar).dropDuplicates(["a", "b"]))
     # what the blocks of large groups give
-    within = cut(blocks(groups, sets, own, similar).groupBy("label", "c", "s", "t").applyInArrow(lambda t: compared(t, similar), "a long, b long, n long"))
+    within = cut(blocks(groups, sets, own, similar).groupBy("label", "c", "s", "t").applyInArrow(grouped_tidy(lambda t: compared(t, similar)), "a long, b long, n long"))
     one = F.lit(1).cast("long").alias("n")
     ends = links.select("a", one).union(links.select("b", one)).union(within.filter("b is null").select("a", "n")).groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n_links"))
     label = components(links.select("a", "b").union(within.select("a", "b"))).select(F.col("id").alias("head"), "label")
