@@ -7,32 +7,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 
-SMALL, SECOND = 32, 3
-
-
-def candidates(own: DataFrame, bands: int, votes: int = 1) -> DataFrame:
-    """(a, b), a < b: pairs of rows of (id, bands array<long>) that meet in ``votes`` buckets, in number linear in the rows.
-
-    Keys that at most SMALL rows hold give all their pairs.  Others are split by the keys that follow in the rows' own lists of
-    ``bands`` keys, and in what is still large each row is paired with a leader only, another one in each bucket: a row of a
-    large group has many such buckets, so its leaders connect it with the group in many ways.
-    """
-    once = own.select("id", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("short"))
-    sizes = once.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    member = once.join(sizes, "key")
-    few = member.filter(F.col("n") <= SMALL).select("key", "id")
-    # a large bucket is split by the bands that follow its own
-    others = F.explode(F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda k: F.get("bands", ((F.col("band") + k) % bands).cast("int"))))
-    large = member.filter(F.col("n") > SMALL).select("id", "key", "band").join(own.select("id", "bands"), "id")
-    twice = large.select("id", "key", others.alias("other")).select("id", F.xxhash64("key", "other").alias("key"))
-    groups = twice.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("leader")).filter("n > 1")
-    split = twice.join(groups, "key")
-    few = few.unionByName(split.filter(F.col("n") <= SMALL).select("key", "id"))
-    lists = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL ids at most
-    pairs = lists.select(F.posexplode("ids").alias("k", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("k") + 2, F.lit(SMALL))).alias("b")).filter("a < b")
-    led = split.filter(F.col("n") > SMALL).filter("id <> leader")
-    found = pairs.unionByName(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
-    return found.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= votes).select("a", "b")
+SMALL = 32
 
 
 def grouped(own: DataFrame) -> tuple[DataFrame, DataFrame]:
