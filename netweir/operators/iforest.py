@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ordered
+from .features import FeatureState, transform
+from .features import fit as fit_features
+from .quantiles import quantiles
+from .sampling import split
+from .thresholds import calibrated
 
 NODE = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
 
@@ -82,6 +87,12 @@ class IsolationForestModel:
     def dump(self) -> str:
         return json.dumps({"features": self.features, "nodes": self.nodes.tolist(), "samples": self.samples, "offset": self.offset})
 
+    @classmethod
+    def load(cls, text: str) -> IsolationForestModel:
+        d = json.loads(text)
+        kind = np.dtype([(x.split(" ")[0], "f8" if x.endswith("double") else "i8") for x in NODE.split(", ")])
+        return cls(d["features"], np.array([tuple(x) for x in d["nodes"]], kind).view(np.recarray), d["samples"], d["offset"])
+
 
 def fit(df: DataFrame, features: list[str], key: list[str], trees: int = 300, samples: int = 256, contamination: float | None = None, seed: int = 42) -> IsolationForestModel:
     """Fit on rows of df: one pool of trees * samples rows by md5 order is dealt out to the trees.
@@ -114,7 +125,63 @@ def fit(df: DataFrame, features: list[str], key: list[str], trees: int = 300, sa
     model = IsolationForestModel(list(features), nodes.to_records(index=False), size)
     if contamination is not None:
         raw = model.transform(df.select(*features), "_d")
-        model.offset += float(raw.agg(F.percentile("_d", contamination)).first()[0])
+        model.offset += quantiles(raw, "_d", [contamination])[0]
     return model
 
 
+@dataclass
+class Detector:
+    """A trained detector: how features are prepared, the forest, and its calibration."""
+
+    state: FeatureState
+    forest: IsolationForestModel
+    calibration: dict
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """df with the decision of each row; its features are prepared on the side."""
+        x = [f"_x_{f}" for f in self.forest.features]
+        named = dict(zip(self.forest.features, x))
+        side = transform(df.select("*", *(F.col(f).alias(n) for f, n in named.items())), renamed(self.state, named), "robust")
+        model = IsolationForestModel(x, self.forest.nodes, self.forest.samples, self.forest.offset)
+        return model.transform(side).drop(*x)
+
+    def save(self, spark, path: str) -> None:
+        text = json.dumps({"state": self.state.dump(), "forest": self.forest.dump(), "calibration": self.calibration})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Detector:
+        d = json.loads(spark.read.text(path).first()[0])
+        return cls(FeatureState.load(d["state"]), IsolationForestModel.load(d["forest"]), d["calibration"])
+
+
+def renamed(state: FeatureState, names: dict[str, str]) -> FeatureState:
+    to = lambda d: {names.get(k, k): v for k, v in d.items()}
+    return FeatureState([names.get(c, c) for c in state.numeric], [], to(state.medians), to(state.bounds), to(state.scales), to(state.knots), {})
+
+
+def train(df: DataFrame, label: str, features: list[str], key: list[str], test: float = 0.2, target_fp: float = 0.05, references: DataFrame | None = None, least: int = 20, **given) -> Detector:
+    """Split, fit the forest on benign rows of the training part, and calibrate its threshold on the held-out rows.
+
+    ``references`` are more labelled attacks for the calibration.  Raises for fewer than ``least`` benign rows, in all or in the
+    training part.
+    """
+    from ..functions.expressions import is_benign
+
+    d = df.withColumn("_y", F.when(is_benign(F.col(label)), 0).otherwise(1))
+    if (n := d.filter("_y = 0").count()) < least:
+        raise ValueError(f"too little normal traffic: {n} benign rows, {least} are needed")
+    d = split(d, "_y", test, key)
+    benign = d.filter("not is_test and _y = 0")
+    if (n := benign.count()) < least:
+        raise ValueError(f"too little normal traffic after the split: {n} benign rows, {least} are needed")
+    state = fit_features(benign, features, [], approx=True)  # sketches: all columns in two passes
+    forest = fit(transform(benign, state, "robust"), features, key, **given)
+    made = Detector(state, forest, {})
+    held = d.filter("is_test").select(*features, "_y")
+    if references is not None:
+        held = held.unionByName(references.select(*features, F.when(is_benign(F.col(label)), 0).otherwise(1).alias("_y")))
+    made.calibration = calibrated(made.score(held).select(F.col("_y").alias("label"), F.col("decision").alias("score")), target_fp)
+    return made
+
+

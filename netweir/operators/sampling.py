@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +34,7 @@ def sample_by(df: DataFrame, group: str, n: int, key: list[str], seed: int = 42,
     """n rows of df, every group in proportion and with ``least`` rows at least."""
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
     take = allocations(sizes, group, n, least).select(group, "take")
-    return _first(df.join(F.broadcast(take), group), group, F.col("take"), key, seed).drop("take")
+    return _first(df.join(take, group), group, F.col("take"), key, seed).drop("take")
 
 
 def quota(df: DataFrame, group: list[str], limit: Column, key: list[str], seed: int = 42) -> DataFrame:
@@ -40,21 +42,36 @@ def quota(df: DataFrame, group: list[str], limit: Column, key: list[str], seed:
     return _first(df, group, limit, key, seed)
 
 
+def _numbered(df: DataFrame, group: list[str], key: list[str], seed: int, to: str) -> DataFrame:
+    """df with the place of each row in its group's order, and ``_size``, the group's rows.
+
+    Places are counted within RANGES parts of the md5 order, which are alike in size, and moved on by the parts before, so that
+    no class, however large, is sorted in one task.
+    """
+    d = df.withColumn("_o", ordered(seed, *map(F.col, key))).withColumn("_part", F.substring("_o", 1, 2))
+    names = {c: f"_g{k}" for k, c in enumerate([*group, "_part"])}
+    sizes = d.groupBy(*(F.col(c).alias(n) for c, n in names.items())).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*(names[c] for c in group))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(by.orderBy(names["_part"])) - F.col("_n")).withColumn("_size", F.sum("_n").over(by)).drop("_n")
+    at = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_o", *key))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
+    return d.withColumn("_k", at).join(sizes, same).select(*df.columns, (F.col("_k") + F.col("_before")).alias(to), "_size")
+
+
 def _first(df: DataFrame, group, limit: Column, key: list[str], seed: int) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy(group).orderBy(ordered(seed, *map(F.col, key)), *key))
-    return df.withColumn("_at", at).filter(F.col("_at") <= limit).drop("_at")
+    n = _numbered(df, [group] if isinstance(group, str) else list(group), key, seed, "_at")
+    return n.filter(F.col("_at") <= limit).drop("_at", "_size")
 
 
 def split(df: DataFrame, label: str, test: float, key: list[str], seed: int = 42) -> DataFrame:
     """df with is_test: of each label's n rows round(n * test) are for testing."""
-    w = Window.partitionBy(label)
-    at = F.row_number().over(w.orderBy(ordered(seed, *map(F.col, key)), *key))
-    return df.withColumn("is_test", at <= F.round(F.count("*").over(w) * test))
+    n = _numbered(df, [label], key, seed, "_at")
+    return n.withColumn("is_test", F.col("_at") <= F.round(F.col("_size") * test)).drop("_at", "_size")
 
 
 def frequent_classes(df: DataFrame, label: str, least: int = 2) -> DataFrame:
     """Rows of classes that have ``least`` rows at least."""
-    return df.join(F.broadcast(df.groupBy(label).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(label)), label, "left_semi")
+    return df.join(df.groupBy(label).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(label), label, "left_semi")
 
 
 def blended(base: DataFrame, reference: DataFrame, share: float, key: list[str], seed: int = 42) -> DataFrame:
@@ -73,6 +90,85 @@ def expected_rate(name: Column) -> Column:
     return F.when(stated != "", stated.cast("double") / 100).when(F.lower(name).rlike("benign|normal"), F.lit(0.0))
 
 
+# Parts of file names that tell what a reference file holds.
+ATTACK_NAMES = ("synflood", "ddos", "dos", "portscan", "probe", "anomaly", "attack", "flood")
+BENIGN_NAMES = ("benign", "normal", "clean", "baseline", "monday", "workinghours")
+FAMILIES = (("webattack", "bruteforce", "ftp", "ssh"), ("synflood", "ddos", "dos"), ("portscan", "probe"), ("anomaly", "attack", "flood"))
+
+
+def file_name(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+
+
 def is_holdout(path: Column) -> Column:
-    """Whether a file is kept for testing, by its folder or name."""
-    return F.lower(path).rlike(r"(^|/)test(ing)?/|benchmark_mix_|pct_(anomaly|attack)")
+    """Whether a file is kept for testing: by a folder test_data, or by its name."""
+    return F.lower(path).rlike("(^|/)test_data(/|$)") | file_name(path).rlike("benchmark_mix_|_pct_anomaly|_pct_attack")
+
+
+def reference_kind(path: Column) -> Column:
+    """attack or benign by a file's name, attack first; null for others."""
+    name = file_name(path)
+    return F.when(name.rlike("|".join(ATTACK_NAMES)), "attack").when(name.rlike("|".join(BENIGN_NAMES)), "benign")
+
+
+def references(files: DataFrame, path: str, per: str, attacks: int, selected: DataFrame | None = None) -> DataFrame:
+    """The attack files of each group to take as references, with their ``turn``: at most ``attacks``, hold-outs and the files of
+    ``selected`` aside.
+
+    By family, then CSV before captures, then name: at first up to two CSV files, then captures, then the other CSV files.
+    """
+    f = files.filter(~is_holdout(F.col(path)) & (reference_kind(F.col(path)) == "attack"))
+    if selected is not None:
+        f = f.join(selected.select(path), path, "left_anti")
+    name = file_name(F.col(path))
+    family = F
+    for k, words in enumerate(FAMILIES):
+        family = family.when(name.rlike("|".join(words)), k)
+    f = f.withColumn("_csv", name.endswith(".csv")).withColumn("_order", F.struct(family.otherwise(len(FAMILIES)).alias("a"), name.alias("b"), F.col(path).alias("c")))
+    f = f.filter(F.col("_csv") | name.rlike(r"\.(pcap|pcapng|cap)$"))
+    at = F.row_number().over(Window.partitionBy(per, "_csv").orderBy("_order"))
+    step = F.when(F.col("_csv") & (F.col("_at") <= min(2, attacks)), 0).when(~F.col("_csv"), 1).otherwise(2)
+    turn = F.row_number().over(Window.partitionBy(per).orderBy("_step", "_order"))
+    return f.withColumn("_at", at).withColumn("_step", step).withColumn("turn", turn).filter(F.col("turn") <= attacks).drop("_csv", "_order", "_at", "_step")
+
+
+def with_attacks(df: DataFrame, source: str, label: str, attack_rows: int, benign_rows: int, key: list[str], excluded: Column | None = None, seed: int = 42) -> DataFrame:
+    """Of the sources that have attacks, and are not excluded, at most so many attack and benign rows each."""
+    from ..functions.expressions import is_benign
+
+    d = df if excluded is None else df.filter(~excluded)
+    benign = is_benign(F.col(label))
+    have = d.groupBy(source).agg(F.count_if(~benign).alias("_n")).filter("_n > 0").select(source)
+    d = d.join(have, source, "left_semi").withColumn("_benign", benign)
+    return quota(d, [source, "_benign"], F.when(F.col("_benign"), benign_rows).otherwise(attack_rows), key, seed).drop("_benign")
+
+
+def preferred(df: DataFrame, per: str, kind: str, first: str = "csv") -> DataFrame:
+    """Rows of the first kind in groups that have any, else all rows."""
+    has = df.groupBy(per).agg(F.bool_or(F.col(kind) == first).alias("_has"))
+    return df.join(has, per).filter(~F.col("_has") | (F.col(kind) == first)).drop("_has")
+
+
+def block_sample(df: DataFrame, position: str, block_rows: int, n: int, label: str, key: list[str], seed: int = 42) -> DataFrame:
+    """About n rows in proportion from every block of ``block_rows`` positions, then of these the class-guard sample of n."""
+    d = df.withColumn("_block", F.floor(F.col(position) / block_rows))
+    return sample_by(sample_by(d, "_block", n, key, seed, least=0).drop("_block"), label, n, key, seed)
+
+
+def rescued(limited: DataFrame, full: DataFrame, label: str, n: int, key: list[str], seed: int = 42) -> DataFrame:
+    """``limited`` if it has both normal rows and attacks; else all rows of ``full`` if these are of one class, or no more than n;
+    else n of them, each class by its rounded share and with one row at least."""
+    from ..functions.expressions import binary_label
+
+    two = lambda d: d.select(binary_label(F.col(label)).alias("c")).distinct().count() > 1
+    if two(limited):
+        return limited
+    d = full.withColumn("_c", binary_label(F.col(label)))
+    sizes = {r["_c"]: r["n"] for r in d.groupBy("_c").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    total = sum(sizes.values())
+    if len(sizes) < 2 or n <= 0 or n >= total:
+        return full
+    large, small = sorted(sizes, key=lambda c: (-sizes[c], c))
+    take = {c: max(1, round(n * sizes[c] / total)) for c in sizes}
+    take[large] = max(1, take[large] + n - sum(take.values()))
+    return _first(d, "_c", F.when(F.col("_c") == large, take[large]).otherwise(take[small]), key, seed).drop("_c")

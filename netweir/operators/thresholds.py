@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import quantiles
+
 POLICY, LEGACY = "netweir.thresholds.v1", "netweir.thresholds.legacy.v0"
 GRID = [0.01 + i * 0.01 for i in range(99)]
 DEFAULT = 0.30
@@ -93,30 +95,78 @@ def distribution(df: DataFrame, score: str, by: list[str] | None = None) -> Data
 def repaired(df: DataFrame, score: str) -> DataFrame:
     """Scores that are no finite numbers become the median of those that are, 0 where none is."""
     x = F.when(~F.isnan(score) & (F.abs(score) != float("inf")), F.col(score))
-    m = df.agg(F.percentile(x, 0.5).alias("_m"))
-    return df.crossJoin(F.broadcast(m)).withColumn(score, F.coalesce(x, "_m", F.lit(0.0))).drop("_m")
+    m = (quantiles(df.select(x.alias("_x")), "_x", [0.5]) or [0.0])[0]
+    return df.withColumn(score, F.coalesce(x, F.lit(m)))
+
+
+def anomaly_curve(scores: DataFrame, cuts: list[float], label: str = "label", score: str = "score") -> DataFrame:
+    """(threshold, pos, neg, recall, f1, precision, fpr) for each cut: what calling scores below it anomalies gives.
+
+    Scores are counted by the first cut above them, so that running sums go over as many rows as there are cuts.
+    """
+    spark = scores.sparkSession
+    cuts = sorted(set(cuts))
+    over = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_s"))) if cuts else F.lit(0)
+    counts = scores.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
+    n = counts.groupBy(over.alias("b")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    steps = spark.createDataFrame([(k, c) for k, c in enumerate([*cuts, None])], "b int, threshold double").join(n, "b", "left").fillna(0, ["p", "q"])
+    up, every = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    s = steps.select("threshold", F.sum("p").over(up).alias("tp"), F.sum("q").over(up).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("q").over(every).alias("neg"))
+    m = metrics(F.col("tp"), F.col("fp"), F.col("neg") - F.col("fp"), F.col("pos") - F.col("tp"))
+    return s.filter("threshold is not null").select("threshold", "pos", "neg", *(m[k].alias(k) for k in ("recall", "f1", "precision", "fpr")))
 
 
 def anomaly_threshold(scores: DataFrame, most_fpr: float = 0.05, candidates: int = 500, label: str = "label", score: str = "score") -> DataFrame:
     """Calibrate a threshold below which a score is an anomaly: of up to ``candidates`` quantiles the one of best (recall, f1,
     precision, -fpr) under the bound of the false positive rate; without any label of 1, the quantile at the bound."""
-    points = [k / (candidates - 1) for k in range(candidates)]
-    cuts = scores.agg(F.percentile(score, points).alias("q")).select(F.explode("q").alias("t")).distinct()
-    counts = scores.groupBy(F.col(score).alias("t")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    # anomalies are scores strictly below the cut: running sums over cuts and distinct scores together
-    zero = F.lit(0).cast("long")
-    both = counts.select("t", "pos", "neg", F.lit(0).alias("cut")).unionByName(cuts.select("t", zero.alias("pos"), zero.alias("neg"), F.lit(1).alias("cut")))
-    ranges = both.withColumn("_r", F.floor(F.col("t") * 64))
-    offsets = ranges.groupBy("_r").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    w = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy()
-    offsets = offsets.select("_r", F.coalesce(F.sum("p").over(w), zero).alias("p0"), F.coalesce(F.sum("n").over(w), zero).alias("n0"), F.sum("p").over(total).alias("all_p"), F.sum("n").over(total).alias("all_n"))
-    inside = Window.partitionBy("_r").orderBy("t", F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)
-    s = ranges.join(F.broadcast(offsets), "_r").withColumn("tp", F.sum("pos").over(inside) + F.col("p0")).withColumn("fp", F.sum("neg").over(inside) + F.col("n0"))
-    m = metrics(F.col("tp"), F.col("fp"), F.col("all_n") - F.col("fp"), F.col("all_p") - F.col("tp"))
-    s = s.filter("cut = 1").select(F.col("t").alias("threshold"), "all_p", *(m[k].alias(k) for k in ("recall", "f1", "precision", "fpr"))).filter(F.col("fpr") <= most_fpr)
-    known = F.col("all_p") > 0
-    return s.orderBy(F.when(known, -F.col("recall")), F.when(known, -F.col("f1")), F.when(known, -F.col("precision")), F.when(known, F.col("fpr")), F.desc("threshold")).limit(1).drop("all_p")
+    cuts = quantiles(scores, score, [k / (candidates - 1) for k in range(candidates)])
+    s = anomaly_curve(scores, cuts, label, score).filter(F.col("fpr") <= most_fpr)
+    known = F.col("pos") > 0
+    return s.orderBy(F.when(known, -F.col("recall")), F.when(known, -F.col("f1")), F.when(known, -F.col("precision")), F.when(known, F.col("fpr")), F.desc("threshold")).limit(1).drop("pos", "neg")
+
+
+def calibrated(scores: DataFrame, target: float = 0.05, least_unsupervised: float = 0.08, label: str = "label", score: str = "score") -> dict:
+    """A threshold below which a score is an anomaly, with the policy that chose it, its figures, and the rows of either label.
+
+    With both labels: of 320 or 900 quantiles the one of best (recall, f1, precision, -fpr) among those of a false positive rate
+    of ``target`` at most.  If that finds less than a fifth of the attacks, higher caps are tried, and the best of them is
+    taken if it gains enough.  Without attacks: the quantile of benign scores at the cap, ``least_unsupervised`` at least.
+    Without any benign row, the 2 percent quantile of all; without rows, 0.
+    """
+    t = min(max(target, 0.01), 0.20)
+    guard = min(max(least_unsupervised, t), 0.30)
+    d = repaired(scores, score)
+    kinds = d.agg(F.count("*").alias("n"), F.count_if(F.col(label) == 0).alias("benign"), F.count_if(F.col(label) == 1).alias("attack")).first()
+    out = {"threshold": 0.0, "selection_policy": "invalid_input", "target_fp_rate": t, "fpr": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0, "effective_fp_cap": t, "attack_support": kinds["attack"], "benign_support": kinds["benign"]}
+    if not kinds["n"]:
+        return out
+    benign = d.filter(F.col(label) == 0)
+    figures = ("threshold", "fpr", "precision", "recall", "f1")
+    if kinds["attack"] and kinds["benign"]:
+        grid = 320 if kinds["n"] >= 20_000 else 900
+        found = anomaly_curve(d, quantiles(d, score, [0.001 + k * (0.994 / (grid - 1)) for k in range(grid)]), label, score)
+        relaxed = sorted({max(t + 0.02, 0.05), 0.08, 0.12, 0.20})
+        caps = d.sparkSession.createDataFrame([(c,) for c in [t, *(c for c in relaxed if c > t + 1e-12)]], "cap double")
+        best = F.min_by(F.struct(*figures), F.struct(-F.col("recall"), -F.col("f1"), -F.col("precision"), F.col("fpr"), F.col("threshold")))
+        rows = {r["cap"]: r["b"] for r in found.crossJoin(F.broadcast(caps)).filter(F.col("fpr") <= F.col("cap") + 1e-12).groupBy("cap").agg(best.alias("b")).collect()}  # five rows
+        if t in rows:
+            strict = rows.pop(t)
+            out |= {k: strict[k] for k in figures} | {"selection_policy": "supervised_fp_bound"}
+            if strict["recall"] < 0.20 and rows:
+                cap, b = max(rows.items(), key=lambda x: (x[1]["recall"], x[1]["f1"], x[1]["precision"], -x[1]["fpr"], -x[0]))
+                gain, f1 = b["recall"] - strict["recall"], b["f1"] - strict["f1"]
+                if b["recall"] >= 0.20 and f1 >= -0.03 or gain >= 0.05 and f1 >= -0.02 or strict["recall"] <= 0.02 and b["recall"] >= 0.10:
+                    out |= {k: b[k] for k in figures} | {"selection_policy": "supervised_fp_relaxed_for_recall", "effective_fp_cap": cap}
+            return out
+        policy, cap, threshold = "fp_quantile_fallback", t, quantiles(benign, score, [t])[0]
+    elif kinds["benign"]:
+        cap = max(t, guard)
+        policy = "unsupervised_fp_quantile_guarded" if cap > t + 1e-12 else "unsupervised_fp_quantile"
+        threshold = quantiles(benign, score, [cap])[0]
+    else:
+        policy, cap, threshold = "unsupervised_fp_quantile", t, quantiles(d, score, [0.02])[0]
+    b = anomaly_curve(d, [threshold], label, score).first()
+    return out | {k: b[k] for k in figures} | {"selection_policy": policy, "effective_fp_cap": cap}
 
 
 def rate_errors(cases: DataFrame, grid: list[float] = GRID, file: str = "file", score: str = "score", expected: str = "expected_rate") -> DataFrame:
@@ -133,6 +183,16 @@ def rate_errors(cases: DataFrame, grid: list[float] = GRID, file: str = "file",
     return s.groupBy("threshold").agg(F.round(F.avg(F.abs(F.col("rate") - F.col(expected))), 6).alias("mae"), F.round(F.max(F.when(F.col(expected) == 0, F.col("rate"))), 6).alias("benign_most"))
 
 
+def by_rates(errors: DataFrame, now: float, most_benign: float = 0.05) -> DataFrame:
+    """(threshold, mae, benign_most, accepted): the threshold of least mean error, of those that keep benign files under ``most_benign``
+    if there are any; accepted if it is better than the one in use by 0.25 points of error or 1 point of benign alerts."""
+    good = F.coalesce(F.col("benign_most"), F.lit(0.0)) <= most_benign
+    best = errors.orderBy(F.desc(good), "mae", F.coalesce(F.col("benign_most"), F.lit(0.0)), "threshold").limit(1)
+    old = errors.filter(F.abs(F.col("threshold") - now) < 1e-9).select(F.col("mae").alias("_m"), F.coalesce("benign_most", F.lit(0.0)).alias("_b"))
+    gain = (F.col("_m") - F.col("mae") >= 0.0025) | (F.col("_b") - F.coalesce("benign_most", F.lit(0.0)) >= 0.01)
+    return best.join(F.broadcast(old), F.lit(True), "left").select("threshold", "mae", "benign_most", F.coalesce(gain, F.lit(True)).alias("accepted"))
+
+
 def provenance(manifests: DataFrame) -> DataFrame:
     """manifests with thresholds_by_input_type, from recommended_threshold, domain, algorithm and calibration."""
     base, algorithm, domain = clamped(F.col("recommended_threshold")), F.col("algorithm"), F.col("dataset_type")
