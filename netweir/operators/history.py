@@ -12,10 +12,43 @@ def new_models(names: DataFrame, models: DataFrame, name: str = "name") -> DataF
     return names.select(name).dropna().distinct().join(models.select(name), name, "left_anti")
 
 
-def current(changes: DataFrame, key: str, at: str) -> DataFrame:
-    """The latest state of each session from its change rows."""
-    w = Window.partitionBy(key).orderBy(F.desc(at))
-    return changes.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+def current(changes: DataFrame, key: str, at: str, then: str | None = None) -> DataFrame:
+    """The latest state of each session from its change rows; of equal times that of the greatest ``then``."""
+    last = F.max_by(F.struct(*changes.columns), F.struct(at, *([then] if then else [])))
+    return changes.groupBy(F.col(key).alias("_key")).agg(last.alias("_last")).select("_last.*")
+
+
+def saved(scans: DataFrame, models: DataFrame, name: str, model_id: str = "id", model_name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """What saving scans appends: (new rows of the registry, sessions with their model's id).
+
+    Models that the registry lacks get the ids after its greatest, in the order of their names; scans without a model's name
+    have a null id.
+    """
+    new = new_models(scans.withColumnRenamed(name, model_name).select(model_name), models, model_name)
+    top = models.agg(F.coalesce(F.max(model_id), F.lit(0)).alias("_top"))
+    at = F.row_number().over(Window.orderBy(model_name))  # names of models, not rows of scans
+    new = new.withColumn(model_id, at).crossJoin(F.broadcast(top)).select((F.col(model_id) + F.col("_top")).cast("long").alias(model_id), model_name)
+    known = models.select(F.col(model_id).cast("long").alias("model_id"), F.col(model_name).alias(name)).unionByName(new.select(F.col(model_id).alias("model_id"), F.col(model_name).alias(name)))
+    return new, scans.join(known, name, "left")
+
+
+def appended(table: DataFrame, path: str, batch: str) -> None:
+    """Append rows to a table's folder; a batch that is appended again replaces its own rows."""
+    table.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def totals(sessions: DataFrame, alerts: str) -> DataFrame:
+    """One row: how many sessions, and how many alerts in all."""
+    return sessions.agg(F.count("*").alias("sessions"), F.coalesce(F.sum(alerts), F.lit(0)).cast("long").alias("anomalies"))
+
+
+def cleared(spark, folder: str) -> int:
+    """Empty the tables of a history folder, alerts before sessions; how many sessions were deleted."""
+    deleted = spark.read.parquet(f"{folder}/sessions").count()
+    for name in ("anomalies", "sessions"):
+        kind = spark.read.parquet(f"{folder}/{name}").schema
+        spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{folder}/{name}")
+    return deleted
 
 
 def recent(sessions: DataFrame, at: str, key: str, n: int) -> DataFrame:
@@ -70,3 +103,56 @@ def ranked(pairs: DataFrame, per: str) -> DataFrame:
     value = lambda m: F.desc(F.coalesce(F.col(m), F.lit(-1.0)))
     w = Window.partitionBy(per).orderBy(value("f1"), value("recall"), value("precision"), F.desc("saved_at"), F.desc("name"))
     return pairs.withColumn("model_rank", F.row_number().over(w))
+
+
+def model_table(manifests: DataFrame, by: str = "f1", nature: tuple[str, ...] = (), algorithms: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
+    """Models of some domains, algorithms or names (all where none is given), the greatest ``by`` first, missing ones last."""
+    for column, wanted in (("dataset_type", nature), ("algorithm", algorithms), ("name", names)):
+        if wanted:
+            manifests = manifests.filter(F.col(column).isin(*wanted))
+    return manifests.orderBy(F.desc_nulls_last(by), "name")
+
+
+#: Calibrations that say nothing about attacks.
+WEAK = ("invalid_input", "fp_quantile_fallback")
+
+
+def safe(kind: Column, in_domain: Column) -> Column:
+    """Whether a model may be chosen without being asked for: always, but on captures only for their own domain, and
+
+    * Random Forest if its threshold, where it has one, is 0.35 at most, * XGBoost if it has one of 0.35 at most, * Isolation
+    Forest if it was calibrated with references, on attacks, with a recall of 0.05 at least and not without labels.
+    """
+    t, algorithm, policy = F.col("recommended_threshold"), F.col("algorithm"), F.coalesce("selection_policy", F.lit(""))
+    low = lambda c, cut: F.coalesce(c < cut, F.lit(False))
+    forest = F.coalesce("trained_on_pcap_metrics", F.lit(False)) & ~low(F.col("attack_support"), 1) & ~low(F.col("calibration_recall"), 0.05) & ~policy.isin(*WEAK) & ~policy.startswith("unsupervised")
+    rule = F.when(algorithm == "Random Forest", F.coalesce(t <= 0.35, F.lit(True))).when(algorithm == "XGBoost", F.coalesce(t <= 0.35, F.lit(False))).when(algorithm == "Isolation Forest", forest).otherwise(True)
+    return (kind != "pcap") | ((F.col("dataset_type") == in_domain) & rule)
+
+
+def chosen(pairs: DataFrame, per: str, active: Column) -> DataFrame:
+    """(per, name, reason): the model that a scan takes of ranked pairs (see ranked) with is_safe.
+
+    The active model if it is safe, else the best safe one: by rank, but on captures of flows the safe Isolation Forest of
+    least threshold, then of greatest recall, if there is any.  Without a safe model, the best one that is not the active.
+    """
+    forest = (F.col("input_type") == "pcap") & (F.col("dataset_type") == "CIC-IDS") & (F.col("algorithm") == "Isolation Forest")
+    order = F.struct(
+        F.when(forest, 0).otherwise(1).alias("a"),
+        F.when(forest, F.coalesce("if_threshold", F.lit(1.0))).otherwise(0.0).alias("b"),
+        F.when(forest, -F.coalesce("calibration_recall", F.lit(0.0))).otherwise(0.0).alias("c"),
+        F.when(forest, F.coalesce("saved_at", F.lit(""))).otherwise("").alias("d"),
+        F.col("model_rank").alias("e"),
+    )
+    is_active = F.col("name").eqNullSafe(active)
+    g = pairs.groupBy(per).agg(
+        F.min_by(F.when(F.col("is_safe"), F.col("name")), F.when(F.col("is_safe"), order)).alias("best_safe"),
+        F.min_by("name", "model_rank").alias("best"),
+        F.min_by(F.when(~is_active, F.col("name")), F.when(~is_active, F.col("model_rank"))).alias("other"),
+        F.max(F.when(is_active, F.col("name"))).alias("active"),
+        F.bool_or(is_active & F.col("is_safe")).alias("active_safe"),
+    )
+    has, good = F.col("active").isNotNull(), F.col("best_safe").isNotNull()
+    name = F.when(has & F.col("active_safe"), F.col("active")).when(good, F.col("best_safe")).when(has, F.coalesce("other", "best")).otherwise(F.col("best"))
+    reason = F.when(has & F.col("active_safe"), "active").when(good & has, "active_skipped").when(good, "best_safe").when(has, "active_rejected_no_safe").otherwise("best_by_metrics")
+    return g.select(per, name.alias("name"), reason.alias("reason"))

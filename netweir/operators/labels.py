@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -14,6 +13,7 @@ from ..functions.expressions import EMPTY, binary_label, folded, is_benign
 
 #: Characters that are not seen in a header: byte order mark, no-break and zero-width spaces, tab, carriage return.
 INVISIBLE = "﻿ ​‌‍\t\r"
+# What stands for no value, in any column and in that of services.
 UNINFORMATIVE = ("", "nan", "n/a")
 UNLABELLED = ("", "-", "nan", "none", "null", "unknown", "n/a", "other")
 
@@ -77,18 +77,15 @@ def informative(df: DataFrame, columns: list[str]) -> DataFrame:
 def cleaned(df: DataFrame, column: str, to: str | None = None) -> DataFrame:
     """NFKC; dashes and replacement characters become " - ", control characters go, blanks at the ends go.
 
-    Normal forms are looked up for distinct values only and joined back.
+    Only values that are not plain ASCII need normal forms; these are made in Arrow batches, without any exchange.
     """
 
-    def nfkc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"_v": f["_v"], "_n": [unicodedata.normalize("NFKC", x) for x in f["_v"]]})
+    @F.pandas_udf("string")
+    def nfkc(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
-    to = to or column
-    distinct = df.select(F.col(column).alias("_v")).dropna().distinct().mapInPandas(nfkc, "_v string, _n string")
-    n = F.regexp_replace("_n", "[\\x{FFFD}\\x{2010}-\\x{2015}\\x{2212}]", " - ")
-    n = F.trim(F.regexp_replace(F.regexp_replace(n, r"[\p{C}&&[^\t\n\r]]", ""), " {2,}", " "))
-    return df.join(distinct.withColumn("_n", n), df[column] == F.col("_v"), "left").drop("_v", *([to] if to == column else [])).withColumnRenamed("_n", to)
+    n = F.regexp_replace(nfkc(F.col(column)), "[\\x{FFFD}\\x{2010}-\\x{2015}\\x{2212}]", " - ")
+    return df.withColumn(to or column, F.trim(F.regexp_replace(F.regexp_replace(n, r"[\p{C}&&[^\t\n\r]]", ""), " {2,}", " ")))
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFrame:
@@ -111,7 +108,7 @@ def header_names(headers: DataFrame) -> DataFrame:
     synonyms = spark.createDataFrame(list(SYNONYMS.items()), "_k string, _to string")  # a few dozen rows
     bare = F.trim(F.lower(F.translate("name", INVISIBLE, "")))
     snake = F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    h = headers.withColumn("_k", bare).withColumn("_snake", snake).join(F.broadcast(synonyms), "_k", "left").withColumn("_n", F.coalesce("_to", "_snake"))
+    h = headers.withColumn("_k", bare).withColumn("_snake", snake).join(synonyms, "_k", "left").withColumn("_n", F.coalesce("_to", "_snake"))
     w = Window.partitionBy("file", "_n")
     at = F.row_number().over(w.orderBy("position")) - 1
     name = F.when(F.count("*").over(w) > 1, F.concat("_n", F.lit("__"), at.cast("string"))).otherwise(F.col("_n"))
@@ -133,6 +130,39 @@ def detected(headers: DataFrame, least: float = 0.6) -> DataFrame:
     return g.select("file", F.when(F.col("b.score") >= least, F.col("b.domain")).otherwise("Unknown").alias("domain"), F.col("b.score").alias("confidence"), "scores")
 
 
+def natures(detections: DataFrame) -> DataFrame:
+    """detections with the nature of the domain, null for Unknown, and the algorithms that it allows."""
+    from ..domains import DOMAINS, NATURES
+
+    d, nature, algorithms = F.col("domain"), F, F
+    for name, n in NATURES.items():
+        nature, algorithms = nature.when(d == name, n), algorithms.when(d == name, ",".join(DOMAINS[name].algorithms))
+    return detections.withColumn("nature", nature).withColumn("algorithms", algorithms)
+
+
+def compatible(model: Column, file: Column) -> Column:
+    """Whether a model's nature is known and that of a file."""
+    return F.coalesce((model == file) & (model != ""), F.lit(False))
+
+
+def training_sets(files: DataFrame, per: str, nature: Column) -> DataFrame:
+    """(per, domain, error) of sets of files with their domains: the one domain to train on, or why there is none."""
+    from ..domains import NATURES
+
+    allowed = F.array_compact(F.array(*(F.when(nature == n, d) for d, n in NATURES.items())))
+    g = files.groupBy(per).agg(F.sort_array(F.collect_set("domain")).alias("d"), F.bool_or(F.col("domain") == "Unknown").alias("u"), F.bool_and(F.array_contains(allowed, F.col("domain"))).alias("ok"))
+    error = F.when(F.col("u"), "unknown_schema").when(~F.col("ok"), "other_nature").when(F.size("d") > 1, "several_domains")
+    return g.select(per, F.when(error.isNull(), F.get("d", F.lit(0))).alias("domain"), error.alias("error"))
+
+
+def against_model(files: DataFrame, models: DataFrame) -> DataFrame:
+    """(file, model, missing, extra, fits) for files with their ``names`` and models with their ``features`` of the same domain:
+    missing features are an error, others are only noted."""
+    both = files.join(models, "domain")
+    missing = F.array_except("features", "names")
+    return both.select("file", "model", F.sort_array(missing).alias("missing"), F.sort_array(F.array_except("names", "features")).alias("extra"), (F.size(missing) == 0).alias("fits"))
+
+
 def missing_features(headers: DataFrame, domain: str, allowed: tuple[str, ...] = ()) -> DataFrame:
     """(file, missing, unexpected): how a file's names differ from a domain's features."""
     from ..domains import domain as of
