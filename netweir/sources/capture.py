@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -13,7 +16,8 @@ SCHEMA = (
     " src_port int, dst_port int, protocol int, pkt_len int, ip_hdr_len int, l4_hdr_len int, tcp_flags string, parse_status string"
 )
 FLAGS = "FSRPAUEC"
-NANO, MICRO = 0xA1B23C4D, 0xA1B2C3D4
+NANO, MICRO, SECTION, ETHERNET = 0xA1B23C4D, 0xA1B2C3D4, b"\x0a\x0d\x0d\x0a", 1
+BATCH = 5000
 
 
 class File(InputPartition):
@@ -28,11 +32,24 @@ class CaptureReader(DataSourceReader):
     def partitions(self) -> list[File]:
         return [File(p) for p in self.paths]
 
-    def read(self, partition: File) -> Iterator[tuple]:
+    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
         name = partition.path.rsplit("/", 1)[-1]
-        with open(partition.path.removeprefix("file://"), "rb") as f:
-            for k, (seconds, frame, size) in enumerate(packets(f), 1):
-                yield row(name, k, seconds, frame, size)
+        store, path = fs.FileSystem.from_uri(partition.path if "://" in partition.path else f"file://{os.path.abspath(partition.path)}")
+        kind = arrow_schema()
+        with store.open_input_stream(path) as f:
+            rows: list[tuple] = []
+            for k, (seconds, frame, size, ethernet) in enumerate(packets(f), 1):
+                rows.append(row(name, k, seconds, frame, size, ethernet))
+                if len(rows) == BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind.types)], schema=kind)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind.types)], schema=kind)
+
+
+def arrow_schema() -> pa.Schema:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "timestamp": pa.timestamp("us", "UTC"), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in SCHEMA.split(","))])
 
 
 class CaptureSource(DataSource):
@@ -49,30 +66,71 @@ class CaptureSource(DataSource):
         return CaptureReader(self.options)
 
 
-def packets(f) -> Iterator[tuple[float, bytes, int]]:
-    """(seconds, frame, length on the wire) of each record of a classic capture file; a cut last record ends the file."""
-    head = f.read(24)
+def packets(f) -> Iterator[tuple[float, bytes, int, bool]]:
+    """(seconds, frame, length on the wire, whether it is an Ethernet frame) of each record of a capture, classic or of blocks; a cut
+    last record ends the file."""
+    head = f.read(8)
+    if len(head) == 8 and head[:4] == SECTION:
+        yield from blocks(f, head)
+        return
+    head += f.read(16)
     for order in "<>":
         if len(head) == 24 and struct.unpack(order + "I", head[:4])[0] in (NANO, MICRO):
             unit = 1e9 if struct.unpack(order + "I", head[:4])[0] == NANO else 1e6
             break
     else:
         raise ValueError("not a packet capture")
+    ethernet = struct.unpack(order + "I", head[20:24])[0] & 0xFFFF == ETHERNET
     while len(h := f.read(16)) == 16:
         s, part, kept, size = struct.unpack(order + "IIII", h)
         frame = f.read(kept)
         if len(frame) < kept:
             return
-        yield s + part / unit, frame, size
-
-
-def row(name: str, number: int, seconds: float, frame: bytes, size: int) -> tuple:
-    import datetime
-
-    ts = datetime.datetime.fromtimestamp(seconds, datetime.timezone.utc)
+        yield s + part / unit, frame, size, ethernet
+
+
+def blocks(f, head: bytes) -> Iterator[tuple[float, bytes, int, bool]]:
+    """Packets of a capture made of blocks; blocks of other kinds are passed over.  A section has its own byte order and interfaces,
+    an interface its link type and the unit of its times."""
+    order, interfaces = "<", []
+    while len(head) == 8:
+        if head[:4] == SECTION:
+            magic = f.read(4)
+            order, interfaces = ("<" if magic == b"\x4d\x3c\x2b\x1a" else ">"), []
+            size = struct.unpack(order + "I", head[4:])[0]
+            body = magic + f.read(size - 12)
+        else:
+            size = struct.unpack(order + "I", head[4:])[0]
+            body = f.read(size - 8)
+        if size < 12 or len(body) < size - 8:
+            return
+        kind, body = struct.unpack(order + "I", head[:4])[0], body[:-4]
+        if kind == 1:  # an interface
+            unit, at = 1e-6, 8
+            while at + 4 <= len(body):
+                code, n = struct.unpack(order + "HH", body[at : at + 4])
+                if code == 9 and n:
+                    x = body[at + 4]
+                    unit = 2.0 ** -(x & 0x7F) if x & 0x80 else 10.0**-x
+                if code == 0:
+                    break
+                at += 4 + n + -n % 4
+            interfaces.append((struct.unpack(order + "H", body[:2])[0] == ETHERNET, unit))
+        elif kind == 6 and len(body) >= 20:  # a packet with its time
+            which, high, low, kept, wire = struct.unpack(order + "IIIII", body[:20])
+            ethernet, unit = interfaces[which] if which < len(interfaces) else (True, 1e-6)
+            yield ((high << 32) + low) * unit, body[20 : 20 + kept], wire, ethernet
+        elif kind == 3 and len(body) >= 4 and interfaces:  # a packet without
+            yield 0.0, body[4:], struct.unpack(order + "I", body[:4])[0], interfaces[0][0]
+        head = f.read(8)
+
+
+def row(name: str, number: int, seconds: float, frame: bytes, size: int, ethernet: bool = True) -> tuple:
+    """A packet's row; frames of other link types than Ethernet begin with their IP header."""
+    ts = round(seconds * 1e6)
     none = (name, number, ts, seconds, 0, False, 0, None, None, 0, 0, 0, size, 0, 0, "")
     try:
-        kind, at = struct.unpack("!H", frame[12:14])[0], 14
+        kind, at = (struct.unpack("!H", frame[12:14])[0], 14) if ethernet else (0x0800 if frame[0] >> 4 == 4 else 0, 0)
         while kind in (0x8100, 0x88A8):  # VLAN tags
             kind, at = struct.unpack("!H", frame[at + 2 : at + 4])[0], at + 4
         if kind == 0x0806:

@@ -52,7 +52,10 @@ def flow_table(spark: SparkSession, path: str, domain: str, context: bool = True
 
 
 def training_tables(spark: SparkSession, paths: list[str], domain: str) -> DataFrame:
-    """The rows of several files of one domain, with the file each came from."""
+    """The rows of several files of one domain, with the file each came from; raises for a file of another domain."""
+    others = [r["file"] for r in inspected(spark, paths).filter(F.col("dataset_type") != domain).collect()]  # a row a file
+    if others:
+        raise ValueError(f"not of domain {domain}: {', '.join(others[:8])}")
     out = None
     for p in paths:
         one = flow_table(spark, p, domain, context=False).withColumn("source", F.lit(p))
@@ -69,22 +72,55 @@ def catalogue(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("name", name).withColumn("extension", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))).filter(F.col("extension").isin(*EXTENSIONS)).dropDuplicates(["path"])
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, position, name) of all CSV files of a path, from their first lines, read in one job."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    # the first line of a file is the first row of its first block
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("line"))
+    names = F.split(F.regexp_replace("line", "^\ufeff", ""), ",")
+    return first.select("file", F.posexplode(names).alias("position", "name")).withColumn("name", F.trim(F.regexp_replace(F.trim("name"), '^"|"$', "")))
+
+
 def inspected(spark: SparkSession, paths: list[str], least: float = 0.6) -> DataFrame:
-    """(file, input_type, dataset_type, confidence) by the files' headers."""
-    rows = [(p, k, n) for p in paths for k, n in enumerate(spark.read.parquet(p).columns if p.endswith(".parquet") else header(spark, p))]
+    """(file, input_type, dataset_type, mode, confidence) by the files' headers; captures are of flows by their kind."""
+    from ..domains import DOMAINS
+
+    captures = [p for p in paths if p.rsplit(".", 1)[-1].lower() in ("pcap", "pcapng", "cap")]
+    rows = [(p, k, n) for p in paths if p not in captures for k, n in enumerate(spark.read.parquet(p).columns if p.endswith(".parquet") else header(spark, p))]
     h = spark.createDataFrame(rows, "file string, position int, name string")
     d = labels.detected(labels.header_names(h).withColumn("name", F.regexp_replace("name", "__[0-9]+$", "")), least)
-    return d.select("file", F.when(F.col("file").endswith(".parquet"), "parquet").otherwise("csv").alias("input_type"), F.col("domain").alias("dataset_type"), "confidence")
+    d = d.select("file", F.when(F.col("file").endswith(".parquet"), "parquet").otherwise("csv").alias("input_type"), F.col("domain").alias("dataset_type"), "confidence")
+    d = d.unionByName(spark.createDataFrame([(p, "pcap", "CIC-IDS", 1.0) for p in captures], d.schema))
+    mode = F.create_map(*(F.lit(x) for name, x_ in DOMAINS.items() for x in (name, x_.mode)))
+    return d.withColumn("mode", F.coalesce(F.try_element_at(mode, F.col("dataset_type")), F.lit("Unknown")))
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
-    """Alerts as CSV with a header; helper columns, which begin with _, stay out."""
-    alerts.select([c for c in alerts.columns if not c.startswith("_")]).write.mode("overwrite").option("header", True).csv(path)
+    """Alerts as CSV with a header behind a byte order mark; helper columns, which begin with _, stay out."""
+    own = [c for c in alerts.columns if not c.startswith("_")]
+    marked = alerts.select(F.col(own[0]).alias("\ufeff" + own[0]), *own[1:])
+    marked.write.mode("overwrite").option("header", True).csv(path)
+
+
+def scan_report(summary: DataFrame, top: DataFrame, diagnostics: DataFrame | None = None) -> DataFrame:
+    """One row for a JSON report: totals, risk, the map of the most frequent attacks, and a scan's diagnostics."""
+    parts = [F.struct("total", "anomalies", "risk_score", "risk_level").alias("summary"), F.col("top").alias("top_anomalies")]
+    both = summary.crossJoin(F.broadcast(top))
+    if diagnostics is not None:
+        both = both.crossJoin(F.broadcast(diagnostics.select(F.struct("*").alias("_d"))))
+        parts.append(F.col("_d").alias("diagnostics"))
+    return both.select(*parts)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    report.coalesce(1).write.mode("overwrite").json(path)  # one row
 
 
-def scan_report(summary: DataFrame, top: DataFrame) -> DataFrame:
-    """One row for a JSON report: totals, risk, and the map of the most frequent attacks."""
-    return summary.crossJoin(F.broadcast(top)).select(F.struct("total", "anomalies", "risk_score", "risk_level").alias("summary"), F.col("top").alias("top_anomalies"))
+def write_benchmark(scans: DataFrame, trainings: DataFrame, summary: DataFrame, path: str) -> None:
+    """The scans and the trainings of a benchmark as CSV, its summary as JSON, under one folder."""
+    for name, table in (("scans", scans), ("training", trainings)):
+        table.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    write_report(summary, f"{path}/summary")
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
