@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..adapters import LABELLED_SQL, PACKETS_SQL, SCORES_SQL, labelled, packets, scores, table
+from ..adapters import LABELLED_SQL, PACKETS_SQL, SCORES_SQL, TIMEOUT_S, labelled, packets, scores, table
 from ..operators import flows, history, iforest, models, sampling, scan, thresholds
 from ..streaming import flows as streams
 
@@ -130,13 +130,6 @@ def frequent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.frequent_classes(labelled(spark, sf_dir).select("supplier"), "supplier", 550).groupBy("supplier").agg(F.count("*").alias("rows"))
 
 
-@query("m7_m8_references", "SELECT page_id, contains(lower(url), 'ref') AS holdout FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'data/test/ref.csv' WHEN 1 THEN 'x/benchmark_mix_ref.csv' ELSE 'data/train.csv' END AS url FROM pages)")
-def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("page_id") % 3
-    path = F.when(m == 0, "data/test/ref.csv").when(m == 1, "x/benchmark_mix_ref.csv").otherwise("data/train.csv")
-    return table(spark, sf_dir, "pages").select("page_id", sampling.is_holdout(path).alias("holdout"))
-
-
 @query("x1_supervised_labels", f"WITH s AS ({SCORES_SQL}) SELECT row_id, round(score, 6) AS attack_prob, CASE WHEN score >= 0.3 THEN CASE WHEN label = 1 THEN 'DoS' ELSE 'Scan' END ELSE 'Normal' END AS prediction FROM s")
 def supervised_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     big, small = F.col("score") * 0.7, F.col("score") * 0.3
@@ -150,10 +143,9 @@ def supervised_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors shifted for one label in ten; their decisions are the lowest."""
     e = table(spark, sf_dir, "embeddings")
-    x = [(F.get("embedding", F.lit(k)).cast("double") + F.when(F.col("label") == 0, 3.0).otherwise(0.0)).alias(f"f{k}") for k in range(8)]
+    x = [(F.get("embedding", F.lit(k)).cast("double") + F.when(F.col("label") == 0, 3.0).otherwise(0.0)).alias(f"f{k}") for k in range(64)]
     d = e.select("vec_id", "label", *x)
-    names = [f"f{k}" for k in range(8)]
-    model = iforest.fit(d.filter("label <> 0"), names, ["vec_id"], trees=50, samples=256)
+    model = iforest.fit(d.filter("label <> 0"), [f"f{k}" for k in range(64)], ["vec_id"])
     return model.transform(d).select("vec_id", "label", F.round("decision", 6).alias("decision"))
 
 
@@ -178,8 +170,11 @@ def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; a local session without spark.checkpoint.dir gets one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("t4_alerts_per_window", f"WITH p AS ({PACKETS_SQL}), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS \"at\", count(*) AS alerts FROM p GROUP BY 1) SELECT \"at\", alerts FROM w WHERE \"at\" + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p)")
@@ -188,16 +183,48 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(out, scratch(spark)).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-@query(
-    "t1_stream_flows",
-    f"""WITH p AS (SELECT *, greatest(pkt_len - ip_hdr_len - l4_hdr_len, 0) AS payload_len, CASE WHEN (src_ip, src_port) <= (dst_ip, dst_port) THEN concat_ws('|', src_ip, src_port, dst_ip, dst_port, protocol) ELSE concat_ws('|', dst_ip, dst_port, src_ip, src_port, protocol) END AS conversation FROM ({PACKETS_SQL})),
+#: Packets by flow, with the flows whose idle gap has passed at the end of the stream.
+FLOW_PARTS_SQL = f"""WITH p AS (SELECT *, greatest(pkt_len - ip_hdr_len - l4_hdr_len, 0) AS payload_len, CASE WHEN (src_ip, src_port) <= (dst_ip, dst_port) THEN concat_ws('|', src_ip, src_port, dst_ip, dst_port, protocol) ELSE concat_ws('|', dst_ip, dst_port, src_ip, src_port, protocol) END AS conversation FROM ({PACKETS_SQL})),
     s AS (SELECT *, sum(CASE WHEN gap > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY conversation ORDER BY pkt_no) AS n FROM (SELECT *, ts_s - lag(ts_s) OVER (PARTITION BY conversation ORDER BY pkt_no) AS gap FROM p)),
-    f AS (SELECT conversation, n, max(ts) AS last, min(ts) AS started_at, count(*) AS packets, CAST(sum(payload_len) AS BIGINT) AS bytes FROM s GROUP BY conversation, n)
-    SELECT conversation, packets, bytes FROM f WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p)""",
-)
+    d AS (SELECT *, src_ip = first_value(src_ip) OVER w AND src_port = first_value(src_port) OVER w AS fwd, CASE WHEN row_number() OVER w = 1 THEN 0.0 ELSE greatest(gap, 0.0) END AS iat FROM s WINDOW w AS (PARTITION BY conversation, n ORDER BY pkt_no)),
+    f AS (SELECT conversation, n, max(ts) AS last, count(*) FILTER (WHERE fwd) AS fwd, count(*) FILTER (WHERE NOT fwd) AS bwd, CAST(sum(payload_len) AS BIGINT) AS bytes, count(*) FILTER (WHERE contains(tcp_flags, 'S')) AS syn, round(avg(iat), 3) AS mean, round(stddev_pop(iat), 3) AS std, round(max(iat), 3) AS most FROM d GROUP BY conversation, n)"""
+
+
+@query("t1_stream_flows", FLOW_PARTS_SQL + " SELECT conversation, fwd, bwd, bytes, syn FROM f WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p)")
 def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.drained(streams.closed_flows(packet_stream(spark, sf_dir), "6 hours", "10 minutes"), scratch(spark))
-    return out.select("conversation", (F.col("total_fwd_packets") + F.col("total_backward_packets")).alias("packets"), (F.col("total_length_of_fwd_packets") + F.col("total_length_of_bwd_packets")).alias("bytes"))
+    return out.select("conversation", F.col("total_fwd_packets").alias("fwd"), F.col("total_backward_packets").alias("bwd"), (F.col("total_length_of_fwd_packets") + F.col("total_length_of_bwd_packets")).alias("bytes"), F.col("syn_flag_count").alias("syn"))
+
+
+@query("t2_exact_stream_flows", FLOW_PARTS_SQL + " SELECT conversation, fwd, bwd, bytes, mean, std, most FROM f WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p)")
+def exact_stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = streams.drained(streams.exact_flows(packet_stream(spark, sf_dir), TIMEOUT_S, "10 minutes"), scratch(spark))
+    finally:
+        spark.conf.set(key, old)
+    return out.select("conversation", F.col("total_fwd_packets").alias("fwd"), F.col("total_backward_packets").alias("bwd"), (F.col("total_length_of_fwd_packets") + F.col("total_length_of_bwd_packets")).alias("bytes"), F.round("flow_iat_mean_s", 3).alias("mean"), F.round("flow_iat_std_s", 3).alias("std"), F.round("flow_iat_max_s", 3).alias("most"))
+
+
+@query("t3_stream_scan", FLOW_PARTS_SQL + " SELECT conversation, fwd + bwd AS packets, (fwd + bwd) / 10.0 >= 0.3 AS is_alert FROM f WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p)")
+def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows_ = streams.closed_flows(packet_stream(spark, sf_dir), "6 hours", "10 minutes")
+    n = F.col("total_fwd_packets") + F.col("total_backward_packets")
+    out = streams.drained(streams.labelled_flows(flows_, n / 10.0, 0.3), scratch(spark))
+    return out.select("conversation", n.alias("packets"), "is_alert")
+
+
+@query("t5_session_append", "SELECT 'TCP' AS protocol, count(*) AS packets FROM events WHERE user_id % 3 = 0 UNION ALL SELECT 'UDP', count(*) FROM events WHERE user_id % 3 = 1 UNION ALL SELECT 'ICMP', count(*) FROM events WHERE user_id % 3 = 2")
+def session_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch of a stream is appended to a history as counts; the batch's number makes a repeated batch replace itself."""
+    folder = scratch(spark)
+    name = F.when(F.col("protocol") == 6, "TCP").when(F.col("protocol") == 17, "UDP").otherwise("ICMP")
+    stream = packet_stream(spark, sf_dir).select(name.alias("protocol"))
+    save = lambda batch, number: history.appended(batch.groupBy("protocol").agg(F.count("*").alias("packets")), f"{folder}/sessions", str(number))
+    streams.each_batch(stream, save, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/sessions").groupBy("protocol").agg(F.sum("packets").alias("packets"))
 
 
 @query("m6_blend", f"WITH l AS ({LABELLED_SQL}), b AS (SELECT row_id, label FROM l WHERE label = 'BENIGN'), r AS (SELECT row_id, label FROM l WHERE label <> 'BENIGN' ORDER BY md5('42:' || row_id), row_id LIMIT (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM b)) SELECT * FROM b UNION ALL SELECT * FROM r")

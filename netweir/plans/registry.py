@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import flows, models, tables
+from . import flows, models, rules, tables
 
-QUERIES = {**flows.QUERIES, **tables.QUERIES, **models.QUERIES}
+QUERIES = {**flows.QUERIES, **tables.QUERIES, **models.QUERIES, **rules.QUERIES}

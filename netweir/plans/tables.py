@@ -63,8 +63,9 @@ def mostly_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.mostly_labelled(dirty(spark, sf_dir), "source", "label", 0.285).select("doc_id", "source")
 
 
-@query("b18_clean_text")
+@query("b18_clean_text", f"SELECT doc_id, trim(regexp_replace(replace(replace(label || ' – fin' || lang, '–', ' - '), chr(7), ''), ' {{2,}}', ' ', 'g')) AS label FROM ({DIRTY_SQL})")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dash, a ligature and a control character are added to each label."""
     d = dirty(spark, sf_dir).withColumn("label", F.concat("label", F.lit(" – ﬁn\u0007"), "lang"))
     return labels.cleaned(d, "label").select("doc_id", "label")
 
@@ -76,14 +77,14 @@ def informative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HEADERS_SQL = """
 SELECT source AS file, doc_id AS position, CASE doc_id % 6 WHEN 0 THEN ' Flow Duration' WHEN 1 THEN 'Tot Fwd Pkts' WHEN 2 THEN 'SYN Flag Cnt' WHEN 3 THEN 'Down/Up Ratio' WHEN 4 THEN 'attack_cat' ELSE 'proto' END AS name
-FROM documents WHERE n_chars > 1200
+FROM documents
 """
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("doc_id") % 6
     name = F.when(m == 0, " Flow Duration").when(m == 1, "Tot Fwd Pkts").when(m == 2, "SYN Flag Cnt").when(m == 3, "Down/Up Ratio").when(m == 4, "attack_cat").otherwise("proto")
-    return table(spark, sf_dir, "documents").filter("n_chars > 1200").select(F.col("source").alias("file"), F.col("doc_id").alias("position"), name.alias("name"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("position"), name.alias("name"))
 
 
 NAMES_SQL = f"""
@@ -98,7 +99,7 @@ def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "b3_b5_detect_domain",
+    "b3_b4_detect_domain",
     f"""WITH n AS (SELECT DISTINCT file, regexp_replace(name, '__[0-9]+$', '') AS name FROM ({NAMES_SQL})),
     s AS (SELECT file, count(*) FILTER (WHERE name IN ('flow_duration', 'total_fwd_packets', 'flow_iat_mean', 'syn_flag_count', 'down_up_ratio')) / 5 AS c, count(*) FILTER (WHERE name IN ('proto', 'state', 'spkts', 'ct_srv_src')) / 5 AS u FROM n GROUP BY file)
     SELECT file, CASE WHEN greatest(c, u) < 0.6 THEN 'Unknown' WHEN c >= u THEN 'CIC-IDS' ELSE 'UNSW-NB15' END AS domain, CAST(greatest(c, u) AS DOUBLE) AS confidence FROM s""",
@@ -108,11 +109,6 @@ def detect_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.detected(h).select("file", "domain", "confidence")
 
 
-@query("b7_b9_feature_contract")
-def feature_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.missing_features(labels.header_names(headers(spark, sf_dir)), "CIC-IDS").select("file", F.size("missing").alias("n_missing"), F.array_join("unexpected", ",").alias("unexpected"))
-
-
 #: Alerts: flows with a label by rule, a severity and a confidence.
 ALERTS_SQL = f"""
 {SEQUENCED_SQL},
@@ -190,12 +186,6 @@ def generic_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.generic_share(alerts(spark, sf_dir), F.col("attack") == "DoS Hulk")
 
 
-@query("r12_r13_action_plan")
-def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = report.focus(alerts(spark, sf_dir).filter("attack <> 'BENIGN'"), ["src_ip", "protocol", "destination_port"], "attack")
-    return report.action_plan(f, [("src_ip", None, "Block the source", 30.0), ("protocol", "icmp", "Limit ICMP", 25.0), ("protocol", "tcp", "Turn on SYN cookies", 40.0), ("destination_port", None, "Filter the port", 20.0)])
-
-
 @query("r17_r18_benchmark", f"""{ALERTS_SQL}, r AS (SELECT src_ip, avg(CASE WHEN attack <> 'BENIGN' THEN 1.0 ELSE 0 END) AS rate FROM alerts GROUP BY src_ip),
     v AS (SELECT CASE WHEN src_ip LIKE '10.%' THEN CASE WHEN abs(rate - 0.6) > 0.08 THEN 'POOR' ELSE 'OK' END ELSE 'NO_TARGET' END AS verdict FROM r)
     SELECT count(*) AS runs, count(*) FILTER (WHERE verdict = 'OK') AS ok, count(*) FILTER (WHERE verdict = 'POOR') AS poor, count(*) FILTER (WHERE verdict = 'NO_TARGET') AS no_target, 0::BIGINT AS error, 'client,server' AS families, 1::BIGINT AS algorithms FROM v""")
@@ -222,7 +212,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h3_h4_history", f"SELECT session_id, found, coalesce(s_name, 'Unknown') AS model_name FROM (SELECT * FROM ({SESSIONS_SQL}) ORDER BY created_at DESC, session_id DESC LIMIT 200) LEFT JOIN supplier ON model_id = s_suppkey")
 def history_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return history.view(sessions(spark, sf_dir), F.broadcast(s), F.col("model_id") == F.col("s_suppkey"), "s_name", "created_at", "session_id").select("session_id", "found", "model_name")
+    return history.view(sessions(spark, sf_dir), s, F.col("model_id") == F.col("s_suppkey"), "s_name", "created_at", "session_id").select("session_id", "found", "model_name")
 
 
 @query("h6_attack_distribution", f"{ALERTS_SQL} SELECT attack AS anomaly_type, count(*) AS count FROM alerts GROUP BY attack")

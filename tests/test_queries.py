@@ -7,12 +7,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from netweir.operators import flows, iforest, labels, thresholds
+from netweir.operators import features, flows, history, iforest, labels, quantiles, thresholds
 from netweir.plans import registry
 from netweir.sources import capture, tables
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("l1_l10_random_forest",)
+SLOW = ("l1_l10_random_forest", "l11_forest_training", "l3_l4_isolation_forest")
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +101,75 @@ def test_isolation_forest_finds_a_shifted_cluster(spark):
     m = iforest.fit(d, [f"f{k}" for k in range(4)], ["id"], trees=40)
     low = m.transform(d.union(far)).orderBy("decision").limit(50).collect()
     assert sum(r["id"] >= 900 for r in low) >= 45
+
+
+def test_captures_of_blocks_are_read(spark, tmp_path):
+    ip = struct.pack("!BBHHHBBH4s4s", 0x45, 0, 44, 0, 0, 64, 17, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 2])) + struct.pack("!HHHH", 53, 5353, 8, 0)
+    block = lambda kind, body: struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+    when = 1_700_000_000_250_000
+    data = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 101, 0, 0)) + block(4, b"skip")
+    data += block(6, struct.pack("<IIIII", 0, when >> 32, when & 0xFFFFFFFF, len(ip), len(ip)) + ip + bytes(-len(ip) % 4))
+    (tmp_path / "b.pcapng").write_bytes(data)
+    r = capture.read(spark, [f"{tmp_path}/b.pcapng"]).collect()
+    assert [(x["src_ip"], x["src_port"], x["protocol"], x["ts_s"], x["l4_hdr_len"]) for x in r] == [("10.0.0.1", 53, 17, when / 1e6, 8)]
+
+
+def test_headers_of_a_folder_are_read_in_one_job(spark, tmp_path):
+    for name, line in (("a", "x, y"), ("b", '"p",q,r')):
+        (tmp_path / f"{name}.csv").write_text(f"{line}\n1,2,3\n4,5,6\n")
+    got = sorted((r["file"][-5], r["position"], r["name"]) for r in tables.headers(spark, str(tmp_path)).collect())
+    assert got == [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "p"), ("b", 1, "q"), ("b", 2, "r")]
+
+
+def test_quantiles_by_ranges_equal_numpy(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate((rng.normal(0, 1, 3000), rng.integers(0, 4, 500)))
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    points = [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]
+    for few in (0, 10**6):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        assert quantiles.quantiles(df, "v", points) == pytest.approx(np.quantile(x, points).tolist(), abs=1e-12)
+    assert quantiles.quantiles(df.limit(0), "v", points) == []
+
+
+def test_normal_scores_equal_the_library():
+    from statistics import NormalDist
+
+    import numpy as np
+
+    p = np.array([1e-7, 1e-4, 0.02, 0.0750, 0.3, 0.5, 0.77, 0.999, 1 - 1e-7])
+    assert features.inverse_normal(p) == pytest.approx([NormalDist().inv_cdf(x) for x in p], abs=2e-6)
+
+
+def test_golden_forest_calibration(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(42)
+    names = [f"f{k}" for k in range(4)]
+    rows = lambda n, mean, dev, label, start: [(start + i, *map(float, x), label) for i, x in enumerate(rng.normal(mean, dev, (n, 4)))]
+    kind = "id long, f0 double, f1 double, f2 double, f3 double, label string"
+    train = spark.createDataFrame(rows(220, 0, 1, "BENIGN", 0), kind)
+    evaluation = spark.createDataFrame(rows(120, 0, 1, "BENIGN", 1000) + rows(60, 5, 0.9, "Attack", 2000), kind)
+    forest = iforest.fit(train, names, ["id"], trees=60)
+    scored = forest.transform(evaluation).select((F.col("label") != "BENIGN").cast("int").alias("label"), F.col("decision").alias("score"))
+    m = thresholds.calibrated(scored, 0.05)
+    assert (m["benign_support"], m["attack_support"], m["selection_policy"]) == (120, 60, "supervised_fp_bound")
+    assert m["recall"] > 0.9 and m["fpr"] <= 0.05 and isinstance(m["threshold"], float)
+    assert thresholds.calibrated(scored.filter("label = 0"), 0.08)["selection_policy"] == "unsupervised_fp_quantile"
+    assert thresholds.calibrated(scored.limit(0))["selection_policy"] == "invalid_input"
+    made = iforest.train(evaluation, "label", names, ["id"], trees=40, test=0.4)
+    made.save(spark, f"{tmp_path}/m")
+    again = iforest.Detector.load(spark, f"{tmp_path}/m")
+    one, two = ({r["id"]: r["decision"] for r in d.score(evaluation).collect()} for d in (made, again))
+    assert one == pytest.approx(two) and again.calibration == made.calibration
+    with pytest.raises(ValueError, match="too little normal traffic"):
+        iforest.train(evaluation.filter("label = 'Attack'"), "label", names, ["id"])
+
+
+def test_history_is_appended_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    for _ in range(2):
+        history.appended(rows, f"{tmp_path}/s", "7")
+    assert spark.read.parquet(f"{tmp_path}/s").count() == 2
