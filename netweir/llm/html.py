@@ -42,18 +42,23 @@ IMPLIED = {
 }
 IMPLIED |= {"thead": IMPLIED["tbody"], "tfoot": IMPLIED["tbody"]}
 CLOSES_P = BLOCK - frozenset(["html", "body", "legend", "summary"])
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'][^>]*)*)>?", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
+#: Where the content of an element ends that has no elements in it.
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 250
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "attrs")
+    """An element: hidden with all below it, or veiled, which elements below may undo."""
 
-    def __init__(self, tag: str, hidden: bool = False, attrs: dict[str, str] | None = None):
-        self.tag, self.children, self.hidden, self.attrs = tag, [], hidden, attrs or {}
+    __slots__ = ("tag", "children", "hidden", "veiled", "attrs")
+
+    def __init__(self, tag: str, hidden: bool = False, veiled: bool = False, attrs: dict[str, str] | None = None):
+        self.tag, self.children, self.hidden, self.veiled, self.attrs = tag, [], hidden, veiled, attrs or {}
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -62,7 +67,13 @@ def attributes(text: str) -> dict[str, str]:
 
 def unseen(tag: str, attrs: dict[str, str]) -> bool:
     """Whether an element's text is not shown."""
-    return tag in HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or tag == "input" or bool(UNSEEN.search(attrs.get("style", "")))
+    return tag in HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or bool(UNSEEN.search(attrs.get("style", "")))
+
+
+def veil(attrs: dict[str, str], around: bool) -> bool:
+    """Whether an element's own text is kept from view by its visibility, or else by that of what is around it."""
+    found = VISIBILITY.findall(attrs.get("style", "")) if "style" in attrs else ()
+    return found[-1].lower() in ("hidden", "collapse") if found and found[-1].lower() != "inherit" else around
 
 
 def tree(page: str) -> Node:
@@ -71,7 +82,6 @@ def tree(page: str) -> Node:
     stack = [root]
     places: dict[str, list[int]] = {}  # where in the stack the elements of a tag are
     at = 0
-    low = None
 
     def last(tag: str) -> int:
         return places[tag][-1] if places.get(tag) else 0
@@ -85,7 +95,7 @@ def tree(page: str) -> Node:
 
     def put(child: Node | str) -> None:
         # what is deeper than DEEPEST stays a sibling at that depth, but its text is shown only if all around it is
-        if isinstance(child, Node) or not stack[-1].hidden or len(stack) <= DEEPEST:
+        if isinstance(child, Node) or len(stack) <= DEEPEST or not (stack[-1].hidden or stack[-1].veiled):
             stack[min(len(stack), DEEPEST) - 1].children.append(child)
 
     def write(text: str) -> None:
@@ -131,18 +141,15 @@ def tree(page: str) -> Node:
         attrs = attributes(m[3]) if m[3] and m[3].strip(" /\n") else {}
         foreign = last("svg") or last("math")
         undrawn = tag in UNDRAWN and last(UNDRAWN[tag]) > 0
-        node = Node(tag, stack[-1].hidden or undrawn or unseen(tag, attrs), attrs)
+        node = Node(tag, stack[-1].hidden or undrawn or unseen(tag, attrs), veil(attrs, stack[-1].veiled), attrs)
         put(node)
         if foreign and m[3] and m[3].endswith("/"):
             continue
         if tag in RAW:
-            if low is None:
-                low = page.lower()
-            end = low.find("</" + tag, at)
-            end = len(page) if end < 0 else end
-            text = page[at:end]
+            end = ENDS[tag].search(page, at)
+            text = page[at : end.start()] if end else page[at:]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
-            at = (low.find(">", end) + 1 or len(page)) if end < len(page) else end
+            at = end.end() if end else len(page)
         elif tag not in VOID:
             places.setdefault(tag, []).append(len(stack))
             stack.append(node)
@@ -202,12 +209,14 @@ def rendered(node: Node, out: Lines) -> None:
         number = int(start) if start.lstrip("-").isdigit() and len(start) < 10 else 1
     for child in node.children:
         if isinstance(child, str):
-            if not node.hidden:
+            if not node.hidden and not node.veiled:
                 out.text(child)
             continue
         if child.hidden:
             continue
         tag = child.tag
+        if child.veiled and tag in VOID:
+            continue
         if tag == "br":
             if out.now.strip(" "):
                 out.end()
@@ -217,6 +226,17 @@ def rendered(node: Node, out: Lines) -> None:
         elif tag == "hr":
             out.end()
             out.add(["---"])
+        elif tag == "input":
+            if child.attrs.get("type", "").lower() in ("submit", "reset", "button") and child.attrs.get("value", "").strip():
+                out.text(" " + child.attrs["value"] + " ")
+        elif tag == "tr":  # of no table
+            out.end()
+            rendered(child, out)
+            out.end()
+        elif tag in ("td", "th"):
+            out.text(" ")
+            rendered(child, out)
+            out.text(" ")
         elif tag == "img":
             if child.attrs.get("alt", "").strip():
                 out.text(" " + child.attrs["alt"] + " ")
@@ -266,7 +286,7 @@ def rendered(node: Node, out: Lines) -> None:
 
 def flat(node: Node) -> str:
     """All visible text below a node, as it stands."""
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else "" if c.hidden else flat(c) for c in node.children)
+    return "".join(("" if node.veiled else c) if isinstance(c, str) else "\n" if c.tag == "br" else "" if c.hidden else flat(c) for c in node.children)
 
 
 def table_lines(table: Node) -> list[str]:
@@ -280,7 +300,7 @@ def table_lines(table: Node) -> list[str]:
             elif c.hidden:
                 continue
             elif c.tag == "tr":
-                rows.append([(lines_of(x), span(x)) for x in c.children if not isinstance(x, str) and not x.hidden and x.tag in ("td", "th")])
+                rows.append([(lines_of(x), span(x), span(x, "rowspan")) for x in c.children if not isinstance(x, str) and not x.hidden and x.tag in ("td", "th")])
                 for x in c.children:
                     if isinstance(x, str):
                         outside.text(x)
@@ -289,34 +309,51 @@ def table_lines(table: Node) -> list[str]:
             elif c.tag in ("thead", "tbody", "tfoot"):
                 collect(c)
             elif c.tag in ("td", "th"):
-                rows.append([(lines_of(c), span(c))])
+                rows.append([(lines_of(c), span(c), span(c, "rowspan"))])
             elif c.tag not in ("colgroup", "col"):
                 rendered_alone(c, outside)
 
     collect(table)
-    widths: list[int] = []
-    for row in rows:
-        k = 0
-        for lines, over in row:
-            widths += [0] * (k + over - len(widths))
+    placed = placing(rows)
+    widths = [0] * max((k + over for row in placed for k, _, over in row), default=0)
+    for row in placed:
+        for k, lines, over in row:
             if over == 1:
                 widths[k] = max(widths[k], *map(width, lines or [""]))
-            k += over
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + 2)
     out = outside.done()
-    for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            k, line, to = 0, "", 0
-            for lines, over in row:
-                x = lines[i] if i < len(lines) else ""
-                line += " " * max(0, to - width(line)) + ("  " if k else "") + x
-                to += sum(widths[k : k + over]) + 2 * over - (2 if not k else 0)
-                k += over
+    for row in placed:
+        for i in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line = ""
+            for k, lines, _ in row:
+                if i < len(lines):
+                    line += " " * max(2 if line.strip() else 0, starts[k] - width(line)) + lines[i]
             out.append(line.rstrip())
     return out
 
 
-def span(cell: Node) -> int:
-    n = cell.attrs.get("colspan", "1").strip()
+def placing(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], int]]]:
+    """(column, lines, columns) of each row's cells, beside the cells of rows before that reach down to it."""
+    taken: dict[int, int] = {}  # columns and how many more rows a cell before holds them for
+    out = []
+    for row in rows:
+        placed, k, new = [], 0, {}
+        for lines, over, down in row:
+            while taken.get(k, 0):
+                k += 1
+            placed.append((k, lines, over))
+            if down > 1:
+                new |= {k + j: down - 1 for j in range(over)}
+            k += over
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
+        out.append(placed)
+    return out
+
+
+def span(cell: Node, of: str = "colspan") -> int:
+    n = cell.attrs.get(of, "1").strip()
     return min(1000, max(1, int(n))) if n.isdigit() and len(n) < 6 else 1
 
 
@@ -345,8 +382,8 @@ def extract(page: str | None) -> str:
 def visible_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, text) of every row.
 
-    Null and empty pages, and pages with nothing visible, give the empty text.  Elements deeper than DEEPEST stay siblings at
-    that depth, so no page can exhaust the stack.  Null ids and repeated rows are passed on, one row out for each row in.
+    Null and empty pages, and pages with nothing visible, give the empty text; pages of any length are read whole.  Elements
+    deeper than DEEPEST stay siblings at that depth, with all their text, so no page can exhaust the stack.  Null ids and repeated rows are passed on, one row out for each row in.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -263,3 +263,73 @@ def test_html_text_that_browsers_show():
     for inner in ("<div style='display:none'><div>no</div>no<b>no</b></div>", "<p hidden>no", "<span hidden><div>no</div></span>"):
         assert extract(f"{deep}<p>a</p>{inner}<div>b <i>c</i> d</div></div>e").split() == ["a", "b", "c", "d", "e"]
     assert extract("<div hidden>" + deep + "no" + "</div>" * (DEEPEST + 9) + "no</div>yes") == "yes"
+
+
+def test_html_text_is_not_lost():
+    from netweir.llm.html import extract
+
+    assert extract("İ" * 10 + "<script>var a=1;</script>hello world, this is text") == "İ" * 10 + "hello world, this is text"
+    assert extract("a<script>if (x </scripty> y) z</SCRIPT >b") == "ab"
+    assert extract("<tr><td>a<td>b<tr><td>c") == "a b\nc"
+    assert extract("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p><b>no</b></div>") == "yes"
+    assert extract("<div hidden>no<p style='visibility: visible'>no</p></div>z") == "z"
+    assert extract('<p>x<a title="foo>y</a> z') == "xy z"
+    assert extract("<input type=submit value='Send'><input value=no>") == "Send"
+    assert extract("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>dd<td>e<tr><td>f<td>g</table>") == "a  b   c\n   dd  e\nf  g"
+
+
+def random_tree(rng, depth=0):
+    """(HTML, visible words in order) of a random page whose tags are all closed."""
+    if depth > 4 or rng.random() < 0.25:
+        w = "".join(rng.choice("abcdefgh") for _ in range(5))
+        return w + " ", [w]
+    tag = rng.choice(["p", "div", "span", "b", "ul", "ol", "section", "blockquote", "article", "em"])
+    inside = [random_tree(rng, depth + 1) for _ in range(rng.randint(1, 4))]
+    if tag == "p":  # a p can hold no block
+        inside = [random_tree(rng, 5) for _ in inside]
+    if tag in ("ul", "ol"):
+        inside = [(f"<li>{h}</li>", w) for h, w in inside]
+    hide = rng.choice(["", "", "", " hidden", " style='display:none'", " style='visibility:hidden'", " style='visibility:visible'"])
+    return f"<{tag}{hide}>" + "".join(h for h, _ in inside) + f"</{tag}>", (hide, [w for _, w in inside])
+
+
+def shown(words, veiled=False):
+    if isinstance(words, list):
+        return [x for w in words for x in (shown(w, veiled) if not isinstance(w, str) else [] if veiled else [w])]
+    hide, inside = words
+    if "hidden" == hide.strip() or "none" in hide:
+        return []
+    veiled = "visibility:hidden" in hide or veiled and "visible" not in hide
+    return [x for w in inside for x in shown(w, veiled)]
+
+
+def test_html_random_trees_give_all_their_words():
+    from netweir.llm.html import extract
+
+    rng = random.Random(12)
+    for _ in range(400):
+        page, words = "", []
+        for _ in range(3):
+            h, w = random_tree(rng)
+            page, words = page + h, words + [w]
+        got = [x for x in extract(page).replace("- ", " ").split() if not x.rstrip(".").isdigit()]
+        assert got == [x for w in words for x in shown(w)], page
+
+
+def test_long_texts_and_edited_copies_against_brute_force(spark):
+    rng = random.Random(3)
+    long = " ".join(str(rng.random()) for _ in range(60_000))  # over a million characters
+    rows = [(7, long), (3, None), (9, ""), (1, "end of it all"), (4, long[5:])]
+    out = {r["doc_id"]: r for r in fingerprint.edited_copies(docs(spark, *rows)).collect()}
+    by = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for k, (i, t) in enumerate(by):
+        n = by[(k + 1) % len(by)][1]
+        e = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+        sets = [{(hashlib.md5(d[a:b]).digest(), b - a) for a, b in zip([0, *ends], ends)} for d in (t.encode(), e.encode(), n.encode()) for ends in [fingerprint.cuts(d) if d else []]]
+        like = lambda a, b: sum(x for _, x in a & b) / sum(x for _, x in a) if a and b else float(not a and not b)
+        assert out[i]["near_edited"] == pytest.approx(like(sets[0], sets[1])) and out[i]["near_next"] == pytest.approx(like(sets[0], sets[2]))
+        assert out[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+    assert out[7]["near_next"] > 0.99 or out[4]["near_next"] < 0.01
+    lines = linededup.dedup_lines(docs(spark, *rows)).count()
+    assert lines == 5 and bpe.round_trip(docs(spark, *rows), vocabulary_path()).filter("n_tokens > 500000").count() == 2
+    assert toxicity.scores(docs(spark, *rows), toxicity.Model()).count() == 5
