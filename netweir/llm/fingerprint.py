@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import mix, parts, total_bytes
+from .common import bounded, mix, parts, tidy, total_bytes
 
 LEAST, NORMAL, MOST, WINDOW = 6, 24, 96, 16
 #: Bits that must be zero before and after the normal size; high bits, which all bytes of the window reach.
@@ -86,19 +87,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([packed(chunk_set(x or "")) for x in b.column(1).to_pylist()], pa.string())], ["id", "fingerprint"])
 
+    bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def range_bucket(value: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are at most the value, by blocks of about the root of their number."""
-    if not bounds:
-        return F.lit(0)
-    each = max(1, int(len(bounds) ** 0.5))
-    all_, firsts = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[::each]))
-    block = F.size(F.filter(firsts, lambda b: b <= value))
-    inside = F.size(F.filter(F.slice(all_, (block - 1) * each + 1, each), lambda b: b <= value))
-    return F.when(block > 0, (block - 1) * each + inside).otherwise(0)
+#: The most bounds of ranges of ids that a plan holds.
+BOUNDS = 256
+#: Ranges whose first ids are few enough for every task to have them all; beyond, rows meet them by a shuffle.
+FEW_RANGES = 100_000
+
+
+def range_bucket(value: Column, bounds: list[int], each: int) -> Column:
+    """A number that grows with the value: the range between two of the sorted bounds that it is in, and which of ``each`` equal
+    parts of that range.  The bounds include the least and the greatest value; null is in the first range."""
+    if len(bounds) < 2:
+        return F.lit(0).cast("long")
+    all_ = F.array(*map(F.lit, bounds))
+    k = F.least(F.greatest(F.size(F.filter(all_, lambda b: b <= value)) - 1, F.lit(0)), F.lit(len(bounds) - 2))
+    low, high = F.get(all_, k).cast("double"), F.get(all_, k + 1).cast("double")
+    part = F.least(F.greatest(F.floor((value.cast("double") - low) / (high - low) * each), F.lit(0)), F.lit(each - 1))
+    return F.coalesce(k.cast("long") * each + part, F.lit(0)).cast("long")
 
 
 def edited_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,16 +118,20 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     follows its last, so that no task holds more than two texts beside its batch.
     """
     spark = docs.sparkSession
+    bounded(spark)
     d = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     n = 4 * parts(spark, total_bytes(d))
-    bounds = sorted(set(d.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10 * n)).first()[0] or []))
-    d = d.withColumn("bucket", range_bucket(F.col("id"), bounds))
-    tops = {r["bucket"]: r["top"] for r in d.groupBy("bucket").agg(F.max("id").alias("top")).collect()}  # at most n rows
-    held = sorted(tops)
+    k = min(n, BOUNDS)
+    ends = d.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.percentile_approx("id", [i / k for i in range(1, k)] or [0.5], 20 * k).alias("mid")).first()
+    bounds = [] if ends["lo"] is None else sorted({ends["lo"], ends["hi"], *ends["mid"]})
+    d = d.withColumn("bucket", range_bucket(F.col("id"), bounds, -(-n // k)))
     # the row after a range's last one: the first of the next range below that has rows, or after the last range the very first
-    wanted = [(b, tops[held[k - 1]]) for k, b in enumerate(held)]
-    after = spark.createDataFrame(wanted, "bucket int, top long")
-    firsts = d.drop("bucket").join(F.broadcast(after), F.col("id").eqNullSafe(F.col("top")), "inner").groupBy("bucket").agg(F.min("text").alias("text"))
+    w = Window.orderBy("bucket")  # one row of two numbers for each range
+    tops = d.groupBy("bucket").agg(F.max("id").alias("own"))
+    after = tops.select("bucket", F.when(F.row_number().over(w) == 1, F.max("own").over(Window.partitionBy())).otherwise(F.lag("own").over(w)).alias("top"))
+    if k * -(-n // k) <= FEW_RANGES:  # as many rows at most
+        after = F.broadcast(after)
+    firsts = d.drop("bucket").join(after, F.col("id").eqNullSafe(F.col("top")), "inner").groupBy("bucket").agg(F.min("text").alias("text"))
     rows = d.select("bucket", "id", "text", F.lit(False).alias("borrowed")).unionByName(firsts.select("bucket", F.lit(None).cast("long").alias("id"), "text", F.lit(True).alias("borrowed")))
     rows = rows.repartition(n // 4, "bucket").sortWithinPartitions("bucket", "borrowed", F.desc_nulls_last("id"), "text")
     sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
@@ -141,4 +154,4 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
