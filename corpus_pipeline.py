@@ -1,4 +1,9 @@
-"""A corpus pipeline: toxicity, line dedup, near-dedup, mixing, tokens; each stage reads what its predecessor wrote."""
+"""A corpus pipeline: toxicity, line dedup, near-dedup, mixing, tokens; each stage reads what its predecessor wrote.
+
+All stages take null and empty texts for texts without words or lines, which stay (of equal ones, one); rows without an id
+stay; rows that repeat an id are judged alike, and those of a kept id stay; extra columns are passed on whatever their names;
+an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
