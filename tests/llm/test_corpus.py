@@ -129,16 +129,33 @@ def test_mix_is_pfair_and_whole(spark):
     assert mixing.mixed(d).columns == d.columns
 
 
-def test_mix_cycle_equals_a_plain_schedule(spark):
-    for quota in ([1], [3, 2], [5, 3, 1, 1], [7, 7, 7], [1, 1, 40]):
-        got = spark.range(1).select(mixing.cycle_slots(F.array(*map(F.lit, quota)))).first()[0]
-        total, done, out = sum(quota), [0] * len(quota), []
-        for t in range(total):
-            ready = [(-(-(done[i] + 1) * total // q), i) for i, q in enumerate(quota) if done[i] < q and done[i] * total // q <= t]
-            i = min(ready)[1]
-            done[i] += 1
-            out.append(i)
-        assert got == out
+def holds_pfair(spark, blocks, weights, least):
+    """All blocks have a slot of their own within their windows, and no share is off by a block after any slot of a phase."""
+    made = mixing.phases(blocks, weights, least)
+    out = mixing.places(spark, made).collect()
+    order = {r["slot"]: (r["_source"], r["block"]) for r in out}
+    assert sorted(order) == list(range(sum(blocks.values()))) and len(out) == len(set(order.values())) == len(order)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    for start, length, _, total, names, part, base, _ in made:
+        assert all(abs(p / total - weights[s] / sum(weights[k] for k in names)) < 1e-9 for s, p in zip(names, part))
+        done = dict(zip(names, base))
+        for t in range(length):
+            s, k = order[start + t]
+            assert done[s] == k
+            done[s] += 1
+            assert all(abs((done[s] - b) * total - p * (t + 1)) < total for s, p, b in zip(names, part, base)), t
+    return made
+
+
+def test_mix_stretches_hold_the_bound(spark):
+    rng = random.Random(1)
+    assert mixing.phases({}, {}, 5) == [] and mixing.places(spark, []).count() == 0
+    holds_pfair(spark, {"a": 1}, {"a": 1.0}, 5)
+    made = holds_pfair(spark, {f"s{i}": 60 for i in range(20)}, dict.fromkeys([f"s{i}" for i in range(20)], 1.0), 10)
+    assert len(made) == 1 and made[0][1] // made[0][2] > 50  # many stretches
+    for n in (2, 3, 8, 30):
+        weights = {f"s{i}": rng.choice([rng.random() + 0.02, 1.0, rng.random() ** 3 + 0.01]) for i in range(n)}
+        holds_pfair(spark, {s: rng.choice([rng.randrange(1, 300), int(300 * w) + 1]) for s, w in weights.items()}, weights, rng.choice([1, 5, 50]))
 
 
 def test_mix_keeps_to_the_target_weights(spark):
@@ -154,17 +171,10 @@ def test_mix_keeps_to_the_target_weights(spark):
         assert all(abs(done[k] - t * w) < 1 for k, w in weights.items()), t
 
 
-def test_mix_does_not_drift():
-    root = {f"s{k}": (100000 if k == 0 else 900 + 97 * k) ** 0.5 for k in range(20)}
-    total = sum(root.values())
-    plan = mixing.schedule({s: int(3e4 * w / total) for s, w in root.items()}, root)
-    order = sorted((t, s) for s, (slots, _, _) in plan.items() for t in slots)
-    assert [t for t, _ in order] == list(range(len(order)))
-    done = Counter()
-    for t, s in order[:29900]:
-        done[s] += 1
-        if t % 97 == 0:
-            assert all(abs(done[k] - (t + 1) * w / total) < 1.001 for k, w in root.items()), t
+def test_mix_does_not_drift(spark):
+    sizes = {f"s{k}": 100000 if k == 0 else 900 + 97 * k for k in range(20)}
+    made = holds_pfair(spark, {s: int(0.15 * n) for s, n in sizes.items()}, {s: n**0.5 for s, n in sizes.items()}, 240)
+    assert sum(m[1] // m[2] for m in made) > 60
 
 
 @pytest.mark.parametrize("shallow", [8, 16, 32])
