@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .quantiles import quantiles
+from .quantiles import by_group, quantiles
 
 POLICY, LEGACY = "netweir.thresholds.v1", "netweir.thresholds.legacy.v0"
 GRID = [0.01 + i * 0.01 for i in range(99)]
@@ -85,11 +85,18 @@ def weighted_evaluation(df: DataFrame, actual: str, predicted: str) -> DataFrame
 
 
 def distribution(df: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
-    """Least, greatest, mean, population deviation and quantiles of finite scores."""
+    """Least, greatest, mean, population deviation and quantiles of finite scores, of each group or of all rows.
+
+    Quantiles are exact, by ranks within ranges of values of each group, so a group of any size is spread.
+    """
     points = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
     x = F.when(~F.isnan(score) & (F.abs(score) != float("inf")), F.col(score))
-    g = df.groupBy(*(by or []))
-    return g.agg(F.min(x).alias("least"), F.max(x).alias("greatest"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), *(F.round(F.percentile(x, p), 6).alias(f"q{int(p * 100):02d}") for p in points))
+    d = df if by else df.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
+    g = d.groupBy(F.struct(*keys).alias("_g")).agg(F.min(x).alias("least"), F.max(x).alias("greatest"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"))
+    q = by_group(d, keys, x, points)
+    out = g.join(q, "_g", "left")
+    return out.select(*(F.col(f"_g.{c}").alias(c) for c in by or []), "least", "greatest", "mean", "std", *(F.round(F.get("_q", F.lit(k)), 6).alias(f"q{int(p * 100):02d}") for k, p in enumerate(points)))
 
 
 def repaired(df: DataFrame, score: str) -> DataFrame:

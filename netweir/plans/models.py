@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import LABELLED_SQL, PACKETS_SQL, SCORES_SQL, TIMEOUT_S, labelled, packets, scores, table
+from ..domains import CIC_FEATURES
 from ..operators import flows, history, iforest, models, sampling, scan, thresholds
 from ..streaming import flows as streams
+from .flows import _flow_sql
 
 QUERIES: dict = {}
 
@@ -183,21 +185,27 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(out, scratch(spark)).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-#: Packets by flow, with the flows whose idle gap has passed at the end of the stream.
-FLOW_PARTS_SQL = f"""WITH p AS (SELECT *, greatest(pkt_len - ip_hdr_len - l4_hdr_len, 0) AS payload_len, CASE WHEN (src_ip, src_port) <= (dst_ip, dst_port) THEN concat_ws('|', src_ip, src_port, dst_ip, dst_port, protocol) ELSE concat_ws('|', dst_ip, dst_port, src_ip, src_port, protocol) END AS conversation FROM ({PACKETS_SQL})),
-    s AS (SELECT *, sum(CASE WHEN gap > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY conversation ORDER BY pkt_no) AS n FROM (SELECT *, ts_s - lag(ts_s) OVER (PARTITION BY conversation ORDER BY pkt_no) AS gap FROM p)),
-    d AS (SELECT *, src_ip = first_value(src_ip) OVER w AND src_port = first_value(src_port) OVER w AS fwd, CASE WHEN row_number() OVER w = 1 THEN 0.0 ELSE greatest(gap, 0.0) END AS iat FROM s WINDOW w AS (PARTITION BY conversation, n ORDER BY pkt_no)),
-    f AS (SELECT conversation, n, max(ts) AS last, count(*) FILTER (WHERE fwd) AS fwd, count(*) FILTER (WHERE NOT fwd) AS bwd, CAST(sum(payload_len) AS BIGINT) AS bytes, count(*) FILTER (WHERE contains(tcp_flags, 'S')) AS syn, round(avg(iat), 3) AS mean, round(stddev_pop(iat), 3) AS std, round(max(iat), 3) AS most FROM d GROUP BY conversation, n)"""
+#: Flows of the batch whose idle gap has passed at the end of the stream, by the SQL of the batch's flows.
+CLOSED_SQL = f"""FROM ({_flow_sql().replace("SELECT CAST(flow_seq AS BIGINT) AS flow_seq,", "SELECT key, last,").replace("any_value(protocol) AS proto,", "any_value(protocol) AS proto, max(ts) AS last,").replace("EXCLUDE (key, flow_seq,", "EXCLUDE (key, last, flow_seq,")}) f
+    WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
 
 
-@query("t1_stream_flows", FLOW_PARTS_SQL + " SELECT conversation, fwd, bwd, bytes, syn FROM f WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p)")
+def rounded(flows_: DataFrame) -> DataFrame:
+    """Features with the digits that the batch's query compares."""
+    kinds = dict(flows_.dtypes)
+    drop = ("capture_id", "conversation", "started_at", "target_label")
+    return flows_.select(*(F.round(c, 1 if "iat" in c or c == "flow_duration" else 4).alias(c) if kinds[c] == "double" else F.col(c) for c in flows_.columns if c not in drop))
+
+
+@query("t1_stream_flows", f"SELECT * EXCLUDE (key, last) EXCLUDE_IAT {CLOSED_SQL}".replace("EXCLUDE (key, last) EXCLUDE_IAT", "EXCLUDE (key, last, " + ", ".join(c for c in CIC_FEATURES if "iat" in c) + ")"))
 def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.drained(streams.closed_flows(packet_stream(spark, sf_dir), "6 hours", "10 minutes"), scratch(spark))
-    return out.select("conversation", F.col("total_fwd_packets").alias("fwd"), F.col("total_backward_packets").alias("bwd"), (F.col("total_length_of_fwd_packets") + F.col("total_length_of_bwd_packets")).alias("bytes"), F.col("syn_flag_count").alias("syn"))
+    """All features that need no order of packets, of constant state in the engine."""
+    return rounded(streams.drained(streams.closed_flows(packet_stream(spark, sf_dir), "6 hours", "10 minutes"), scratch(spark)))
 
 
-@query("t2_exact_stream_flows", FLOW_PARTS_SQL + " SELECT conversation, fwd, bwd, bytes, mean, std, most FROM f WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p)")
+@query("t2_exact_stream_flows", f"SELECT * EXCLUDE (key, last) {CLOSED_SQL}")
 def exact_stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the batch's flows."""
     key = "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -205,10 +213,22 @@ def exact_stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = streams.drained(streams.exact_flows(packet_stream(spark, sf_dir), TIMEOUT_S, "10 minutes"), scratch(spark))
     finally:
         spark.conf.set(key, old)
-    return out.select("conversation", F.col("total_fwd_packets").alias("fwd"), F.col("total_backward_packets").alias("bwd"), (F.col("total_length_of_fwd_packets") + F.col("total_length_of_bwd_packets")).alias("bytes"), F.round("flow_iat_mean_s", 3).alias("mean"), F.round("flow_iat_std_s", 3).alias("std"), F.round("flow_iat_max_s", 3).alias("most"))
+    return rounded(out)
+
+
+@query("t4_sliding_alert_rate", f"""WITH p AS ({PACKETS_SQL}), w AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 1 MINUTE * k AS "at", src_ip, pkt_len FROM p, range(5) r(k))
+    SELECT "at", src_ip, count(*) AS packets, count(*) FILTER (WHERE pkt_len >= 100) AS alerts, round(count(*) FILTER (WHERE pkt_len >= 100) / count(*), 6) AS rate
+    FROM w WHERE "at" + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p) GROUP BY "at", src_ip""")
+def sliding_alert_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.alert_rates(packet_stream(spark, sf_dir), F.col("pkt_len") >= 100, delay="10 minutes")
+    return streams.drained(out, scratch(spark)).withColumn("at", F.col("at").cast("timestamp_ntz")).withColumn("rate", F.round("rate", 6))
+
+
+#: Packets of the batch's flows whose idle gap has passed at the end of the stream.
+FLOW_PARTS_SQL = f"WITH f AS (SELECT key AS conversation, last, total_fwd_packets AS fwd, total_backward_packets AS bwd {CLOSED_SQL})"
 
 
-@query("t3_stream_scan", FLOW_PARTS_SQL + " SELECT conversation, fwd + bwd AS packets, (fwd + bwd) / 10.0 >= 0.3 AS is_alert FROM f WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p)")
+@query("t3_stream_scan", FLOW_PARTS_SQL + " SELECT conversation, fwd + bwd AS packets, (fwd + bwd) / 10.0 >= 0.3 AS is_alert FROM f")
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows_ = streams.closed_flows(packet_stream(spark, sf_dir), "6 hours", "10 minutes")
     n = F.col("total_fwd_packets") + F.col("total_backward_packets")

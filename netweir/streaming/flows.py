@@ -1,128 +1,267 @@
 """Packets to flows and alerts on streams.
 
-A stream of packets has the columns of the packets table with ts as event time.  Sessions close when the watermark passes
-their end, so late packets beyond the delay are dropped.
+A stream of packets has the columns of the projected packets with ts as event time.  The watermark closes flows; packets that
+come later than its delay are dropped, and Spark counts them (see ``dropped``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..operators.flows import US, completed, endpoints
+
+#: Names of flags by their letters, in the order in which they are counted.
+FLAGS = {"F": "fin", "S": "syn", "R": "rst", "P": "psh", "A": "ack", "U": "urg", "C": "cwr", "E": "ece"}
+
 
 def conversation(packets: DataFrame) -> DataFrame:
     """packets with one key for both directions."""
-    a, b = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")), F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
+    a, b = endpoints()
     low, high = F.least(a, b), F.greatest(a, b)
     key = F.concat_ws("|", low["ip"], low["port"].cast("string"), high["ip"], high["port"].cast("string"), F.col("protocol").cast("string"))
     return packets.withColumn("conversation", key).withColumn("from_low", a <= b)
 
 
 def closed_flows(packets: DataFrame, timeout: str = "120 seconds", delay: str = "60 seconds") -> DataFrame:
-    """Flows whose idle gap has passed: packets, bytes and flags of both directions.
+    """Flows whose idle gap has passed, with all features that do not need the order of packets: all but inter-arrival times.
 
-    The first packet of a flow says which way is forward.  Sums are kept for each end of the conversation, and only which end
-    came first, so the state of a session has one size whatever its packets, and parts of it can be merged.
+    The first packet of a flow says which way is forward.  Counts, sums and moments are kept for each end of the conversation, and
+    which end came first, so the state of a session has one size whatever its packets, and parts of it can be merged.
     """
     p = conversation(packets).withWatermark("ts", delay)
-    low, size = F.col("from_low"), F.col("payload_len").cast("long")
-    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
+    low, size = F.col("from_low"), F.col("payload_len").cast("double")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    ends = {}
+    for end, of in (("low", low), ("high", ~low)):
+        x = F.when(of, size)
+        ends |= {f"n_{end}": F.count_if(of), f"bytes_{end}": F.coalesce(F.sum(F.when(of, F.col("payload_len").cast("long"))), F.lit(0)), f"psh_{end}": F.count_if(of & F.col("tcp_flags").contains("P")), f"urg_{end}": F.count_if(of & F.col("tcp_flags").contains("U"))}
+        ends |= {f"{k}_{end}": zero(fn(x)) for k, fn in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max), ("min", F.min))}
     g = p.groupBy("conversation", F.session_window("ts", timeout).alias("session")).agg(
-        F.min_by(F.struct("src_ip", "dst_port", "from_low"), "pkt_no").alias("f"),
-        total(low, F.lit(1)).alias("n_low"),
-        total(~low, F.lit(1)).alias("n_high"),
-        total(low, size).alias("b_low"),
-        total(~low, size).alias("b_high"),
-        F.count_if(F.col("tcp_flags").contains("S")).alias("syn_flag_count"),
-    )
-    first = F.col("f.from_low")
-    return g.select(
-        "conversation",
-        F.col("session.start").alias("started_at"),
-        F.col("f.src_ip").alias("src_ip"),
-        F.col("f.dst_port").alias("destination_port"),
-        F.when(first, F.col("n_low")).otherwise(F.col("n_high")).alias("total_fwd_packets"),
-        F.when(first, F.col("n_high")).otherwise(F.col("n_low")).alias("total_backward_packets"),
-        F.when(first, F.col("b_low")).otherwise(F.col("b_high")).alias("total_length_of_fwd_packets"),
-        F.when(first, F.col("b_high")).otherwise(F.col("b_low")).alias("total_length_of_bwd_packets"),
-        "syn_flag_count",
+        F.min_by(F.struct("src_ip", "dst_ip", "src_port", "dst_port", "from_low", "protocol"), F.struct("ts", "pkt_no")).alias("_s"),
+        F.min("ts").alias("started_at"),
+        F.min("ts_s").alias("_t0"),
+        F.max("ts_s").alias("_t1"),
+        *(c.alias(n) for n, c in ends.items()),
+        zero(F.avg(size)).alias("packet_length_mean"),
+        zero(F.stddev_pop(size)).alias("packet_length_std"),
+        zero(F.var_pop(size)).alias("packet_length_variance"),
+        zero(F.max(size)).alias("max_packet_length"),
+        zero(F.min(size)).alias("min_packet_length"),
+        *(F.count_if(F.col("tcp_flags").contains(x)).alias(f"{n}_flag_count") for x, n in FLAGS.items()),
     )
+    side = lambda name, fwd: F.when(F.col("_s.from_low") == F.lit(fwd), F.col(f"{name}_low")).otherwise(F.col(f"{name}_high"))
+    named = {}
+    for way, fwd, packets_ in (("fwd", True, "total_fwd_packets"), ("bwd", False, "total_backward_packets")):
+        named |= {packets_: side("n", fwd), f"total_length_of_{way}_packets": side("bytes", fwd), f"{way}_psh_flags": side("psh", fwd), f"{way}_urg_flags": side("urg", fwd)}
+        named |= {f"{way}_packet_length_{k}": side(k, fwd) for k in ("mean", "std", "max", "min")}
+    wide = g.withColumns({**named, "_protocol": F.col("_s.protocol")})
+    return completed(wide.withColumn("capture_id", F.col("conversation"))).withColumnRenamed("capture_id", "conversation")
+
+
+# What a running flow consists of: where its first packet came from and when, its last time, and moments of sizes and gaps.
+KINDS = ("fwd_size", "bwd_size", "size", "gap", "fwd_gap", "bwd_gap")
+PACKET = ("ts_s", "pkt_no", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "payload_len", "tcp_flags")
+
+
+class Moments:
+    """Number, mean, squared deviations, greatest and least of some values; two of them can be merged."""
+
+    def __init__(self, n: float = 0, mean: float = 0.0, m2: float = 0.0, most: float = -np.inf, least: float = np.inf):
+        self.n, self.mean, self.m2, self.most, self.least = n, mean, m2, most, least
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        return cls(len(x), x.mean(), np.square(x - x.mean()).sum(), x.max(), x.min()) if len(x) else cls()
+
+    def merged(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        if not n:
+            return self
+        step = other.mean - self.mean
+        return Moments(n, self.mean + step * other.n / n, self.m2 + other.m2 + step * step * self.n * other.n / n, max(self.most, other.most), min(self.least, other.least))
+
+    def numbers(self) -> list[float]:
+        return [float(x) for x in (self.n, self.mean, self.m2, self.most, self.least)]
+
+    def figures(self) -> tuple[float, float, float, float]:
+        """Mean, population deviation, greatest and least; 0 where there are no values."""
+        return (self.mean, (self.m2 / self.n) ** 0.5, self.most, self.least) if self.n else (0.0, 0.0, 0.0, 0.0)
+
+
+class Block:
+    """Packets of one conversation as arrays, in the order of time and number."""
+
+    def __init__(self, p: pd.DataFrame):
+        self.t, self.size = p["ts_s"].to_numpy(float), p["payload_len"].to_numpy(float)
+        self.src, self.dst, self.sport, self.dport, self.protocol = (p[c].to_numpy() for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol"))
+        self.has = np.array([[x in (flags or "") for x in FLAGS] for flags in p["tcp_flags"]], bool).reshape(-1, len(FLAGS))
+
+    def ends(self, at: int) -> list:
+        return [self.src[at], self.dst[at], int(self.sport[at]), int(self.dport[at]), int(self.protocol[at])]
+
+
+class Flow:
+    """A running flow of constant size: its first packet's ends, first and last time, moments, and counts of flags."""
+
+    def __init__(self, first: list, t0: float, t1: float, moments: dict[str, Moments], flags: np.ndarray):
+        self.first, self.t0, self.t1, self.moments, self.flags = first, t0, t1, moments, flags
+
+    @classmethod
+    def begun(cls, p: Block, at: int) -> Flow:
+        return cls(p.ends(at), float(p.t[at]), float(p.t[at]), {k: Moments() for k in KINDS}, np.zeros(12, np.int64))
 
+    def taken(self, p: Block, a: int, b: int) -> None:
+        """Go on with packets a to b of a block, none of which is parted from the one before by a timeout."""
+        t, size, has = p.t[a:b], p.size[a:b], p.has[a:b]
+        gap = np.maximum(np.diff(t, prepend=self.t1), 0.0)
+        fwd = (p.src[a:b] == self.first[0]) & (p.sport[a:b] == self.first[2])
+        for kind, x in zip(KINDS, (size[fwd], size[~fwd], size, gap, gap[fwd], gap[~fwd])):
+            self.moments[kind] = self.moments[kind].merged(Moments.of(x))
+        ours, theirs = has[fwd].sum(0), has[~fwd].sum(0)
+        push, urgent = list(FLAGS).index("P"), list(FLAGS).index("U")
+        self.flags += [*(ours + theirs), ours[push], theirs[push], ours[urgent], theirs[urgent]]
+        self.t1 = float(t[-1])
 
-EXACT = "conversation string, src_ip string, destination_port int, started_at timestamp, total_fwd_packets long, total_backward_packets long, total_length_of_fwd_packets long, total_length_of_bwd_packets long, flow_iat_mean_s double, flow_iat_std_s double, flow_iat_max_s double, syn_flag_count long"
-STATE = "src_ip string, src_port int, destination_port int, first_s double, last_s double, fwd long, bwd long, fwd_bytes long, bwd_bytes long, mean double, m2 double, most double, syn long"
+    def dump(self) -> tuple:
+        return (*self.first, self.t0, self.t1, [x for k in KINDS for x in self.moments[k].numbers()], self.flags.tolist())
+
+    @classmethod
+    def load(cls, s) -> Flow:
+        m = list(s[7])
+        return cls(list(s[:5]), s[5], s[6], {k: Moments(*m[5 * i : 5 * i + 5]) for i, k in enumerate(KINDS)}, np.array(list(s[8]), np.int64))
+
+    def row(self, key: tuple) -> tuple:
+        m, c = self.moments, self.flags.tolist()
+        wide = [x for k in ("fwd_size", "bwd_size", "size") for x in m[k].figures()]
+        gaps = [x * US for k in ("gap", "fwd_gap", "bwd_gap") for x in m[k].figures()]
+        total = lambda k: m[k].n * m[k].mean
+        variance = m["size"].m2 / m["size"].n
+        return (*key, *self.first, pd.Timestamp(round(self.t0 * 1e6), unit="us"), self.t0, self.t1, int(m["fwd_size"].n), int(m["bwd_size"].n), round(total("fwd_size")), round(total("bwd_size")), *wide, variance, *gaps, total("fwd_gap") * US, total("bwd_gap") * US, *c)
+
+
+def _figures(*names: str) -> list[str]:
+    return [f"{n} double" for name in names for n in name.split()]
+
+
+STATE = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, t0 double, t1 double, moments array<double>, flags array<long>"
+ROW = ", ".join(
+    [
+        "capture_id string, conversation string, src_ip string, dst_ip string, src_port int, dst_port int, _protocol int, started_at timestamp, _t0 double, _t1 double",
+        "total_fwd_packets long, total_backward_packets long, total_length_of_fwd_packets long, total_length_of_bwd_packets long",
+        *_figures(*(" ".join(f"{w}_packet_length_{k}" for k in ("mean", "std", "max", "min")) for w in ("fwd", "bwd")), "packet_length_mean packet_length_std max_packet_length min_packet_length packet_length_variance"),
+        *_figures(*(" ".join(f"{w}_iat_{k}" for k in ("mean", "std", "max", "min")) for w in ("flow", "fwd", "bwd")), "fwd_iat_total bwd_iat_total"),
+        *(f"{n}_flag_count long" for n in FLAGS.values()),
+        "fwd_psh_flags long, bwd_psh_flags long, fwd_urg_flags long, bwd_urg_flags long",
+    ]
+)
 
 
 class FlowFold(StatefulProcessor):
-    """One running flow a conversation, of thirteen numbers, as packets come in the order of their numbers."""
+    """Packets wait in a buffer until the watermark has passed them; then they go, in the order of time and number, into the running
+    flow of their conversation.  So the order in which packets come, and how they are cut into frames, changes nothing.
+
+    The buffer holds the packets of one delay; a flow is some fifty numbers.
+    """
 
     def __init__(self, timeout_s: float):
         self.timeout_s = timeout_s
 
     def init(self, handle) -> None:
-        self.handle, self.flow = handle, handle.getValueState("flow", STATE)
-
-    def handleInputRows(self, key, rows, timerValues):
-        state, closed = (list(self.flow.get()) if self.flow.exists() else None), []
-        for frame in rows:
-            f = frame.sort_values("pkt_no")
-            for t, src, sport, dport, size, flags in zip(f["ts_s"], f["src_ip"], f["src_port"], f["dst_port"], f["payload_len"], f["tcp_flags"]):
-                if state is not None and t - state[4] > self.timeout_s:
-                    closed.append(state)
-                    state = None
-                state = folded(state, float(t), src, int(sport), int(dport), int(size), flags)
-        if state is not None:
-            self.flow.update(tuple(state))
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old[0] if isinstance(old, (tuple, list)) else old)
-            self.handle.registerTimer(int((state[4] + self.timeout_s) * 1000) + 1)
-        if closed:
-            yield self.rows(key, closed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.flow.exists():
-            state = list(self.flow.get())
+        self.handle = handle
+        self.flow = handle.getValueState("flow", STATE)
+        self.waiting = handle.getListState("waiting", "frame binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames, least = [], np.inf
+        for f in rows:
+            if len(f):
+                frames.append((written(f[list(PACKET)]),))
+                least = min(least, float(f["ts_s"].min()))
+        if frames:
+            self.waiting.appendList(frames)
+            self.wake(least)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        frames = [read(x[0]) for x in self.waiting.get()] if self.waiting.exists() else []
+        flow, closed = (Flow.load(self.flow.get()) if self.flow.exists() else None), []
+        if frames:
+            p = pd.concat(frames, ignore_index=True).sort_values(["ts_s", "pkt_no"], ignore_index=True)
+            ready = p["ts_s"].to_numpy(float) <= passed
+            flow, closed = folded(flow, p[ready], self.timeout_s)
+            rest = p[~ready]
+            self.waiting.clear()
+            if len(rest):
+                self.waiting.appendList([(written(rest),)])
+                self.wake(float(rest["ts_s"].min()))
+        if flow is not None and flow.t1 + self.timeout_s <= passed:  # what comes now is later than the watermark
+            closed.append(flow)
+            flow = None
+        if flow is None:
             self.flow.clear()
-            yield self.rows(key, [state])
+        else:
+            self.flow.update(flow.dump())
+            self.wake(flow.t1 + self.timeout_s)
+        if closed:
+            yield pd.DataFrame([f.row(key) for f in closed], columns=[c.split(" ")[0] for c in ROW.split(", ")])
 
-    def rows(self, key, states: list[list]) -> pd.DataFrame:
-        n = lambda s: s[5] + s[6]
-        names = [c.split(" ")[0] for c in EXACT.split(", ")]
-        return pd.DataFrame([(key[0], s[0], s[2], pd.Timestamp(round(s[3] * 1e6), unit="us"), s[5], s[6], s[7], s[8], s[9], (s[10] / n(s)) ** 0.5, s[11], s[12]) for s in states], columns=names)
+    def wake(self, at: float) -> None:
+        self.handle.registerTimer(int(np.ceil(at * 1000)))
 
     def close(self) -> None:
         pass
 
 
-def folded(state: list | None, t: float, src: str, sport: int, dport: int, size: int, flags: str) -> list:
-    """The state after one more packet: counts and bytes of both ways, and the running mean and deviation of the gaps."""
-    if state is None:
-        state = [src, sport, dport, t, t, 0, 0, 0, 0, 0.0, 0.0, 0.0, 0]
-    gap = max(t - state[4], 0.0)
-    way = 0 if (src, sport) == (state[0], state[1]) else 1
-    state[5 + way] += 1
-    state[7 + way] += size
-    n = state[5] + state[6]
-    step = gap - state[9]
-    state[9] += step / n
-    state[10] += step * (gap - state[9])
-    state[11] = max(state[11], gap)
-    state[4] = t
-    state[12] += "S" in flags
-    return state
+def written(p: pd.DataFrame) -> bytes:
+    t = pa.Table.from_pandas(p, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, t.schema) as w:
+        w.write_table(t)
+    return out.getvalue().to_pybytes()
+
+
+def read(frame: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(frame).read_all().to_pandas()
+
+
+def folded(flow: Flow | None, p: pd.DataFrame, timeout_s: float) -> tuple[Flow | None, list[Flow]]:
+    """The running flow after packets in their order, and those that a gap of more than the timeout closed."""
+    closed: list[Flow] = []
+    if not len(p):
+        return flow, closed
+    block = Block(p)
+    before = flow.t1 if flow is not None else block.t[0]
+    cuts = np.flatnonzero(np.diff(block.t, prepend=before) > timeout_s).tolist()
+    for a, b in zip(sorted({0, *cuts}), [*(c for c in cuts if c), len(p)]):
+        if flow is None or a in cuts:
+            if flow is not None:
+                closed.append(flow)
+            flow = Flow.begun(block, a)
+        flow.taken(block, a, b)
+    return flow, closed
 
 
 def exact_flows(packets: DataFrame, timeout_s: float = 120.0, delay: str = "60 seconds") -> DataFrame:
-    """Flows with the moments of their gaps, folded packet by packet into a state of constant size; a timer closes idle ones.
+    """Flows with all features, those of inter-arrival times too, equal to those of a batch over the same packets.
 
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    Packets are ordered by time, then number.  Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
     """
     p = conversation(packets).withWatermark("ts", delay)
-    return p.groupBy("conversation").transformWithStateInPandas(FlowFold(timeout_s), EXACT, "Append", "EventTime")
+    out = p.groupBy("capture_id", "conversation").transformWithStateInPandas(FlowFold(timeout_s), ROW, "Append", "EventTime")
+    return completed(out.withColumn("_s", F.struct("src_ip", "dst_ip", "src_port", "dst_port")).drop("src_ip", "dst_ip", "src_port", "dst_port"))
+
+
+def dropped(query) -> int:
+    """How many packets of a streaming query came later than its watermark, by its recent progress."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def labelled_flows(flows: DataFrame, score: Column, threshold: float) -> DataFrame:
@@ -136,6 +275,12 @@ def alerts_per_window(alerts: DataFrame, width: str = "1 minute", slide: str | N
     return alerts.withWatermark("ts", delay).groupBy(w.alias("w"), *by).agg(F.count("*").alias("alerts")).select(F.col("w.start").alias("at"), *by, "alerts")
 
 
+def alert_rates(packets: DataFrame, alert: Column, width: str = "5 minutes", slide: str = "1 minute", delay: str = "60 seconds", by: tuple[str, ...] = ("src_ip",)) -> DataFrame:
+    """(at, *by, packets, alerts, rate) for sliding windows of event time: two aggregates of one stream under one watermark."""
+    g = packets.withWatermark("ts", delay).groupBy(F.window("ts", width, slide).alias("w"), *by).agg(F.count("*").alias("packets"), F.count_if(alert).alias("alerts"))
+    return g.select(F.col("w.start").alias("at"), *by, "packets", "alerts", (F.col("alerts") / F.col("packets")).alias("rate"))
+
+
 def drained(stream: DataFrame, folder: str) -> DataFrame:
     """All that a stream has now, written to Parquet below a shared folder and read back."""
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
