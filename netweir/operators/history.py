@@ -42,15 +42,6 @@ def totals(sessions: DataFrame, alerts: str) -> DataFrame:
     return sessions.agg(F.count("*").alias("sessions"), F.coalesce(F.sum(alerts), F.lit(0)).cast("long").alias("anomalies"))
 
 
-def cleared(spark, folder: str) -> int:
-    """Empty the tables of a history folder, alerts before sessions; how many sessions were deleted."""
-    deleted = spark.read.parquet(f"{folder}/sessions").count()
-    for name in ("anomalies", "sessions"):
-        kind = spark.read.parquet(f"{folder}/{name}").schema
-        spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{folder}/{name}")
-    return deleted
-
-
 def recent(sessions: DataFrame, at: str, key: str, n: int) -> DataFrame:
     return sessions.orderBy(F.desc(at), F.desc(key)).limit(n)
 
@@ -113,7 +104,7 @@ def model_table(manifests: DataFrame, by: str = "f1", nature: tuple[str, ...] =
     return manifests.orderBy(F.desc_nulls_last(by), "name")
 
 
-#: Calibrations that say nothing about attacks.
+# Calibrations that say nothing about attacks.
 WEAK = ("invalid_input", "fp_quantile_fallback")
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import unicodedata
 from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import EMPTY, binary_label, folded, is_benign
+from ..sources.shared import settled
 
 #: Characters that are not seen in a header: byte order mark, no-break and zero-width spaces, tab, carriage return.
 INVISIBLE = "﻿ ​‌‍\t\r"
@@ -89,12 +92,22 @@ def cleaned(df: DataFrame, column: str, to: str | None = None) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFrame:
-    """Rows of a small table numbered from 1 in an order, under a name that no column has."""
-    from pyspark.sql.window import Window
+    """Rows numbered from 1 in an order, under a name that no column has.
 
+    Rows are sorted in ranges of the order, one a partition, and numbered within each; a range's number goes on from the sizes of
+    the ranges before, of which the driver takes one a partition.  Rows that are alike in the order are told apart by a hash
+    of the row, so that many of them are no single range.
+    """
     while name in df.columns:
         name = f"_{name}"
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    by = [F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)))]
+    held = settled(df.repartitionByRange(*order, *by).sortWithinPartitions(*order, *by)).withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r["p"], r["n"]) for r in held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    ends = accumulate(n for _, n in sizes)
+    starts = df.sparkSession.createDataFrame([(p, end - n) for (p, n), end in zip(sizes, ends)], "_p long, _start long")
+    both = held.withColumn("_p", part).join(F.broadcast(starts), "_p")  # a row a partition
+    return both.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_start") + place + 1).alias(name))
 
 
 def header_names(headers: DataFrame) -> DataFrame:

@@ -137,6 +137,7 @@ RULES = (
 )
 #: The columns that each family is looked at by, in order.
 FOCUS = {"NSL-KDD": ("protocol_type", "service", "flag"), "UNSW-NB15": ("proto", "service", "state"), "CIC-IDS": ("src_ip", "dst_port")}
+# Names of attacks that name none.
 GENERIC = ("anomaly", "attack", "unknown", "suspicious", "malicious", "1", "1.0")
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import LABELLED_SQL, PACKETS_SQL, SCORES_SQL, TIMEOUT_S, labelled, packets, scores, table
 from ..domains import CIC_FEATURES
 from ..operators import flows, history, iforest, models, sampling, scan, thresholds
+from ..sources.shared import scratch
 from ..streaming import flows as streams
 from .flows import _flow_sql
 
@@ -159,6 +157,33 @@ def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.score(l).select("row_id", F.round("attack_prob", 6).alias("attack_prob"), (F.col("attack_prob") >= t.threshold).alias("is_alert"))
 
 
+#: What is read of each labelled row by the boosted detectors.
+NUMERIC, CATEGORICAL = ["quantity", "extendedprice", "discount", "tax"], ["linestatus", "orderstatus"]
+
+
+@query("l2_boosted_trees")
+def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees on the labelled rows, with rows and columns sampled for each of six trees, and classes and probabilities."""
+    l = labelled(spark, sf_dir)
+    t = models.train(l, "label", NUMERIC, CATEGORICAL, ["row_id"], "XGBoost", rounds=6, depth=4, rate=0.3)
+    return t.score(l).select("row_id", F.round("attack_prob", 6).alias("attack_prob"), "prediction", (F.col("attack_prob") >= t.threshold).alias("is_alert"))
+
+
+@query("l6_grid_search")
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees whose depth is chosen by F1 in three stratified folds; what was chosen, beside each row's score."""
+    l = labelled(spark, sf_dir)
+    t = models.train(l, "label", NUMERIC, CATEGORICAL, ["row_id"], "XGBoost", grid={"depth": [1, 4]}, rounds=2, rate=0.3)
+    return t.score(l).select("row_id", F.round("attack_prob", 6).alias("attack_prob"), F.lit(t.params["depth"]).alias("depth"))
+
+
+@query("l6_folds", f"WITH l AS ({LABELLED_SQL}), n AS (SELECT row_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row_id), row_id) - 1) % 3 AS fold FROM l) SELECT label, CAST(fold AS INTEGER) AS fold, count(*) AS rows FROM n GROUP BY label, fold")
+def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each class in each of three folds."""
+    d, _ = models.folds(labelled(spark, sf_dir).select("row_id", "label"), "label", ["row_id"])
+    return d.groupBy("label", "fold").agg(F.count("*").alias("rows"))
+
+
 def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of projected packets."""
     kind = table(spark, sf_dir, "events").schema
@@ -171,14 +196,6 @@ def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.projected(packets(Stream, sf_dir))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local session without spark.checkpoint.dir gets one of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("t4_alerts_per_window", f"WITH p AS ({PACKETS_SQL}), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS \"at\", count(*) AS alerts FROM p GROUP BY 1) SELECT \"at\", alerts FROM w WHERE \"at\" + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM p)")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.alerts_per_window(packet_stream(spark, sf_dir), "1 hour", delay="10 minutes")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..adapters import LABELLED_SQL, SCORES_SQL, labelled, scores, table
 from ..domains import CIC_FEATURES
-from ..operators import features, history, iforest, labels, report, sampling, scan, thresholds, threats
-from .models import INPUTS_SQL, MANIFESTS_SQL, inputs, manifests, scratch
+from ..operators import features, history, iforest, labels, report, sampling, scan, store, thresholds, threats
+from ..sources.shared import scratch
+from .models import INPUTS_SQL, MANIFESTS_SQL, inputs, manifests
 from .tables import ALERTS_SQL, DIRTY_SQL, NAMES_SQL, SESSIONS_SQL, alerts, dirty, headers, sessions
 
 QUERIES: dict = {}
@@ -92,10 +93,12 @@ def repeated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.without_repeated_headers(d)
 
 
-@query("b21_row_numbers", "SELECT p_partkey, p_partkey AS row_number, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS _row_number FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 500")
+@query("b21_row_numbers", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS row_number, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS _row_number FROM lineitem")
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("row_number"), "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(500)
-    return labels.numbered(p, F.desc("p_retailprice"), F.col("p_partkey")).drop("p_retailprice")
+    """All line items by price; one of their columns has the name of the number."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    l = table(spark, sf_dir, "lineitem").select(*keys, F.col("l_quantity").alias("row_number"), "l_extendedprice")
+    return labels.numbered(l, F.desc("l_extendedprice"), *map(F.col, keys)).drop("l_extendedprice")
 
 
 @query("b22_result_view", f"{ALERTS_SQL} SELECT src_ip, destination_port AS dst_port, protocol, attack AS target_label FROM alerts")
@@ -490,15 +493,17 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.totals(sessions(spark, sf_dir), "found")
 
 
-@query("h7_cleared_history", "SELECT count(*) AS deleted, 0::BIGINT AS left_over FROM orders")
+@query("h7_cleared_history", "SELECT count(*) AS sessions, count(*) AS alerts, count(*) AS deleted, 0::BIGINT AS left_over FROM orders")
 def cleared_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A history is written, cleared, and read again."""
-    folder = scratch(spark)
-    s = sessions(spark, sf_dir)
-    s.write.parquet(f"{folder}/sessions")
-    s.select("session_id", "found").write.parquet(f"{folder}/anomalies")
-    deleted = history.cleared(spark, folder)
-    return spark.read.parquet(f"{folder}/sessions").agg(F.lit(deleted).cast("long").alias("deleted"), F.count("*").alias("left_over"))
+    """A history is written in two batches, one of them twice, cleared, and read again."""
+    h, s = store.Store(spark, scratch(spark, "history")), sessions(spark, sf_dir)
+    odd = F.col("session_id") % 2 == 1
+    for batch, part in (("even", ~odd), ("odd", odd), ("odd", odd)):
+        h.append(batch, sessions=s.filter(part), anomalies=s.filter(part).select("session_id", "found"))
+    before = h.read("sessions").agg(F.count("*").alias("sessions")).crossJoin(h.read("anomalies").agg(F.count("*").alias("alerts")))
+    deleted = h.clear()
+    after = h.read("sessions", s.schema).agg(F.lit(deleted).cast("long").alias("deleted"), F.count("*").alias("left_over"))
+    return before.crossJoin(after)
 
 
 @query("h17_retention", f"SELECT session_id FROM ({SESSIONS_SQL}) WHERE CAST(created_at AS TIMESTAMP) >= (SELECT max(CAST(created_at AS TIMESTAMP)) - INTERVAL 2400 HOUR FROM ({SESSIONS_SQL}))")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..adapters import LABELLED_SQL, SCORES_SQL, TIMEOUT_S, labelled, packets, scores, table
 from ..functions.expressions import is_benign
 from ..operators import features, flows, history, labels, report, sampling, scan, thresholds, threats
+from ..sources import tables as sources
+from ..sources.shared import scratch
 from .flows import SEQUENCED_SQL
 
 QUERIES: dict = {}
@@ -376,3 +378,28 @@ def anomaly_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.when(c, "Attack").otherwise("Normal")
     return scores(spark, sf_dir).groupBy(scan.outcome(name(F.col("label") == 1), name(F.col("score") >= 0.3)).alias("outcome")).agg(F.count("*").alias("count"))
+
+
+NATION_FILES = (("Flow Duration", "Tot Fwd Pkts", "Flow IAT Mean", "SYN Flag Cnt", "Down/Up Ratio"), ("protocol_type", "src_bytes", "dst_bytes", "serror_rate", "n"), ("a", "b", "c", "d", "e"))
+
+
+@query("s1_csv_headers", "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 3 <> 2 THEN o_orderpriority END AS o_orderpriority FROM orders")
+def csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as CSV to one folder, in files of three different headers, and read back."""
+    o, folder = table(spark, sf_dir, "orders"), scratch(spark, "csv")
+    k = F.col("o_orderkey") % 3
+    for part, columns in enumerate((["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], ["o_orderpriority", "o_orderstatus", "o_custkey", "o_orderkey"], ["o_custkey", "o_orderkey", "o_orderstatus"])):
+        o.filter(k == part).select(columns).write.mode("append").option("header", True).csv(folder)
+    back = sources.raw_csv(spark, folder)
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus", "o_orderpriority")
+
+
+@query("s4_inspection", "SELECT n_nationkey, 'csv' AS input_type, CASE n_nationkey % 3 WHEN 0 THEN 'CIC-IDS' WHEN 1 THEN 'NSL-KDD' ELSE 'Unknown' END AS dataset_type, CASE n_nationkey % 3 WHEN 0 THEN 'NIDS' WHEN 1 THEN 'SIEM' ELSE 'Unknown' END AS mode, CASE n_nationkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence, true AS has_size FROM nation")
+def inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation, with a header of one of three kinds; all are inspected together."""
+    n, folder = table(spark, sf_dir, "nation"), scratch(spark, "csv")
+    for part, columns in enumerate(NATION_FILES):
+        one = n.filter(F.col("n_nationkey") % 3 == part)
+        one.select("n_nationkey", *(F.col("n_name").alias(c) for c in columns)).write.mode("append").partitionBy("n_nationkey").option("header", True).csv(folder)
+    key = F.regexp_extract("file", "n_nationkey=([0-9]+)", 1).cast("long")
+    return sources.inspected(spark, [folder]).select(key.alias("n_nationkey"), "input_type", "dataset_type", "mode", "confidence", (F.col("length") > 0).alias("has_size"))

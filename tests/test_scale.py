@@ -1,12 +1,14 @@
 """What makes operators whole at any size: ranges of conversations, streams in any order, quantiles of many columns."""
 
 import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from netweir.operators import features, flows, quantiles, thresholds
+from netweir.sources import capture
 from netweir.streaming import flows as streams
 
 PACKETS = "capture_id string, pkt_no long, ts_s double, ip_version int, is_arp boolean, frag_offset int, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, pkt_len int, ip_hdr_len int, l4_hdr_len int, tcp_flags string, parse_status string"
@@ -146,3 +148,45 @@ def test_quantiles_by_group_need_no_group_in_one_task(spark):
     assert [got["hot"][f"q{p:02d}"] for p in (1, 5, 25, 50, 75, 95, 99)] == pytest.approx(np.quantile(hot, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]), abs=1e-6)
     assert (got["x"]["q50"], got[None]["q25"], got[None]["q50"], got["nan"]["q50"], got["none"]["mean"]) == (1.0, 2.5, 3.0, None, None)
     assert thresholds.distribution(df.filter("g = 'x'"), "v").first()["q99"] == 1.0
+
+
+def frame(link, k, size=40):
+    """A packet from 10.0.0.1 to 10.0.0.2 with its link layer."""
+    ip = struct.pack("!BBHHHBBH4s4s", 0x45, 0, 28 + size, k % 65536, 0, 64, 17, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 2])) + struct.pack("!HHHH", 1000 + k % 50, 53, 8 + size, 0)
+    before = {1: bytes(12) + b"\x08\x00", 101: b"", 113: bytes(14) + b"\x08\x00", 276: b"\x08\x00" + bytes(18), 0: b"\x02\x00\x00\x00"}[link]
+    return before + ip + random.Random(k).randbytes(size)
+
+
+def classic(frames, link, order="<", start=1_700_000_000):
+    out = struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, link)
+    at = []
+    for k, f in enumerate(frames):
+        at.append(len(out))
+        out += struct.pack(order + "IIII", start + k, k % 1000, len(f), len(f)) + f
+    return out, at
+
+
+@pytest.mark.parametrize("link, order", [(1, "<"), (101, ">"), (113, "<"), (276, "<"), (0, ">")])
+def test_a_capture_in_splits_gives_the_same_rows(spark, tmp_path, link, order):
+    data, at = classic([frame(link, k, 20 + k * 37 % 400) for k in range(300)], link, order)
+    damaged = bytearray(data)
+    damaged[at[100] + 8 : at[100] + 12] = b"\xff\xff\xff\x7f"  # a length that can't be
+    files = {"whole": data, "cut": data[: at[250] + 30], "damaged": bytes(damaged)}
+    for name, body in files.items():
+        path = tmp_path / f"{name}.pcap"
+        path.write_bytes(body)
+        one = [tuple(r) for r in capture.read(spark, [str(path)]).orderBy("pkt_no").collect()]
+        for size in (len(body) // 8 + 1,):
+            assert len(capture.split(spark, [str(path)], size)) > 7
+            assert [tuple(r) for r in capture.read(spark, [str(path)], size).orderBy("pkt_no").collect()] == one
+        ports = [r[9] for r in one]
+        assert ports == [1000 + k % 50 for k in range(300) if name == "whole" or name == "cut" and k < 250 or name == "damaged" and k != 100]
+        assert [r[1] for r in one] == list(range(1, len(one) + 1)) and {r[7] for r in one} == {"10.0.0.1"}
+
+
+def test_splits_that_begin_amid_a_record_are_walked_again(spark, tmp_path, monkeypatch):
+    inner, _ = classic([frame(1, k, 10) for k in range(12)], 1)
+    data, _ = classic([frame(1, k, 10) + inner[24:] for k in range(40)], 1)  # frames that hold a capture
+    (tmp_path / "n.pcap").write_bytes(data)
+    rows = lambda *a: [tuple(r) for r in capture.read(spark, [f"{tmp_path}/n.pcap"], *a).orderBy("pkt_no").collect()]
+    assert len(rows()) == 40 and rows(500) == rows()
