@@ -178,42 +178,51 @@ def places(spark: SparkSession, made: list[tuple]) -> DataFrame:
     return one.select(F.get("name", F.col("i")).alias("_source"), block.alias("block"), (first + F.col("slot")).alias("slot"), (first + F.col("x.release")).alias("release"), (first + F.col("x.deadline")).alias("deadline"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, cycle: int = 240, power: float = 0.5, seed: int = 7, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+ADDED = ("block", "rank", "slot", "release", "deadline")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, **given) -> DataFrame:
     """docs with block, slot, rank, release and deadline: each row's block within its source, the block's slot, and the row's
     place in the block.  Sorted by (slot, rank) the rows are the mix.
 
+    Columns of docs named as those added are replaced; all others are passed on, whatever their names.  What else holds is said
+    at ``scheduled``.
+    """
+    return scheduled(docs, weights, **given).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED), *ADDED)
+
+
+def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, cycle: int = 240, power: float = 0.5, seed: int = 7, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """(doc, block, rank, slot, release, deadline) with each row of docs as a struct.
+
     ``weights`` are by source; sources without one, or all if None, weigh their number of rows to the given power.  ``cycle``
     is the least number of slots that are scheduled together.  A null source is a source of its own; rows that repeat an id are
-    rows of their own; null ids are ordered like other ids.  An empty table gives an empty mix.  Columns named as those added
-    are replaced; names that begin with _ are reserved.
+    rows of their own; null ids are ordered like other ids.  An empty table gives an empty mix.
 
     Rows are numbered within buckets of a hash of their id and moved on by the sizes of the buckets before, so a source of any
     size is spread over all tasks; each bucket gets the places of its blocks, so rows move once.
     """
     spark = docs.sparkSession
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
-    found = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NO_SOURCE)).alias("_source"), F.col(f"`{id_col}`").alias("_id"))
+    found = d.groupBy("_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"{source_col} has more than {MOST_SOURCES} values; group them first")
-    full = {r["s"]: (weights or {}).get(r["s"], r["n"] ** power) for r in found}
-    made = phases({r["s"]: -(-r["n"] // block_rows) for r in found}, full, cycle)
+    full = {r["_source"]: (weights or {}).get(r["_source"], r["n"] ** power) for r in found}
+    made = phases({r["_source"]: -(-r["n"] // block_rows) for r in found}, full, cycle)
     bits = max(0, (sum(r["n"] for r in found) // ROWS_A_BUCKET).bit_length())
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    bucket = F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
-    sizes = docs.select(source.alias("_source"), bucket.alias("_bucket")).groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
+    h = F.xxhash64(F.lit(seed), F.col("_id"))
+    d = d.withColumn("_h", h).withColumn("_bucket", F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long"))
+    sizes = d.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n"))
     number = lambda row: F.floor(row / block_rows).cast("long")
     held = before.withColumn("block", F.explode(F.sequence(number(F.col("_before")), number(F.col("_before") + F.col("_n") - 1))))
     own = held.join(places(spark, made).hint("merge"), ["_source", "block"]).groupBy("_source", "_bucket", "_before")
     own = own.agg(F.array_sort(F.collect_list(F.struct("block", "slot", "release", "deadline"))).alias("_places"))
-    d = docs.drop("block", "slot", "rank", "release", "deadline").withColumn("_source", source).withColumn("_h", h).withColumn("_bucket", bucket)
-    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_h", id_col))).join(own, ["_source", "_bucket"])
+    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_h", "_id"))).join(own, ["_source", "_bucket"])
     d = d.withColumn("_row", F.col("_before") + F.col("_k") - 1)
     d = d.withColumn("_place", F.get("_places", (number(F.col("_row")) - number(F.col("_before"))).cast("int")))
-    kept = [c for c in d.columns if not c.startswith("_") or c in docs.columns]
-    return d.select(*kept, "_place.block", (F.col("_row") % block_rows).cast("int").alias("rank"), "_place.slot", "_place.release", "_place.deadline")
+    return d.select("doc", "_place.block", (F.col("_row") % block_rows).cast("int").alias("rank"), "_place.slot", "_place.release", "_place.deadline")
 
 
 def mixed(docs: DataFrame, **given) -> DataFrame:
-    """The rows of docs in the order of the mix, with docs' own columns."""
-    return mix(docs, **given).orderBy("slot", "rank").select(docs.columns)
+    """The rows of docs in the order of the mix, with docs' own columns and their values, whatever their names."""
+    return scheduled(docs, **given).orderBy("slot", "rank").select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -126,7 +126,9 @@ def test_mix_is_pfair_and_whole(spark):
             # the source that ended leaves the phase at the slot where it would be next
             break
     assert mixing.mix(d.limit(0)).count() == 0
-    assert mixing.mixed(d).columns == d.columns
+    own = spark.createDataFrame([(i, s, 1000 + k, f"b{k}", k, -k, f"d{k}") for k, (i, s) in enumerate(rows)], "doc_id long, source string, slot int, block string, _k int, _row int, doc string")
+    back = mixing.mixed(own, block_rows=4)
+    assert back.columns == own.columns and sorted(map(str, back.collect())) == sorted(map(str, own.collect()))
 
 
 def holds_pfair(spark, blocks, weights, least):
@@ -396,5 +398,13 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     # the toxic row goes; null and empty texts are one class, repeated rows of a kept id stay
     assert got == ["1", "3", "3", "None"]
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    own = ("doc_id", "id", "label", "position", "drop")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, d, f"{tmp_path}/full").columns == d.columns, name
+        out = stage(spark, d, f"{tmp_path}/full")
+        assert out.columns == d.columns, name
+        assert {tuple(r[c] for c in own) for r in out.collect()} <= {tuple(r[c] for c in own) for r in d.collect()}, name
+    clash = d.withColumnRenamed("drop", corpus_pipeline.PLACE)
+    clash.orderBy("doc_id").write.parquet(f"{tmp_path}/placed")
+    back = corpus_pipeline.placed(spark, f"{tmp_path}/placed").orderBy(f"_{corpus_pipeline.PLACE}").collect()
+    assert [r[f"_{corpus_pipeline.PLACE}"] for r in back] == list(range(d.count())) and {r[corpus_pipeline.PLACE] for r in back} == {1, None}
+    assert [r["doc_id"] for r in back] == [r["doc_id"] for r in clash.orderBy("doc_id").collect()]
