@@ -7,8 +7,10 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,20 +44,33 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, block_rows=16, cycle=240)
 
 
+#: The column of a document's place in the mix, with as many _ before it as tell it apart from the documents' own columns.
+PLACE = "mix_position"
+
+
 def placed(spark: SparkSession, path: str) -> DataFrame:
-    """The rows that a sorted write left in ``path``, with ``position`` from 0 in their order: files by name, rows by index."""
-    docs = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    sizes = sorted((r["_file"], r["count"]) for r in docs.groupBy("_file").count().collect())  # one row a file
-    starts = spark.createDataFrame([(f, sum(n for _, n in sizes[:k])) for k, (f, _) in enumerate(sizes)], "_file string, _start long")
-    return docs.join(F.broadcast(starts), "_file").withColumn("position", F.col("_start") + F.col("_index")).drop("_file", "_index", "_start")
+    """The rows that a sorted write left in ``path``, with their place from 0 in their order as the last column: files by number,
+    rows by index."""
+    docs = spark.read.parquet(path)
+    name = PLACE
+    while name in docs.columns:
+        name = f"_{name}"
+    held = docs.select(F.struct("*").alias("doc"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("index"))
+    number = lambda file: (int(re.sub(r"^part-(\d+).*$", r"\1", file)), file)
+    sizes = sorted(((r["file"], r["count"]) for r in held.groupBy("file").count().collect()), key=lambda x: number(x[0]))  # one row a file
+    ends = accumulate(n for _, n in sizes)
+    starts = spark.createDataFrame([(f, end - n) for (f, n), end in zip(sizes, ends)], "file string, start long")
+    own = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    return held.join(F.broadcast(starts), "file").select(*own, (F.col("start") + F.col("index")).alias(name))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their number and the document's position in the mix, if it has one."""
-    if "position" not in docs.columns:
+    """Token ids of every document, with their number and, as ``position``, the document's place in the mix, if it has one."""
+    last = docs.columns[-1]
+    if last.lstrip("_") != PLACE:
         return bpe.encode(docs, vocabulary_path())
-    # the key of a row is its id and position together, which the encoder passes on as it is
-    keyed = docs.select(F.struct("doc_id", "position").alias("key"), "text")
+    # the key of a row is its id and place together, which the encoder passes on as it is
+    keyed = docs.select(F.struct("doc_id", F.col(last).alias("position")).alias("key"), "text")
     return bpe.encode(keyed, vocabulary_path(), id_col="key").select("key.doc_id", "key.position", "n_tokens", "ids")
 
 
