@@ -57,17 +57,18 @@ def sequenced(packets: DataFrame, timeout_s: float = TIMEOUT_S, range_: int = RA
     w = Window.partitionBy(*own).orderBy("pkt_no")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     # within a range: gaps, flows that begin at one, and who began the flow that is open
-    p = p.withColumn("_gap", F.col("ts_s") - F.lag("ts_s").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    p = p.withColumns({"_gap": F.col("ts_s") - F.lag("ts_s").over(w), "_first": F.row_number().over(w) == 1, "_end": F.lead("pkt_no").over(w).isNull(), "_t0": F.first("ts_s").over(so_far)})
     p = p.withColumn("_new", F.coalesce((F.col("_gap") > timeout_s).cast("int"), F.lit(0)))
-    p = p.withColumn("_at", F.sum("_new").over(so_far)).withColumn("_began", F.last(F.when((F.col("_new") == 1) | F.col("_first"), F.col("_from")), True).over(so_far))
-    # a row for each range, and what it finds open
-    ends = p.groupBy(*own).agg(F.min_by("ts_s", "pkt_no").alias("_t0"), F.max_by("ts_s", "pkt_no").alias("_t1"), F.sum("_new").alias("_breaks"), F.max_by("_began", "pkt_no").alias("_last"))
+    p = p.withColumns({"_at": F.sum("_new").over(so_far), "_began": F.last(F.when((F.col("_new") == 1) | F.col("_first"), F.col("_from")), True).over(so_far)})
+    # the last packet of a range says all that the next one needs; what each finds open follows in order
+    ends = p.filter("_end").select(*own, "_t0", F.col("ts_s").alias("_t1"), F.col("_at").alias("_breaks"), F.col("_began").alias("_last"))
     r = Window.partitionBy("capture_id", "_key").orderBy("_range")
     ends = ends.withColumn("_before", F.lag("_t1").over(r))
     ends = ends.withColumn("_opens", F.coalesce(F.col("_t0") - F.col("_before") > timeout_s, F.lit(True)))
     more = (F.col("_opens") & F.col("_before").isNotNull()).cast("int") + F.col("_breaks")
-    ends = ends.withColumn("_base", F.sum(more).over(r.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_breaks"))
-    ends = ends.withColumn("_carried", F.last(F.when(F.col("_opens") | (F.col("_breaks") > 0), F.col("_last")), True).over(r.rowsBetween(Window.unboundedPreceding, -1)))
+    base = F.sum(more).over(r.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_breaks")
+    carried = F.last(F.when(F.col("_opens") | (F.col("_breaks") > 0), F.col("_last")), True).over(r.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumns({"_base": base, "_carried": carried})
     p = p.join(ends.select(*own, "_before", "_opens", "_base", "_carried"), own)
     began = F.when((F.col("_at") == 0) & ~F.col("_opens"), F.col("_carried")).otherwise(F.col("_began"))
     wait = F.when(~F.col("_first"), F.when(F.col("_new") == 1, 0.0).otherwise(F.greatest(F.col("_gap"), F.lit(0.0))))

@@ -188,3 +188,21 @@ def test_a_crash_leaves_the_old_history_or_the_new_one(spark, tmp_path, monkeypa
     assert seen() == [[1, 2, 3], [1, 3]]
     h.retain("sessions", h.read("sessions").filter("id > 1"))
     assert seen() == [[2, 3], [1, 3]] and h.clear() == 2 and seen() == [[], []]
+
+
+def test_reports_and_benchmarks_are_written_and_read_again(spark, tmp_path):
+    summary = spark.createDataFrame([(10, 4, 40.0, "high")], "total long, anomalies long, risk_score double, risk_level string")
+    top = spark.createDataFrame([({"DoS": 3, "Scan": 1},)], "top map<string,long>")
+    notes = spark.createDataFrame([(0.3, "csv")], "threshold double, kind string")
+    tables.write_report(tables.scan_report(summary, top, notes), f"{tmp_path}/report")
+    back = spark.read.json(f"{tmp_path}/report").first()
+    assert (back["summary"]["anomalies"], back["top_anomalies"]["DoS"], back["diagnostics"]["kind"]) == (4, 3, "csv")
+    assert "diagnostics" not in tables.scan_report(summary, top).columns
+    scans = spark.createDataFrame([("a.csv", 0.1), ("b, c.csv", None)], "file string, error double")
+    tables.write_benchmark(scans, scans.limit(1), summary, f"{tmp_path}/bench")
+    read = lambda name: spark.read.option("header", True).csv(f"{tmp_path}/bench/{name}")
+    assert sorted(r["file"] for r in read("scans").collect()) == ["a.csv", "b, c.csv"] and read("training").count() == 1
+    assert spark.read.json(f"{tmp_path}/bench/summary").first()["risk_level"] == "high"
+    tables.write_alerts(scans.withColumn("_helper", F.lit(1)), f"{tmp_path}/alerts")
+    text = "".join(r["value"] for r in spark.read.text(f"{tmp_path}/alerts").collect())
+    assert "_helper" not in text and "a.csv" in text
