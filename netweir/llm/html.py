@@ -20,7 +20,7 @@ from .common import map_arrow
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link base".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes audio video canvas datalist title meta link base".split())
 #: Parts of svg and math elements that are not drawn where they stand.
 UNDRAWN = {"desc": "svg", "metadata": "svg", "defs": "svg", "symbol": "svg", "annotation": "math", "annotation-xml": "math"}
 #: What may stand in a head; the start tag of anything else ends it.
@@ -42,10 +42,11 @@ IMPLIED = {
 }
 IMPLIED |= {"thead": IMPLIED["tbody"], "tfoot": IMPLIED["tbody"]}
 CLOSES_P = BLOCK - frozenset(["html", "body", "legend", "summary"])
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'][^>]*)*)>?", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'][^>]*)*)>?", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-UNSEEN = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
+QUOTED = r"\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z)"
+#: What declares nothing in a style: comments, strings and what stands in parentheses, as addresses do.
+OPAQUE = re.compile(rf"/\*.*?(?:\*/|\Z)|{QUOTED}|\((?:{QUOTED}|[^()\"']|\((?:{QUOTED}|[^()\"'])*(?:\)|\Z))*(?:\)|\Z)", re.S)
 #: Where the content of an element ends that has no elements in it.
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -65,15 +66,29 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(ATTRIBUTE.finditer(text)))}
 
 
+def declared(attrs: dict[str, str], name: str) -> str:
+    """The value that an element's style gives a property: the last one, or the last that is important; none is empty."""
+    value, important = "", False
+    if name in attrs.get("style", "").lower():
+        for part in OPAQUE.sub("", attrs["style"]).lower().split(";"):
+            key, _, own = part.partition(":")
+            own, _, mark = own.partition("!")
+            if key.strip() == name and own.strip() and (mark.strip() == "important" or not important):
+                value, important = own.strip(), mark.strip() == "important"
+    return value
+
+
 def unseen(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element's text is not shown."""
-    return tag in HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or bool(UNSEEN.search(attrs.get("style", "")))
+    """Whether an element's text is not shown; that of an object is, if it names no data."""
+    if tag in HIDDEN or tag == "object" and attrs.get("data", "").strip() or declared(attrs, "display") == "none":
+        return True
+    return "hidden" in attrs and attrs["hidden"].lower() != "until-found"
 
 
 def veil(attrs: dict[str, str], around: bool) -> bool:
     """Whether an element's own text is kept from view by its visibility, or else by that of what is around it."""
-    found = VISIBILITY.findall(attrs.get("style", "")) if "style" in attrs else ()
-    return found[-1].lower() in ("hidden", "collapse") if found and found[-1].lower() != "inherit" else around
+    value = declared(attrs, "visibility")
+    return value in ("hidden", "collapse") if value in ("hidden", "collapse", "visible", "initial") else around
 
 
 def tree(page: str) -> Node:
@@ -162,14 +177,25 @@ def width(text: str) -> int:
 
 
 class Lines:
-    """Output of a block: lines, with collapsed blanks inside and at most one empty line between blocks."""
+    """Output of a block: lines, with at most one empty line between blocks; blanks in them are collapsed, or kept as in a pre."""
 
-    def __init__(self) -> None:
+    def __init__(self, kept: bool = False) -> None:
         self.lines: list[str] = []
         self.now = ""
         self.gap = False
-
-    def text(self, s: str) -> None:
+        self.kept = kept
+
+    def text(self, s: str, own: bool = False) -> None:
+        """Go on with a text; ``own`` text is the page's, which keeps its blanks and lines where they are kept."""
+        if self.kept and own:
+            *whole, rest = s.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+            for x in whole:
+                self.now += x
+                self.cut()
+            if rest:
+                self.start()
+                self.now += rest
+            return
         s = BLANKS.sub(" ", s)
         if s[:1] == " " and (not self.now or self.now[-1] == " "):
             s = s[1:]
@@ -189,6 +215,13 @@ class Lines:
         self.now = ""
         self.gap = self.gap or gap
 
+    def cut(self) -> None:
+        """End the line even if it is empty."""
+        if self.now.strip():
+            self.start()
+        self.lines.append(self.now.rstrip())
+        self.now = ""
+
     def add(self, lines: list[str]) -> None:
         if lines:
             self.start()
@@ -210,7 +243,7 @@ def rendered(node: Node, out: Lines) -> None:
     for child in node.children:
         if isinstance(child, str):
             if not node.hidden and not node.veiled:
-                out.text(child)
+                out.text(child, own=True)
             continue
         if child.hidden:
             continue
@@ -218,7 +251,9 @@ def rendered(node: Node, out: Lines) -> None:
         if child.veiled and tag in VOID:
             continue
         if tag == "br":
-            if out.now.strip(" "):
+            if out.kept:
+                out.cut()
+            elif out.now.strip(" "):
                 out.end()
             else:
                 out.now = ""
@@ -242,7 +277,7 @@ def rendered(node: Node, out: Lines) -> None:
                 out.text(" " + child.attrs["alt"] + " ")
         elif tag == "li":
             out.end()
-            own = Lines()
+            own = Lines(out.kept)
             rendered(child, own)
             lines = own.done()
             mark = "- " if number is None else f"{number}. "
@@ -250,18 +285,20 @@ def rendered(node: Node, out: Lines) -> None:
             out.add([(mark if k == 0 else " " * len(mark)) + x if x else "" for k, x in enumerate(lines)])
         elif tag == "dd" or tag == "blockquote":
             out.end(tag == "blockquote")
-            own = Lines()
+            own = Lines(out.kept)
             rendered(child, own)
             out.add(["  " + x if x else "" for x in own.done()])
             out.gap = out.gap or tag == "blockquote"
         elif tag == "pre":
             out.end(True)
-            text = flat(child)
-            out.add([x.rstrip() for x in text.removeprefix("\n").rstrip("\n").split("\n")] if text.strip() else [])
+            own = Lines(kept=True)
+            rendered(child, own)
+            lines = own.done()
+            out.add(lines[1:] if lines[:1] == [""] and starts_with_line(child) else lines)
             out.gap = True
         elif tag == "table":
             out.end(True)
-            out.add(table_lines(child))
+            out.add(table_lines(child, out.kept))
             out.gap = True
         elif tag in ("option", "optgroup"):
             out.end()
@@ -284,13 +321,14 @@ def rendered(node: Node, out: Lines) -> None:
             rendered(child, out)
 
 
-def flat(node: Node) -> str:
-    """All visible text below a node, as it stands."""
-    return "".join(("" if node.veiled else c) if isinstance(c, str) else "\n" if c.tag == "br" else "" if c.hidden else flat(c) for c in node.children)
+def starts_with_line(pre: Node) -> bool:
+    """Whether a pre's text starts with the end of a line, which is not shown."""
+    first = pre.children[0] if pre.children else ""
+    return isinstance(first, str) and first[:1] in ("\n", "\r")
 
 
-def table_lines(table: Node) -> list[str]:
-    """Rows of a table with cells aligned by column; what stands in a table outside of rows goes before it."""
+def table_lines(table: Node, kept: bool = False) -> list[str]:
+    """Rows of a table with cells aligned by column, in which blanks may be kept; what stands outside of rows goes before it."""
     outside, rows = Lines(), []
 
     def collect(node: Node) -> None:
@@ -300,7 +338,7 @@ def table_lines(table: Node) -> list[str]:
             elif c.hidden:
                 continue
             elif c.tag == "tr":
-                rows.append([(lines_of(x), span(x), span(x, "rowspan")) for x in c.children if not isinstance(x, str) and not x.hidden and x.tag in ("td", "th")])
+                rows.append([(lines_of(x, kept), span(x), span(x, "rowspan")) for x in c.children if not isinstance(x, str) and not x.hidden and x.tag in ("td", "th")])
                 for x in c.children:
                     if isinstance(x, str):
                         outside.text(x)
@@ -309,7 +347,7 @@ def table_lines(table: Node) -> list[str]:
             elif c.tag in ("thead", "tbody", "tfoot"):
                 collect(c)
             elif c.tag in ("td", "th"):
-                rows.append([(lines_of(c), span(c), span(c, "rowspan"))])
+                rows.append([(lines_of(c, kept), span(c), span(c, "rowspan"))])
             elif c.tag not in ("colgroup", "col"):
                 rendered_alone(c, outside)
 
@@ -357,8 +395,8 @@ def span(cell: Node, of: str = "colspan") -> int:
     return min(1000, max(1, int(n))) if n.isdigit() and len(n) < 6 else 1
 
 
-def lines_of(node: Node) -> list[str]:
-    own = Lines()
+def lines_of(node: Node, kept: bool = False) -> list[str]:
+    own = Lines(kept)
     rendered(node, own)
     return [x for x in own.done() if x]
 

@@ -316,6 +316,79 @@ def test_html_random_trees_give_all_their_words():
         assert got == [x for w in words for x in shown(w)], page
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<!-->vis", "vis"),
+        ("<!--->vis", "vis"),
+        ("a<!-- x --!>b<!-- > -- c -->d<!-- no end", "abd"),
+        ("<pre><div>a</div><div>b</div></pre>", "a\nb"),
+        ("<pre>x<img alt='pic'>y</pre>", "x pic y"),
+        ("<pre>a<br><br>b   c\r\nd</pre>", "a\n\nb   c\nd"),
+        ("<pre>k<ul><li>a<li>b  c</ul></pre>", "k\n\n- a\n- b  c"),
+        ("<pre><tr><td>a<td>b<tr><td>c</pre>", "a b\nc"),
+        ("<pre><table><tr><td>a  b<td>c<tr><td>d<td>e</table></pre>", "a  b  c\nd     e"),
+        ("x<pre>a\n<div>b</div>\nc</pre>y", "x\n\na\nb\n\nc\n\ny"),
+        ("<pre>a<span hidden>n</span> <b style='visibility:hidden'>n</b> b</pre>", "a  b"),
+        ("<object>fallback</object><object data=x>no</object>", "fallback"),
+        ("<p style=\"background:url('a;display:none')\">a", "a"),
+        ("<p style='background:url(a;display:none)'>a", "a"),
+        ("<p style='/* display:none */'>a", "a"),
+        ("<p style='display:none;display:block'>a", "a"),
+        ("<p style='DISPLAY : none !important;display:block'>a</p>b", "b"),
+        ("<p style='visibility:hidden;content:\"visibility:visible\"'>a</p>b", "b"),
+    ],
+)
+def test_html_comments_kept_blanks_and_styles(page, text):
+    assert html.extract(page) == text
+
+
+def loose_page(rng, depth=0, block=True):
+    """(HTML, visible words in order) of random tags of which many are not closed, with comments, tables and kept blanks."""
+    word = "".join(rng.choice("abcdefgh") for _ in range(5))
+    kind = rng.choice(["word", "word", "comment", "p", "list", "table", "pre", "object", "gone", "seen", "inline"]) if depth < 4 else "word"
+    if kind == "comment":
+        return rng.choice(["<!-->", "<!--->", "<!-- no -->", "<!-- no --!>", "<!---->", "<!no>", "<?no>"]) + word + " ", [word]
+    if kind == "word" or not block and kind in ("p", "list", "table", "pre"):
+        return word + " ", [word]
+    inside = [loose_page(rng, depth + 1, block and kind not in ("p", "inline")) for _ in range(rng.randint(1, 3))]
+    text, words = "".join(h for h, _ in inside), [w for _, ws in inside for w in ws]
+    if kind == "p":
+        return "<p>" + text, words
+    if kind == "list":
+        return "<ul>" + "".join("<li>" + h for h, _ in inside) + "</ul>", words
+    if kind == "table":  # cells of one word, so that rows read in order
+        cells = [["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(1, 3))] for _ in range(3)]
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{w}<!-- no -->" for w in row) for row in cells) + "</table>", [w for row in cells for w in row]
+    if kind == "pre":
+        return f"<pre>{rng.choice(['', chr(10), '  '])}{text}\n {word}</pre>", [*words, word]
+    if kind == "object":
+        return f"<object>{text}</object>", words
+    if kind == "gone":
+        return rng.choice(["<div hidden>", "<div style='color:red;display:none'>"]) + "no</div>" if block else "<b hidden>no</b>", []
+    if kind == "seen":
+        return f"<b style='background:url(x;display:none)'>{word}</b> ", [word]
+    return f"<em>{text}</em>", words
+
+
+def test_html_random_loose_pages_give_all_their_words():
+    rng = random.Random(5)
+    for _ in range(1500):
+        found = [loose_page(rng) for _ in range(4)]
+        page, words = "".join(h for h, _ in found), [w for _, ws in found for w in ws]
+        got = [x for x in html.extract(page).split() if x != "-"]
+        assert got == words, page
+
+
+def test_html_very_long_pages(spark):
+    n = 150_000
+    page = "<!--><pre>" + "a  b\n" * n + "</pre><p>" + "word " * n + "<table>" + "<tr><td>x<td>y" * 20_000 + "</table><p style='" + "(x" * n + "'>end"
+    p = spark.createDataFrame([(1, page), (2, page[10:])], "page_id long, html string")
+    out = {r["page_id"]: r["text"] for r in html.visible_text(p).collect()}
+    assert out[1].split() == ["a", "b"] * n + ["word"] * n + ["x", "y"] * 20_000 + ["end"]
+    assert out[2].split() == out[1].split()
+
+
 def test_long_texts_and_edited_copies_against_brute_force(spark):
     rng = random.Random(3)
     long = " ".join(str(rng.random()) for _ in range(60_000))  # over a million characters
