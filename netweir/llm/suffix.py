@@ -25,6 +25,8 @@ SPAN = LENGTH - ANCHOR + 1
 BATCH, BUCKET, CHUNK, HOT = 3 << 20, 3 << 20, 1 << 19, 1024
 #: Ranges of anchors in a bucket, which are sorted one after another; runs whose strings are marked at once.
 SLICES, RUNS = 16, 50_000
+#: Members of a group that the quicksort splits no more.
+SMALL = 512
 ODD = mix(np.arange(101, 108, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -45,16 +47,11 @@ def deep_shallow(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH, shal
     """
     padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
     word = words_at(padded, ">")
-    order = np.argsort(word[starts])
-    head = np.ones(len(starts), bool)
-    key = word[starts[order]]
-    head[1:] = key[1:] != key[:-1]
-    for d in range(8, shallow, 8):
-        live = shared(head)
-        key = word[starts[order[live]] + d]
-        if depth - d < 8:
-            key &= ~np.uint64((1 << (8 * (8 - depth + d))) - 1)
-        regroup(order, head, live, key)
+    order = np.arange(len(starts))
+    head = np.zeros(len(starts), bool)
+    head[:1] = True
+    for d in range(0, shallow, 8):
+        quicksort(word, starts, order, head, d, depth)
     blind_tries(padded, word, starts, order, head, min(depth, -(-shallow // 8) * 8), depth)
     return order, head
 
@@ -65,6 +62,44 @@ def shared(head: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~alone)
 
 
+def quicksort(word: np.ndarray, starts: np.ndarray, order: np.ndarray, head: np.ndarray, d: int, depth: int) -> None:
+    """One depth of the multikey quicksort: parts each group, of suffixes that agree in ``d`` bytes, by the eight bytes there.
+
+    A group is split in three about the median of some of its members: what is less and what is greater is split again, what
+    is equal is through with this depth and goes on to the next.  Groups of at most SMALL members are split no more, but put
+    in order by a plain sort, all of them at once.
+    """
+    live = shared(head)
+    if not len(live):
+        return
+    key = word[starts[order[live]] + d]
+    if depth - d < 8:
+        key &= ~np.uint64((1 << (8 * (8 - depth + d))) - 1)
+    first = np.flatnonzero(head[live])
+    size = np.diff(np.append(first, len(live)))
+    small = np.repeat(size <= SMALL, size)
+    todo = list(zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()))
+    while todo:
+        s, n = todo.pop()
+        if n <= SMALL:
+            small[s : s + n] = n > 1
+            continue
+        keys, at = key[s : s + n], int(live[s])
+        members = order[at : at + n]  # a group's places follow each other
+        some = np.sort(keys[:: n // 9])
+        pivot = some[len(some) // 2]
+        less, greater = keys < pivot, keys > pivot
+        equal = ~(less | greater)
+        members[:] = np.concatenate((members[less], members[equal], members[greater]))
+        keys[:] = np.concatenate((keys[less], keys[equal], keys[greater]))
+        a, b = int(np.count_nonzero(less)), n - int(np.count_nonzero(greater))
+        head[at + a] = True
+        if b < n:
+            head[at + b] = True
+        todo += [(s, a), (s + b, n - b)]
+    regroup(order, head, live[small], key[small])
+
+
 def regroup(order: np.ndarray, head: np.ndarray, live: np.ndarray, key: np.ndarray) -> None:
     """Sort the members of each live group by a key and part those that differ."""
     if not len(live):

@@ -181,7 +181,9 @@ def test_mix_does_not_drift(spark):
 
 @pytest.mark.parametrize("shallow", [8, 16, 32])
 @pytest.mark.parametrize("letters", [1, 2, 250])
-def test_deep_shallow_sorts(shallow, letters):
+@pytest.mark.parametrize("small", [9, 512, 10_000])
+def test_deep_shallow_sorts(shallow, letters, small, monkeypatch):
+    monkeypatch.setattr(suffix, "SMALL", small)
     rng = np.random.default_rng(letters)
     t = rng.integers(0, letters, 3000).astype(np.uint8)
     t[100:260] = t[2000:2160]
@@ -192,6 +194,17 @@ def test_deep_shallow_sorts(shallow, letters):
     assert keys == sorted(keys) and [bool(h) for h in head] == [k == 0 or keys[k] != keys[k - 1] for k in range(3000)]
 
 
+def test_quicksort_parts_groups_at_one_depth():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 600, 5000):
+        word = rng.integers(0, 40, n).astype(np.uint64) << np.uint64(60 if n % 2 else 3)
+        starts, order, head = rng.permutation(n), np.arange(n), np.arange(n) % max(1, n) == 0
+        suffix.quicksort(word, starts, order, head, 0, 8)
+        got = word[starts[order]]
+        assert (got == np.sort(word)).all() and sorted(order) == list(range(n))
+        assert head.tolist() == [k == 0 or bool(got[k] != got[k - 1]) for k in range(n)]
+
+
 def brute_substrings(rows, n=50):
     first = {}
     for i, t in sorted(rows):
@@ -225,6 +238,17 @@ def test_substrings_odd_rows(spark):
     assert suffix.dedup_substrings(d.limit(0)).count() == 0
 
 
+def test_substrings_of_very_long_texts(spark):
+    rng = random.Random(2)
+    long = " ".join(str(rng.random()) for _ in range(60_000))  # over a million characters
+    part = long[700_000:700_500]
+    rows = [(5, long), (2, part), (9, long), (7, "x" + long[10:]), (8, "a" * 1_000_000)]
+    out = {r["doc_id"]: r for r in suffix.dedup_substrings(docs(spark, *rows)).collect()}
+    assert bytes(out[5]["kept"]).decode() == long[:700_000] + long[700_500:] and out[5]["n_spans"] == 1
+    assert bytes(out[2]["kept"]).decode() == part and bytes(out[9]["kept"]) == b"" and bytes(out[7]["kept"]) == b"x"
+    assert out[8]["n_removed"] == 0 and out[8]["n_bytes"] == 1_000_000
+
+
 def near_corpus(rng, n=120):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     rows = []
