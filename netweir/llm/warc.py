@@ -109,6 +109,10 @@ class Output:
         self.fs.move(self.draft, self.path)
 
 
+#: A page with more copies than COPIES is dealt out over tasks; of such pages the HOT most common ones, about 6 MB of rows.
+COPIES, HOT = 1000, 100_000
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], most: int = 200) -> Iterator[tuple]:
     for b in batches:
         for i in range(0, b.num_rows, most):
@@ -119,13 +123,20 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write a record for each row into monolithic gzip archives under ``folder``; (archive, records) of each file.
 
     The payload is the page in UTF-8, null as empty.  Of rows with equal payloads that of least id is the response and the
-    others revisit it.  A null id is never the response of others; rows that repeat the least id are all responses.  The
-    files are written when this is called.
+    others revisit it.  A null id is never the response of others; rows that repeat the least id are all responses.  A
+    null url is written as the record's own id, and an empty table gives no file.  The files are written when this is called.
+
+    Pages meet their response by digest.  The pages with the most copies, HOT at most, have theirs broadcast and are dealt
+    out by their own ids and addresses, so that no task gets all copies of a very common page.
     """
     page = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).cast("binary").alias("payload"))
     page = page.withColumn("sha", F.sha1("payload"))
-    firsts = page.groupBy("sha").agg(F.min("id").alias("first"))
-    rows = page.join(firsts, "sha").select("id", "url", "payload", "first")
+    firsts = page.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    hot = firsts.filter(F.col("copies") > COPIES).orderBy(F.desc("copies"), "sha").limit(HOT).select("sha", F.struct("first").alias("common"))
+    dealt = F.concat_ws("/", F.lit("own"), "id", "url")  # no digest, so nothing is found for it below
+    page = page.join(F.broadcast(hot), "sha", "left").withColumn("sha", F.when(F.col("common").isNull(), F.col("sha")).otherwise(dealt))
+    found = F.when(F.col("common").isNull(), F.col("first")).otherwise(F.col("common.first"))
+    rows = page.join(firsts.drop("copies"), "sha", "left").select("id", "url", "payload", found.alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, z, names, counts, raw = None, None, [], [], 0
@@ -155,7 +166,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite each archive with a gzip member for each record, and its index beside it; (archive, records, bytes) of each.
 
-    The index has a line of JSON for each record: offset, length, type and id.  The files are written when this is called.
+    The index has a line of JSON for each record: offset, length, type and id.  An archive without records gets empty files, no
+    archives give no rows, and an archive that is named twice is written twice, the last one staying.  The files are written
+    when this is called.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +208,10 @@ def parsed(data: bytes) -> tuple:
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """(id, payload_bytes, payload_digest, record_type, refers_to, archive, offset[, payload]) of each record, by the index."""
+    """(id, payload_bytes, payload_digest, record_type, refers_to, archive, offset[, payload]) of each record, by the index.
+
+    A null id comes back as null, an empty payload as 0 bytes, and each archive's records as often as it is named.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (name,) in rows_of(batches):

@@ -21,7 +21,10 @@ def pages(spark, *rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, sha string, first int")
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("copies,most", [(1000, 100_000), (0, 2), (1, 100_000)])
+def test_archives_round_trip(spark, copies, most, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", copies)
+    monkeypatch.setattr(warc, "HOT", most)
     p = pages(spark, (3, "http://a/", "<p>x", "s", 1), (1, None, None, "s", 1), (2, "u v\r\n", "", "s", 1), (9, "u", "<p>x", "s", 1), (5, "u", "é" * 300000, "s", 1), (None, "u", "<p>x", "s", 1), (3, "u", "<p>x", "s", 1))
     out = {}
     for r in warc.archive_pages(p).collect():
@@ -34,6 +37,17 @@ def test_archives_round_trip(spark):
     assert warc.archive_pages(p.limit(0)).count() == 0
 
 
+def test_archives_of_a_very_common_page(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 5)
+    rows = [(i, f"http://h/{i}", "<p>same" if i % 3 else f"<p>{i // 6}", "s", 1) for i in range(5, 300)] + [(None, None, "<p>none", "s", 1)] * 9
+    out = warc.archive_pages(pages(spark, *rows)).collect()
+    least = {}
+    for i, _, t, _, _ in rows:
+        least[t] = min(least.get(t, i), i) if i is not None else None
+    want = [(i, "response" if least[t] in (None, i) else "revisit", None if least[t] in (None, i) else least[t]) for i, _, t, _, _ in rows]
+    assert sorted(map(str, ((r["page_id"], r["record_type"], r["refers_to"]) for r in out))) == sorted(map(str, want))
+
+
 def test_monolithic_archives_get_a_member_for_each_record(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"<p>{i}" * 50, "s", 1) for i in range(30)]
     written = warc.write_archives(pages(spark, *rows), f"file://{tmp_path}/raw")
