@@ -96,6 +96,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 BOUNDS = 256
 #: Ranges whose first ids are few enough for every task to have them all; beyond, rows meet them by a shuffle.
 FEW_RANGES = 100_000
+#: Ranges that are looked at together to find which follows which.
+BLOCK = 1000
 
 
 def range_bucket(value: Column, bounds: list[int], each: int) -> Column:
@@ -110,6 +112,21 @@ def range_bucket(value: Column, bounds: list[int], each: int) -> Column:
     return F.coalesce(k.cast("long") * each + part, F.lit(0)).cast("long")
 
 
+def followers(tops: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(bucket, top) from (bucket, own): the ``own`` of the next bucket below, or for the least bucket the greatest of all.
+
+    Buckets are looked at in blocks of ``block`` numbers side by side; what is carried from one block to the next is a row a
+    block.  Nulls are carried as they are.
+    """
+    tops = tops.withColumn("block", F.floor(F.col("bucket") / block))
+    w, across = Window.partitionBy("block").orderBy("bucket"), Window.orderBy("block")
+    ends = tops.groupBy("block").agg(F.max_by(F.struct("own"), "bucket").alias("last"), F.max("own").alias("most"))
+    first = F.row_number().over(across) == 1
+    carried = ends.select("block", F.when(first, F.max("most").over(Window.partitionBy())).otherwise(F.lag("last.own").over(across)).alias("carried"))
+    inside = tops.select("block", "bucket", F.lag("own").over(w).alias("below"), (F.row_number().over(w) == 1).alias("lowest"))
+    return inside.join(carried, "block").select("bucket", F.when(F.col("lowest"), F.col("carried")).otherwise(F.col("below")).alias("top"))
+
+
 def edited_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form, whose last third is the beginning of the next document's text.
 
@@ -125,10 +142,7 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = d.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.percentile_approx("id", [i / k for i in range(1, k)] or [0.5], 20 * k).alias("mid")).first()
     bounds = [] if ends["lo"] is None else sorted({ends["lo"], ends["hi"], *ends["mid"]})
     d = d.withColumn("bucket", range_bucket(F.col("id"), bounds, -(-n // k)))
-    # the row after a range's last one: the first of the next range below that has rows, or after the last range the very first
-    w = Window.orderBy("bucket")  # one row of two numbers for each range
-    tops = d.groupBy("bucket").agg(F.max("id").alias("own"))
-    after = tops.select("bucket", F.when(F.row_number().over(w) == 1, F.max("own").over(Window.partitionBy())).otherwise(F.lag("own").over(w)).alias("top"))
+    after = followers(d.groupBy("bucket").agg(F.max("id").alias("own")))
     if k * -(-n // k) <= FEW_RANGES:  # as many rows at most
         after = F.broadcast(after)
     firsts = d.drop("bucket").join(after, F.col("id").eqNullSafe(F.col("top")), "inner").groupBy("bucket").agg(F.min("text").alias("text"))

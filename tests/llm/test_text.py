@@ -117,6 +117,15 @@ def test_fingerprint_cuts_equal_a_plain_scan():
     assert fingerprint.cuts(data) == out
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_ranges_are_followed_by_the_next_below(spark, block):
+    rng = random.Random(block)
+    tops = sorted((b, None if b == 0 else b * 10 + 1) for b in {0, *(rng.randrange(60) for _ in range(25))})
+    got = {r["bucket"]: r["top"] for r in fingerprint.followers(spark.createDataFrame(tops, "bucket long, own long"), block).collect()}
+    assert got == {b: tops[k - 1][1] for k, (b, _) in enumerate(tops)}
+    assert fingerprint.followers(spark.createDataFrame([], "bucket long, own long")).count() == 0
+
+
 def test_edited_copies_follow_the_order(spark):
     rows = [(i, f"text {i} " * (i % 5)) for i in range(40)]
     out = {r["doc_id"]: r for r in fingerprint.edited_copies(docs(spark, *rows)).collect()}
