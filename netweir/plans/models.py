@@ -47,7 +47,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 9 / 9.0).alias("recall"),
         (k % 8 / 8.0).alias("precision"),
         F.array(F.lit("csv"), F.lit("pcap")).alias("compatible_input_types"),
-        F.when(k % 2 == 0, "holdout_rate_calibrated").otherwise("f1").alias("selection_policy"),
+        F.when(k % 7 < 3, "holdout_rate_calibrated").otherwise("f1").alias("selection_policy"),
     )
 
 
@@ -81,7 +81,7 @@ def legacy_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g8_threshold_provenance",
     f"""SELECT name, round(b, 6)::DOUBLE AS base_threshold, round(CASE WHEN dataset_type = 'CIC-IDS' AND algorithm = 'Random Forest' THEN greatest(b, 0.2)
         WHEN dataset_type = 'CIC-IDS' AND algorithm = 'XGBoost' THEN CASE WHEN has_hard_cases THEN greatest(b, 0.2) ELSE 0.05 END END, 6)::DOUBLE AS pcap_threshold,
-        round(CASE WHEN dataset_type = 'CIC-IDS' AND algorithm = 'Random Forest' THEN greatest(b, 0.3) WHEN dataset_type = 'CIC-IDS' AND algorithm = 'XGBoost' THEN CASE WHEN has_hard_cases THEN b ELSE least(b, 0.02) END
+        round(CASE WHEN dataset_type = 'CIC-IDS' AND algorithm = 'Random Forest' THEN greatest(b, 0.3) WHEN dataset_type = 'CIC-IDS' AND algorithm = 'XGBoost' THEN CASE WHEN CAST(saved_at AS BIGINT) % 7 < 3 THEN b ELSE least(b, 0.02) END
         WHEN dataset_type = 'NSL-KDD' THEN 0.3 WHEN dataset_type = 'UNSW-NB15' THEN b END, 6)::DOUBLE AS csv_threshold
     FROM (SELECT *, {CLAMP.format("recommended_threshold")} AS b FROM ({MANIFESTS_SQL}) WHERE recommended_threshold IS NOT NULL)""",
 )

@@ -354,10 +354,10 @@ def threat_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threats.enriched(named_labels(spark, sf_dir), "label").select("doc_id", "threat", "severity", "is_threat", "reason")
 
 
-@query("x17_display_names", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'DoS Hulk' WHEN 1 THEN 'Anomaly (not classified by this model)' WHEN 2 THEN 'Normal traffic' ELSE 'Port scan (portscan)' END AS attack_name FROM documents")
+@query("x17_display_names", "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'DoS Hulk' WHEN 1 THEN 'Anomaly (not classified by this model)' WHEN 2 THEN 'Normal traffic' WHEN 3 THEN 'Port scan (portscan)' WHEN 6 THEN 'Distributed denial of service (DDoS)' WHEN 7 THEN 'Normal traffic' ELSE 'Anomaly (kind unknown)' END AS attack_name FROM documents")
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("doc_id") % 4
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(m == 0, "DoS Hulk").when(m == 1, " Anomaly").when(m == 2, "normal.").otherwise("portscan").alias("label"))
+    labels = ("DoS Hulk", " Anomaly", "normal.", "portscan", " ", None, " DDoS", "BENIGN ")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*map(F.lit, labels)), (F.col("doc_id") % 8).cast("int")).alias("label"))
     return threats.display_name(d, "label", "Isolation Forest").select("doc_id", "attack_name")
 
 

@@ -189,13 +189,14 @@ def generic_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r17_r18_benchmark", f"""{ALERTS_SQL}, r AS (SELECT src_ip, avg(CASE WHEN attack <> 'BENIGN' THEN 1.0 ELSE 0 END) AS rate FROM alerts GROUP BY src_ip),
-    v AS (SELECT CASE WHEN src_ip LIKE '10.%' THEN CASE WHEN abs(rate - 0.6) > 0.08 THEN 'POOR' ELSE 'OK' END ELSE 'NO_TARGET' END AS verdict FROM r)
-    SELECT count(*) AS runs, count(*) FILTER (WHERE verdict = 'OK') AS ok, count(*) FILTER (WHERE verdict = 'POOR') AS poor, count(*) FILTER (WHERE verdict = 'NO_TARGET') AS no_target, 0::BIGINT AS error, 'client,server' AS families, 1::BIGINT AS algorithms FROM v""")
+    v AS (SELECT CASE WHEN src_ip LIKE '%.3' THEN 'ERROR' WHEN src_ip NOT LIKE '10.%' THEN 'NO_TARGET' WHEN abs(rate - 0.6) > 0.08 THEN 'POOR' ELSE 'OK' END AS verdict,
+        CASE WHEN src_ip LIKE '10.%' THEN 'client' ELSE 'server' END AS family, 'rules ' || right(src_ip, 1) AS algorithm FROM r)
+    SELECT count(*) AS runs, count(*) FILTER (WHERE verdict = 'OK') AS ok, count(*) FILTER (WHERE verdict = 'POOR') AS poor, count(*) FILTER (WHERE verdict = 'NO_TARGET') AS no_target, count(*) FILTER (WHERE verdict = 'ERROR') AS error, string_agg(DISTINCT family, ',' ORDER BY family) AS families, count(DISTINCT algorithm) AS algorithms FROM v""")
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = alerts(spark, sf_dir).groupBy("src_ip").agg(F.avg((F.col("attack") != "BENIGN").cast("double")).alias("rate"))
     client = F.col("src_ip").startswith("10.")
-    r = report.rate_verdicts(r, F.col("rate"), F.when(client, F.lit(0.6)), F.lit(False))
-    return report.benchmark_summary(r.withColumn("family", F.when(client, "client").otherwise("server")).withColumn("algorithm", F.lit("rules")))
+    r = report.rate_verdicts(r, F.col("rate"), F.when(client, F.lit(0.6)), F.col("src_ip").endswith(".3"))
+    return report.benchmark_summary(r.withColumn("family", F.when(client, "client").otherwise("server")).withColumn("algorithm", F.concat(F.lit("rules "), F.right("src_ip", F.lit(1)))))
 
 
 @query("x10_x14_threats", f"{ALERTS_SQL} SELECT attack, CASE attack WHEN 'DDoS' THEN 'Distributed denial of service' WHEN 'PortScan' THEN 'Port scan' WHEN 'SSH-Patator' THEN 'SSH brute force' WHEN 'DoS Hulk' THEN 'DoS Hulk' ELSE 'Normal' END AS threat, {SEVERITY_SQL} AS severity, attack <> 'BENIGN' AS is_threat, count(*) AS count FROM alerts GROUP BY attack")
