@@ -193,7 +193,11 @@ class LineIndex:
         return replace(self, refs=self._shard(refs, shards), counts=counts, filters=cut(self._made(counts)), shards=shards)
 
     def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
-        """The index over other refs; ``touched`` has (shard, k1, k2) whose holders changed.  Other shards are not looked at."""
+        """The index over other refs; ``touched`` has (shard, k1, k2) whose holders changed.
+
+        Keys are counted and filters changed in touched shards alone, but the tables of counts and filters are written anew as
+        a whole, so a change costs a pass over them.
+        """
         key = ["shard", "k1", "k2"]
         was = self.counts.join(touched, key, "left_semi")
         now = cut(self._counted(refs.join(touched, key, "left_semi")))
