@@ -4,8 +4,8 @@ An index has three tables, all cut into shards by key: ``refs`` says which docum
 exact reference count and the largest holder of each key that is in enough documents to be dropped, and ``filters`` has a
 cuckoo filter of those keys for each shard.  Inserting documents raises counts and adds fingerprints; deleting documents
 lowers counts and takes the fingerprints of keys out again, so the index is as if the documents had never been there.  A
-text's lines are dealt out to the filters of their shards; only what these do not rule out is joined with the exact counts,
-which alone decide.
+change writes the shards that it touches; the rows of others stay where they lie.  A text's lines are dealt out to the filters
+of their shards; only what these do not rule out is joined with the exact counts, which alone decide.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BLANK = " \t\n\v\f\r"
 SLOTS, MAX_KICKS = 4, 500
 #: Keys in one filter shard, and how many lines of a shard are asked together; a shard of more lines is asked in parts.
 SHARD_KEYS, PART_REFS = 1 << 14, 200_000
+#: After so many changes the tables of an index are written as one again.
+LAYERS = 16
 
 
 def line_key(line: str, least: int) -> bytes | None:
@@ -164,15 +166,33 @@ def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(b.columns[:3], ["k1", "k2", "id"]).filter(pa.array(may))
 
 
+def numbers(df: DataFrame) -> list[int]:
+    """The shards that a table has rows of, one for SHARD_KEYS keys of the index."""
+    return sorted(r["shard"] for r in df.select("shard").distinct().collect())
+
+
+def within(df: DataFrame, shards: list[int]) -> DataFrame:
+    return df.filter(F.col("shard").isin(shards))
+
+
+def without(df: DataFrame, shards: list[int]) -> DataFrame:
+    return df.filter(~F.col("shard").isin(shards))
+
+
 @dataclass(frozen=True)
 class LineIndex:
-    """An index of lines; all changes give a new index, and the tables of the old one stay as they are."""
+    """An index of lines; all changes give a new index, and the tables of the old one stay as they are.
+
+    ``keys`` is the number of counted keys, None if it is not known yet, and ``layers`` how many changes lie over the base.
+    """
 
     spark: SparkSession
     refs: DataFrame | None = None
     counts: DataFrame | None = None
     filters: DataFrame | None = None
     shards: int = 1
+    keys: int | None = None
+    layers: int = 0
     least: int = 40
     min_docs: int = 5
 
@@ -188,30 +208,36 @@ class LineIndex:
     def _fresh(self, refs: DataFrame) -> LineIndex:
         """An index of all refs, with as many shards as its keys ask for."""
         counts = cut(self._counted(self._shard(refs, 1)))
-        shards = max(1, -(-counts.count() // SHARD_KEYS))
+        keys = counts.count()
+        shards = max(1, -(-keys // SHARD_KEYS))
         counts = self._shard(counts, shards)
-        return replace(self, refs=self._shard(refs, shards), counts=counts, filters=cut(self._made(counts)), shards=shards)
+        return replace(self, refs=self._shard(refs, shards), counts=counts, filters=cut(self._made(counts)), shards=shards, keys=keys, layers=0)
 
-    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
-        """The index over other refs; ``touched`` has (shard, k1, k2) whose holders changed.
+    def _changed(self, old: DataFrame, new: DataFrame, touched: DataFrame, shards: list[int]) -> LineIndex:
+        """The index in whose ``shards`` the refs are ``old``, those that stay where they lie, and ``new``.
 
-        Keys are counted and filters changed in touched shards alone, but the tables of counts and filters are written anew as
-        a whole, so a change costs a pass over them.
+        ``touched`` has the (shard, k1, k2) whose holders changed.  Keys are counted, filters changed and both written in these
+        shards alone; the rows of others stay in the tables where they lie.  So a table is a base and a layer for each change,
+        written as one again after LAYERS changes.
         """
         key = ["shard", "k1", "k2"]
-        was = self.counts.join(touched, key, "left_semi")
-        now = cut(self._counted(refs.join(touched, key, "left_semi")))
-        counts = cut(self.counts.join(touched, key, "left_anti").unionByName(now))
-        if counts.count() > 2 * self.shards * SHARD_KEYS:
-            return self._fresh(refs.drop("shard"))
+        refs = old.unionByName(new)
+        had = within(self.counts, shards)
+        was = had.join(touched, key, "left_semi")
+        now = cut(self._counted(within(refs, shards).join(touched, key, "left_semi")))
+        counts = cut(had.join(touched, key, "left_anti").unionByName(now))
+        keys = (self.counts.count() if self.keys is None else self.keys) + counts.count() - had.count()
+        if keys > 2 * self.shards * SHARD_KEYS:
+            return self._fresh(cut(refs.drop("shard")))
         mark = lambda t, n: t.select(*key, F.lit(1).alias(n))
         changes = mark(was, "was").join(mark(now, "now"), key, "full_outer").select("shard", "k2", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"))
-        shards = touched.select("shard").distinct()
-        old = self.filters.join(shards, "shard", "left_semi")
-        new = cut(old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(grouped_tidy(changed_filter), "shard int, filter binary"))
-        again = self._made(counts.join(new.filter("filter is null"), "shard", "left_semi"))
-        filters = self.filters.join(shards, "shard", "left_anti").unionByName(new.filter("filter is not null")).unionByName(again)
-        return replace(self, refs=refs, counts=counts, filters=cut(filters))
+        asked = within(self.filters, shards).groupBy("shard").cogroup(changes.groupBy("shard"))
+        made = cut(asked.applyInArrow(grouped_tidy(changed_filter), "shard int, filter binary"))
+        again = self._made(counts.join(made.filter("filter is null"), "shard", "left_semi"))
+        filters = cut(made.filter("filter is not null").unionByName(again))
+        tables = {"refs": refs, "counts": without(self.counts, shards).unionByName(counts), "filters": without(self.filters, shards).unionByName(filters)}
+        layers = (self.layers + 1) % LAYERS
+        return replace(self, **(tables if layers else {n: cut(t) for n, t in tables.items()}), keys=keys, layers=layers)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Add documents.  Ids that are there already gain the new lines; rows without an id are not indexed."""
@@ -219,14 +245,23 @@ class LineIndex:
         new = line_refs(docs, self.least, id_col, text_col).distinct()
         if self.refs is None:
             return self._fresh(cut(new))
-        new = cut(self._shard(new).join(self.refs, ["shard", "k1", "k2", "id"], "left_anti"))
-        return self._changed(self.refs.unionByName(new), new.select("shard", "k1", "k2").distinct())
+        new = cut(self._shard(new))
+        shards = numbers(new)
+        new = cut(new.join(within(self.refs, shards), ["shard", "k1", "k2", "id"], "left_anti"))
+        shards = numbers(new)
+        return self._changed(self.refs, new, new.select("shard", "k1", "k2").distinct(), shards) if shards else self
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        """Take documents out again; ids that are not there change nothing."""
+        """Take documents out again; ids that are not there change nothing.  Refs lie by key, so all are read for their ids once."""
+        if self.refs is None:
+            return self
         gone = ids.select(ids[id_col].cast("long").alias("id")).distinct()
         touched = cut(self.refs.join(gone, "id", "left_semi").select("shard", "k1", "k2").distinct())
-        return self._changed(self.refs.join(gone, "id", "left_anti"), touched)
+        shards = numbers(touched)
+        if not shards:
+            return self
+        stay = cut(within(self.refs, shards).join(gone, "id", "left_anti"))
+        return self._changed(without(self.refs, shards), stay, touched, shards)
 
     def possible(self, refs: DataFrame) -> DataFrame:
         """The (k1, k2, id) of refs whose key their shard's filter may hold.

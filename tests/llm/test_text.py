@@ -239,6 +239,38 @@ def test_lines_can_be_taken_back(spark, tmp_path):
     assert text(linededup.LineIndex.load(spark, f"{tmp_path}/ix", back.shards), d) == brute_lines(rows)
 
 
+def test_changes_of_lines_write_touched_shards_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(linededup, "LAYERS", 3)
+    held = {i: [LINE.format(k) for k in range(i % 4, 40, 4)] for i in range(40)}
+    rows = lambda: [(i, "\n".join(x)) for i, x in held.items()]
+    text = lambda ix: {r["doc_id"]: r["text"] for r in ix.apply(docs(spark, *rows())).collect()}
+    index = linededup.LineIndex(spark).insert(docs(spark, *rows()))
+    assert index.shards == 10 and index.keys == 40 and text(index) == brute_lines(rows())
+    index.save(f"{tmp_path}/ix")
+    index = linededup.LineIndex.load(spark, f"{tmp_path}/ix", index.shards)
+    written = []
+    kept = linededup.cut
+    monkeypatch.setattr(linededup, "cut", lambda df: written.append(kept(df)) or written[-1])
+    for step in range(2):  # an insertion and a deletion, then an insertion that writes all as one
+        new = {100 + 10 * step + i: [LINE.format(step), LINE.format(900 + step)] for i in range(6)}
+        gone = {} if step % 2 else {i: held.pop(i) for i in list(held)[:3]}
+        touched = {linededup.digest(linededup.line_key(x, 40))[0] % index.shards for v in (*new.values(), *gone.values()) for x in v}
+        written.clear()
+        held.update(new)
+        index = index.insert(docs(spark, *((i, "\n".join(x)) for i, x in new.items())))
+        if gone:
+            index = index.delete(docs(spark, *((i, "") for i in gone)))
+        assert step or {r["shard"] for t in written for r in t.select("shard").collect()} <= touched
+        assert text(index) == brute_lines(rows()) and index.keys == index.counts.count()
+        assert index.insert(docs(spark, (100, LINE.format(0)))) is index and index.delete(docs(spark, (-1, ""))) is index
+    assert index.shards == 10 and index.filters.count() <= 10
+    index = index.insert(docs(spark, *((500 + i, "\n".join(LINE.format(2000 + k) for k in range(60))) for i in range(5))))
+    held.update({500 + i: [LINE.format(2000 + k) for k in range(60)] for i in range(5)})
+    assert index.shards > 10 and text(index) == brute_lines(rows())
+    assert linededup.LineIndex(spark).delete(docs(spark, (1, ""))).refs is None
+
+
 def test_lines_odd_rows(spark):
     d = docs(spark, *((1, LINE) for _ in range(9)), (None, LINE), (2, "x"))
     assert all(r["n_dropped"] == 0 for r in linededup.dedup_lines(d).collect())
