@@ -31,8 +31,8 @@ MOST_BITS, MOST_SKETCH = 16, 6
 #: Rows in which two images meet at least; two chance meetings of the same images are a thousand times as rare as one.
 VOTES = 2
 NEAR, AGREEING = 2.0, 7
-#: Rows of a key that meet all others of that key; in a key of more rows, these are what the others meet.
-LEADERS = 32
+#: Rows of a key that meet all others of that key as it passes by; the others of a larger key meet each other in blocks of CROWD rows.
+LEADERS, CROWD = 32, 2048
 #: A corner: place in the full image, scale, direction in TURNS, descriptor.
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("turn", "u1"), ("bits", "u1", BITS // 8)])
 
@@ -191,9 +191,83 @@ def paired(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, done: int) -> p
     return pa.record_batch([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))))], ["a", "b", "n"])
 
 
+class Crowds:
+    """Collects, from rows (key, id, sketch) sorted by key, those that come after the LEADERS first of their key, in blocks."""
+
+    def __init__(self):
+        self.key, self.seen = None, 0
+        self.own, self.block, self.ids, self.sketches = None, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def take(self, b: pa.RecordBatch) -> Iterator[tuple]:
+        """The blocks (key, block, ids, sketches) that are full, or whose key is through, with the rows of a batch."""
+        key, ids, sketch = (b.column(c).to_numpy() for c in range(3))
+        if not len(key):
+            return
+        at = np.arange(len(key))
+        start = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), at, 0))
+        rank = at - start + np.where((start == 0) & (key[0] == self.key), self.seen, 0)
+        self.key, self.seen = key[-1], int(rank[-1]) + 1
+        rest = np.flatnonzero(rank >= LEADERS)
+        for part in np.split(rest, np.flatnonzero(np.diff(start[rest])) + 1) if len(rest) else ():
+            if key[part[0]] != self.own:
+                yield from self.flush()
+                self.own, self.block = key[part[0]], 0
+            self.ids, self.sketches = np.concatenate((self.ids, ids[part])), np.concatenate((self.sketches, sketch[part]))
+            while len(self.ids) >= CROWD:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[tuple]:
+        if len(self.ids):
+            yield int(self.own), self.block, self.ids[:CROWD].tobytes(), self.sketches[:CROWD].tobytes()
+            self.ids, self.sketches, self.block = self.ids[CROWD:], self.sketches[CROWD:], self.block + 1
+
+
+SWEPT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("ids", pa.binary()), ("sketches", pa.binary())])
+
+
+def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What met() gives, and beside it the blocks of rows that only met their leaders there: one or the other in each row."""
+    crowds, full = Crowds(), []
+
+    def passing() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            full.extend(crowds.take(b))
+            yield b
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        for x in full:
+            yield pa.RecordBatch.from_pylist([dict(zip(SWEPT.names[3:], x))], SWEPT)
+        full.clear()
+
+    for p in met(passing()):
+        yield pa.RecordBatch.from_arrays([*p.columns, *(pa.nulls(p.num_rows, SWEPT.field(k).type) for k in range(3, 7))], schema=SWEPT)
+        yield from blocks()
+    full.extend(crowds.flush())
+    yield from blocks()
+
+
+def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n), a < b, of rows (s, t, ids, sketches, ids, sketches), two blocks of a key: all pairs of rows that differ in few bits."""
+    for batch in batches:
+        for s, t, *rows in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, sketch, others, their = (np.frombuffer(x, d) for x, d in zip(rows, (np.int64, np.uint64) * 2))
+            for k in range(0, len(ids), 128):
+                i, j = np.nonzero(np.bitwise_count(sketch[k : k + 128, None] ^ their[None]) <= MOST_SKETCH)
+                i += k
+                i, j = (i[i < j], j[i < j]) if s == t else (i, j)
+                apart = ids[i] != others[j]
+                x, y = ids[i][apart], others[j][apart]
+                if len(x):
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.ones(len(x), np.int64))], ["a", "b", "n"])
+
+
 def candidates(own: DataFrame) -> DataFrame:
     """(a, b), a < b: images of (id, corners) that meet in VOTES rows of the Hamming tables; each key's rows pass by in order, in one
-    shuffle."""
+    shuffle.
+
+    In a key of more than LEADERS rows the first ones meet all others as these pass; the others are cut into blocks, and each two
+    blocks are a row of their own, so that a key of any size is spread and none of its pairs is left out.
+    """
 
     def keyed(b: pa.RecordBatch) -> pa.RecordBatch | None:
         made = [table_keys(np.frombuffer(x, CORNER)) for x in b.column(1).to_pylist()]
@@ -203,7 +277,13 @@ def candidates(own: DataFrame) -> DataFrame:
 
     rows = map_arrow(own.select("id", "corners"), keyed, "key long, id long, sketch long", 500)
     dealt = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("id", "key"))
-    votes = dealt.mapInArrow(tidy(met), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    both = cut(dealt.mapInArrow(tidy(swept), "a long, b long, n long, key long, block int, ids binary, sketches binary"))
+    blocks = both.filter("key is not null").select("key", "block", "ids", "sketches")
+    last = blocks.groupBy("key").agg(F.max("block").alias("last"))
+    x = blocks.join(last, "key").select("key", F.col("block").alias("s"), F.explode(F.sequence("block", "last")).alias("t"), "ids", "sketches")
+    y = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("s"), F.col("block").alias("t"), F.col("ids").alias("others"), F.col("sketches").alias("their"))
+    rest = x.join(y, ["key", "s", "t"]).select("s", "t", "ids", "sketches", "others", "their").mapInArrow(tidy(crowded), "a long, b long, n long")
+    votes = both.filter("a is not null").select("a", "b", "n").unionByName(rest).groupBy("a", "b").agg(F.sum("n").alias("n"))
     return votes.filter(F.col("n") >= VOTES).select("a", "b")
 
 

@@ -106,6 +106,42 @@ def test_images_keys_of_many_rows_meet_their_leaders(each, monkeypatch):
     assert got == [(100 * k + i, 100 * k + j) for k, n in enumerate(sizes) for i in range(min(4, n)) for j in range(i + 1, n)]
 
 
+def test_images_of_crowded_keys_all_meet(spark):
+    # two corners an image, their places and nearly all of their bits alike: a few keys hold most of 300 images
+    rng, rows = np.random.default_rng(3), []
+    for k in range(300):
+        c = np.zeros(2, media.CORNER)
+        c["x"], c["y"], c["scale"], c["turn"] = (10, 30), (10, 22), 1, (3, 9)
+        bits = np.zeros((2, media.BITS), np.uint8)
+        bits[0, rng.integers(0, media.BITS, rng.integers(0, 12))] = 1
+        c["bits"] = np.packbits(bits, axis=1)
+        rows.append((k, c.tobytes()))
+    votes, sizes = {}, {}
+    for k, x in rows:
+        for key, sketch in zip(*media.table_keys(np.frombuffer(x, media.CORNER))):
+            for other, seen in sizes.setdefault(int(key), []):
+                if (int(sketch) ^ seen).bit_count() <= media.MOST_SKETCH:
+                    votes[other, k] = votes.get((other, k), 0) + 1
+            sizes[int(key)].append((k, int(sketch)))
+    want = {p for p, n in votes.items() if n >= media.VOTES}
+    got = media.candidates(spark.createDataFrame(rows, "id long, corners binary").repartition(3)).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    assert max(map(len, sizes.values())) > 2 * media.LEADERS and len(want) > 1000
+
+
+@pytest.mark.parametrize("each", [1, 7, 50, 1000])
+def test_images_beyond_the_leaders_are_cut_into_blocks(each, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(media, "LEADERS", 4)
+    monkeypatch.setattr(media, "CROWD", 8)
+    sizes = [1, 3, 5, 40, 2, 30, 5]
+    rows = [(k, 100 * k + i, i) for k, n in enumerate(sizes) for i in range(n)]
+    batches = [pa.record_batch([pa.array([r[c] for r in rows[i : i + each]], pa.int64()) for c in range(3)], ["key", "id", "sketch"]) for i in range(0, len(rows), each)]
+    got = [r for x in media.swept(iter(batches)) for r in x.to_pylist() if r["key"] is not None]
+    assert sorted((r["key"], r["block"], i) for r in got for i in np.frombuffer(r["ids"], np.int64)) == [(k, (i - 4) // 8, 100 * k + i) for k, n in enumerate(sizes) for i in range(4, n)]
+
+
 def test_images_that_repeat_an_id(spark):
     a, b = (media.pgm(media.drawn(bytes([k]))) for k in (1, 2))
     d = spark.createDataFrame([(1, a), (1, b), (2, a), (2, a), (None, a)], "media_id long, image binary")
