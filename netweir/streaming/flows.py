@@ -67,90 +67,86 @@ def closed_flows(packets: DataFrame, timeout: str = "120 seconds", delay: str =
 
 # What a running flow consists of: where its first packet came from and when, its last time, and moments of sizes and gaps.
 KINDS = ("fwd_size", "bwd_size", "size", "gap", "fwd_gap", "bwd_gap")
-PACKET = ("ts_s", "pkt_no", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "payload_len", "tcp_flags")
+KEY, FIRST = ("capture_id", "conversation"), ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
+PACKET = (*KEY, "ts_s", "pkt_no", *FIRST, "payload_len", "tcp_flags")
+#: How many groups conversations are dealt to by a hash; each keeps its waiting packets and its running flows together.
+BUCKETS = 1024
 
 
-class Moments:
-    """Number, mean, squared deviations, greatest and least of some values; two of them can be merged."""
+class Flows:
+    """Flows, each of constant size, as arrays: ``first`` (key, ends of the first packet), ``time`` (first and last), ``moments`` (of
+    each kind number, mean, squared deviations, greatest and least) and ``flags`` (counts)."""
 
-    def __init__(self, n: float = 0, mean: float = 0.0, m2: float = 0.0, most: float = -np.inf, least: float = np.inf):
-        self.n, self.mean, self.m2, self.most, self.least = n, mean, m2, most, least
+    def __init__(self, first: pd.DataFrame, time: np.ndarray, moments: np.ndarray, flags: np.ndarray):
+        self.first, self.time, self.moments, self.flags = first, time, moments, flags
 
     @classmethod
-    def of(cls, x: np.ndarray) -> Moments:
-        return cls(len(x), x.mean(), np.square(x - x.mean()).sum(), x.max(), x.min()) if len(x) else cls()
+    def none(cls) -> Flows:
+        return cls(pd.DataFrame({c: np.zeros(0, object) for c in (*KEY, *FIRST)}), np.zeros((0, 2)), np.zeros((0, len(KINDS), 5)), np.zeros((0, len(FLAGS) + 4), np.int64))
 
-    def merged(self, other: Moments) -> Moments:
-        n = self.n + other.n
-        if not n:
-            return self
-        step = other.mean - self.mean
-        return Moments(n, self.mean + step * other.n / n, self.m2 + other.m2 + step * step * self.n * other.n / n, max(self.most, other.most), min(self.least, other.least))
+    def __len__(self) -> int:
+        return len(self.first)
 
-    def numbers(self) -> list[float]:
-        return [float(x) for x in (self.n, self.mean, self.m2, self.most, self.least)]
+    def at(self, which: np.ndarray) -> Flows:
+        return Flows(self.first[which].reset_index(drop=True), self.time[which], self.moments[which], self.flags[which])
 
-    def figures(self) -> tuple[float, float, float, float]:
-        """Mean, population deviation, greatest and least; 0 where there are no values."""
-        return (self.mean, (self.m2 / self.n) ** 0.5, self.most, self.least) if self.n else (0.0, 0.0, 0.0, 0.0)
+    def and_(self, other: Flows) -> Flows:
+        if not len(self) or not len(other):
+            return self if len(self) else other
+        return Flows(pd.concat([self.first, other.first], ignore_index=True), *(np.concatenate((getattr(self, k), getattr(other, k))) for k in ("time", "moments", "flags")))
 
+    def keys(self) -> list[tuple]:
+        return list(zip(*(self.first[c] for c in KEY)))
 
-class Block:
-    """Packets of one conversation as arrays, in the order of time and number."""
-
-    def __init__(self, p: pd.DataFrame):
-        self.t, self.size = p["ts_s"].to_numpy(float), p["payload_len"].to_numpy(float)
-        self.src, self.dst, self.sport, self.dport, self.protocol = (p[c].to_numpy() for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol"))
-        self.has = np.array([[x in (flags or "") for x in FLAGS] for flags in p["tcp_flags"]], bool).reshape(-1, len(FLAGS))
-
-    def ends(self, at: int) -> list:
-        return [self.src[at], self.dst[at], int(self.sport[at]), int(self.dport[at]), int(self.protocol[at])]
-
-
-class Flow:
-    """A running flow of constant size: its first packet's ends, first and last time, moments, and counts of flags."""
-
-    def __init__(self, first: list, t0: float, t1: float, moments: dict[str, Moments], flags: np.ndarray):
-        self.first, self.t0, self.t1, self.moments, self.flags = first, t0, t1, moments, flags
+    def dump(self) -> bytes:
+        wide = {"time": self.time, "moments": self.moments.reshape(len(self), -1), "flags": self.flags}
+        return written(self.first.assign(**{k: list(v) for k, v in wide.items()}))
 
     @classmethod
-    def begun(cls, p: Block, at: int) -> Flow:
-        return cls(p.ends(at), float(p.t[at]), float(p.t[at]), {k: Moments() for k in KINDS}, np.zeros(12, np.int64))
-
-    def taken(self, p: Block, a: int, b: int) -> None:
-        """Go on with packets a to b of a block, none of which is parted from the one before by a timeout."""
-        t, size, has = p.t[a:b], p.size[a:b], p.has[a:b]
-        gap = np.maximum(np.diff(t, prepend=self.t1), 0.0)
-        fwd = (p.src[a:b] == self.first[0]) & (p.sport[a:b] == self.first[2])
-        for kind, x in zip(KINDS, (size[fwd], size[~fwd], size, gap, gap[fwd], gap[~fwd])):
-            self.moments[kind] = self.moments[kind].merged(Moments.of(x))
-        ours, theirs = has[fwd].sum(0), has[~fwd].sum(0)
-        push, urgent = list(FLAGS).index("P"), list(FLAGS).index("U")
-        self.flags += [*(ours + theirs), ours[push], theirs[push], ours[urgent], theirs[urgent]]
-        self.t1 = float(t[-1])
-
-    def dump(self) -> tuple:
-        return (*self.first, self.t0, self.t1, [x for k in KINDS for x in self.moments[k].numbers()], self.flags.tolist())
-
-    @classmethod
-    def load(cls, s) -> Flow:
-        m = list(s[7])
-        return cls(list(s[:5]), s[5], s[6], {k: Moments(*m[5 * i : 5 * i + 5]) for i, k in enumerate(KINDS)}, np.array(list(s[8]), np.int64))
-
-    def row(self, key: tuple) -> tuple:
-        m, c = self.moments, self.flags.tolist()
-        wide = [x for k in ("fwd_size", "bwd_size", "size") for x in m[k].figures()]
-        gaps = [x * US for k in ("gap", "fwd_gap", "bwd_gap") for x in m[k].figures()]
-        total = lambda k: m[k].n * m[k].mean
-        variance = m["size"].m2 / m["size"].n
-        return (*key, *self.first, pd.Timestamp(round(self.t0 * 1e6), unit="us"), self.t0, self.t1, int(m["fwd_size"].n), int(m["bwd_size"].n), round(total("fwd_size")), round(total("bwd_size")), *wide, variance, *gaps, total("fwd_gap") * US, total("bwd_gap") * US, *c)
+    def load(cls, frame: bytes) -> Flows:
+        d = read(frame)
+        time, moments, flags = (np.stack(d[k].to_list()) for k in ("time", "moments", "flags"))
+        return cls(d[[*KEY, *FIRST]], time, moments.reshape(len(d), len(KINDS), 5), flags)
+
+    def rows(self) -> pd.DataFrame:
+        """The rows of these flows, with the columns of ROW."""
+        n, mean, m2, most, least = np.moveaxis(self.moments, 2, 0)
+        some = n > 0
+        std = np.sqrt(np.divide(m2, n, out=np.zeros_like(m2), where=some))
+        figures = [np.where(some, x, 0.0) for x in (mean, std, most, least)]
+        of = lambda k, unit: [x[:, KINDS.index(k)] * unit for x in figures]
+        total = lambda k: (n * mean)[:, KINDS.index(k)]
+        count = lambda x: np.rint(x).astype(np.int64)
+        started = pd.to_datetime(count(self.time[:, 0] * 1e6), unit="us")
+        numbers = [count(n[:, 0]), count(n[:, 1]), count(total("fwd_size")), count(total("bwd_size"))]
+        sizes = [x for k in ("fwd_size", "bwd_size", "size") for x in of(k, 1)]
+        gaps = [x for k in ("gap", "fwd_gap", "bwd_gap") for x in of(k, US)]
+        columns = [*(self.first[c] for c in (*KEY, *FIRST)), started, *self.time.T, *numbers, *sizes, m2[:, 2] / n[:, 2], *gaps, total("fwd_gap") * US, total("bwd_gap") * US, *self.flags.T]
+        return pd.DataFrame(dict(zip((c.split(" ")[0] for c in ROW.split(", ")), columns)))
+
+
+def moments_of(x: np.ndarray, of: np.ndarray, flows_: int) -> np.ndarray:
+    """Of values x, sorted by their flow ``of``, the moments of each flow."""
+    n = np.bincount(of, minlength=flows_)
+    mean = np.bincount(of, x, flows_) / np.maximum(n, 1)
+    out = np.stack([n, mean, np.bincount(of, np.square(x - mean[of]), flows_), np.full(flows_, -np.inf), np.full(flows_, np.inf)], 1)
+    if len(x):
+        begin = np.flatnonzero(np.diff(of, prepend=-1))
+        out[of[begin], 3], out[of[begin], 4] = np.maximum.reduceat(x, begin), np.minimum.reduceat(x, begin)
+    return out
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The moments of the values of both."""
+    n = a[..., 0] + b[..., 0]
+    step, share = b[..., 1] - a[..., 1], b[..., 0] / np.maximum(n, 1)
+    return np.stack([n, a[..., 1] + step * share, a[..., 2] + b[..., 2] + step * step * a[..., 0] * share, np.maximum(a[..., 3], b[..., 3]), np.minimum(a[..., 4], b[..., 4])], -1)
 
 
 def _figures(*names: str) -> list[str]:
     return [f"{n} double" for name in names for n in name.split()]
 
 
-STATE = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, t0 double, t1 double, moments array<double>, flags array<long>"
 ROW = ", ".join(
     [
         "capture_id string, conversation string, src_ip string, dst_ip string, src_port int, dst_port int, _protocol int, started_at timestamp, _t0 double, _t1 double",
@@ -167,7 +163,8 @@ class FlowFold(StatefulProcessor):
     """Packets wait in a buffer until the watermark has passed them; then they go, in the order of time and number, into the running
     flow of their conversation.  So the order in which packets come, and how they are cut into frames, changes nothing.
 
-    The buffer holds the packets of one delay; a flow is some fifty numbers.
+    A key is a bucket of conversations, which go through arrays together.  The buffer holds the packets of one delay; a flow is some
+    fifty numbers.
     """
 
     def __init__(self, timeout_s: float):
@@ -175,7 +172,7 @@ class FlowFold(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState("flow", STATE)
+        self.flows = handle.getValueState("flows", "frame binary")
         self.waiting = handle.getListState("waiting", "frame binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -192,26 +189,25 @@ class FlowFold(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() / 1000
         frames = [read(x[0]) for x in self.waiting.get()] if self.waiting.exists() else []
-        flow, closed = (Flow.load(self.flow.get()) if self.flow.exists() else None), []
+        flows_, closed = (Flows.load(self.flows.get()[0]) if self.flows.exists() else Flows.none()), Flows.none()
         if frames:
-            p = pd.concat(frames, ignore_index=True).sort_values(["ts_s", "pkt_no"], ignore_index=True)
+            p = pd.concat(frames, ignore_index=True)
             ready = p["ts_s"].to_numpy(float) <= passed
-            flow, closed = folded(flow, p[ready], self.timeout_s)
+            flows_, closed = folded(flows_, p[ready], self.timeout_s)
             rest = p[~ready]
             self.waiting.clear()
             if len(rest):
                 self.waiting.appendList([(written(rest),)])
                 self.wake(float(rest["ts_s"].min()))
-        if flow is not None and flow.t1 + self.timeout_s <= passed:  # what comes now is later than the watermark
-            closed.append(flow)
-            flow = None
-        if flow is None:
-            self.flow.clear()
+        idle = flows_.time[:, 1] + self.timeout_s <= passed  # what comes now is later than the watermark
+        closed, flows_ = closed.and_(flows_.at(idle)), flows_.at(~idle)
+        if len(flows_):
+            self.flows.update((flows_.dump(),))
+            self.wake(float(flows_.time[:, 1].min()) + self.timeout_s)
         else:
-            self.flow.update(flow.dump())
-            self.wake(flow.t1 + self.timeout_s)
-        if closed:
-            yield pd.DataFrame([f.row(key) for f in closed], columns=[c.split(" ")[0] for c in ROW.split(", ")])
+            self.flows.clear()
+        if len(closed):
+            yield closed.rows()
 
     def wake(self, at: float) -> None:
         self.handle.registerTimer(int(np.ceil(at * 1000)))
@@ -232,21 +228,56 @@ def read(frame: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(frame).read_all().to_pandas()
 
 
-def folded(flow: Flow | None, p: pd.DataFrame, timeout_s: float) -> tuple[Flow | None, list[Flow]]:
-    """The running flow after packets in their order, and those that a gap of more than the timeout closed."""
-    closed: list[Flow] = []
+def folded(flows_: Flows, p: pd.DataFrame, timeout_s: float) -> tuple[Flows, Flows]:
+    """The running flows after packets, and those that a gap of more than the timeout closed.
+
+    Packets go in the order of time and number within their conversation; each flow is a stretch of them.
+    """
     if not len(p):
-        return flow, closed
-    block = Block(p)
-    before = flow.t1 if flow is not None else block.t[0]
-    cuts = np.flatnonzero(np.diff(block.t, prepend=before) > timeout_s).tolist()
-    for a, b in zip(sorted({0, *cuts}), [*(c for c in cuts if c), len(p)]):
-        if flow is None or a in cuts:
-            if flow is not None:
-                closed.append(flow)
-            flow = Flow.begun(block, a)
-        flow.taken(block, a, b)
-    return flow, closed
+        return flows_, Flows.none()
+    p = p.sort_values([*KEY, "ts_s", "pkt_no"], ignore_index=True)
+    t, size = p["ts_s"].to_numpy(float), p["payload_len"].to_numpy(float)
+    fresh = np.zeros(len(p), bool)
+    for c in KEY:
+        code = pd.factorize(p[c])[0]
+        fresh |= np.diff(code, prepend=-2) != 0
+    begin = np.flatnonzero(fresh)
+    # the running flow of each conversation, -1 for none
+    where = {k: i for i, k in enumerate(flows_.keys())}
+    own = np.array([where.get(k, -1) for k in zip(*(p[c].to_numpy()[begin] for c in KEY))])
+    before = np.concatenate((t[:1], t[:-1]))
+    before[begin] = np.where(own >= 0, flows_.time[own, 1] if len(flows_) else t[begin], t[begin])
+    parted = t - before > timeout_s
+    parted[begin] |= own < 0
+    starts = np.flatnonzero(fresh | parted)
+    of = np.cumsum(fresh | parted) - 1
+    n = len(starts)
+    goes_on = ~parted[starts]  # with the running flow
+    old = own[np.searchsorted(begin, starts, side="right") - 1]
+    first = p.loc[starts, [*KEY, *FIRST]].reset_index(drop=True)
+    if goes_on.any():
+        first.loc[goes_on, :] = flows_.first.iloc[old[goes_on]].to_numpy()
+    gap = np.where(parted, 0.0, np.maximum(t - before, 0.0))
+    fwd = (p["src_ip"].to_numpy() == first["src_ip"].to_numpy()[of]) & (p["src_port"].to_numpy() == first["src_port"].to_numpy()[of])
+    moments = np.stack([moments_of(x[m], of[m], n) for x, m in ((size, fwd), (size, ~fwd), (size, fwd | True), (gap, fwd | True), (gap, fwd), (gap, ~fwd))], 1)
+    code, texts = pd.factorize(p["tcp_flags"], use_na_sentinel=False)
+    has = np.array([[isinstance(f, str) and x in f for x in FLAGS] for f in texts], bool).reshape(-1, len(FLAGS))[code]
+    push, urgent = has[:, list(FLAGS).index("P")], has[:, list(FLAGS).index("U")]
+    flags = np.stack([np.bincount(of[m], minlength=n) for m in (*has.T, push & fwd, push & ~fwd, urgent & fwd, urgent & ~fwd)], 1)
+    last = np.append(starts[1:], len(p)) - 1
+    time = np.stack([t[starts], t[last]], 1)
+    if goes_on.any():
+        at = old[goes_on]
+        moments[goes_on], time[goes_on, 0] = merged(flows_.moments[at], moments[goes_on]), flows_.time[at, 0]
+        flags[goes_on] += flows_.flags[at]
+    now = Flows(first, time, moments, flags)
+    runs = np.append(fresh[starts[1:]], True)  # the last flow of its conversation
+    # running flows that are closed by a gap, and those of conversations without packets
+    stays = np.ones(len(flows_), bool)
+    stays[own[own >= 0]] = False
+    gone = np.zeros(len(flows_), bool)
+    gone[own[(own >= 0) & parted[begin]]] = True
+    return flows_.at(stays).and_(now.at(runs)), flows_.at(gone).and_(now.at(~runs))
 
 
 def exact_flows(packets: DataFrame, timeout_s: float = 120.0, delay: str = "60 seconds") -> DataFrame:
@@ -255,7 +286,8 @@ def exact_flows(packets: DataFrame, timeout_s: float = 120.0, delay: str = "60 s
     Packets are ordered by time, then number.  Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
     """
     p = conversation(packets).withWatermark("ts", delay)
-    out = p.groupBy("capture_id", "conversation").transformWithStateInPandas(FlowFold(timeout_s), ROW, "Append", "EventTime")
+    p = p.withColumn("_bucket", F.pmod(F.xxhash64("capture_id", "conversation"), F.lit(BUCKETS)))
+    out = p.groupBy("_bucket").transformWithStateInPandas(FlowFold(timeout_s), ROW, "Append", "EventTime")
     return completed(out.withColumn("_s", F.struct("src_ip", "dst_ip", "src_port", "dst_port")).drop("src_ip", "dst_ip", "src_port", "dst_port"))
 
 

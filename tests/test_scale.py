@@ -190,3 +190,31 @@ def test_splits_that_begin_amid_a_record_are_walked_again(spark, tmp_path, monke
     (tmp_path / "n.pcap").write_bytes(data)
     rows = lambda *a: [tuple(r) for r in capture.read(spark, [f"{tmp_path}/n.pcap"], *a).orderBy("pkt_no").collect()]
     assert len(rows()) == 40 and rows(500) == rows()
+
+
+def test_conversations_of_a_bucket_are_folded_together_and_in_parts():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    n = 400
+    c, flip = rng.integers(0, 9, n), rng.random(n) < 0.4
+    ends = [np.where(flip, x, y) for x, y in ((np.char.add("s", c.astype(str)), "d"), ("d", np.char.add("s", c.astype(str))))]
+    t = np.cumsum(rng.choice([0.0, 1.0, 4.0, 40.0], n))
+    p = pd.DataFrame({"capture_id": "c", "conversation": c.astype(str), "ts_s": t, "pkt_no": np.arange(n), "src_ip": ends[0], "dst_ip": ends[1], "src_port": np.where(flip, 7, 80), "dst_port": np.where(flip, 80, 7), "protocol": 6, "payload_len": rng.integers(0, 900, n), "tcp_flags": rng.choice(["", "S", "PA", None], n)})
+    want = []
+    for _, g in p.groupby("conversation"):  # flow by flow
+        for _, f in g.groupby((g["ts_s"].diff() > 120).cumsum()):
+            fwd = (f["src_ip"] == f["src_ip"].iloc[0]).to_numpy()
+            size, gap = f["payload_len"].to_numpy(float), np.diff(f["ts_s"], prepend=f["ts_s"].iloc[0])
+            want.append((f["conversation"].iloc[0], f["src_ip"].iloc[0], fwd.sum(), (~fwd).sum(), size.std(), gap.mean() * 1e6, gap[fwd].max() * 1e6, gap[~fwd].sum() * 1e6, sum("P" in (x or "") for x in f["tcp_flags"])))
+    columns = ["conversation", "src_ip", "total_fwd_packets", "total_backward_packets", "packet_length_std", "flow_iat_mean", "fwd_iat_max", "bwd_iat_total", "psh_flag_count"]
+    for parts in (1, 2, 17):
+        now, closed = streams.Flows.none(), []
+        for part in np.array_split(np.arange(n), parts):
+            now, done = streams.folded(now, p.iloc[part].sample(frac=1, random_state=1), 120.0)
+            now = streams.Flows.load(now.dump())
+            closed += [x.rows() for x in (done,) if len(x)]
+        got = pd.concat([*closed, now.rows()])[columns].itertuples(index=False)
+        key = lambda r: (r[0], *(round(float(x), 4) for x in r[2:]), r[1])
+        x, y = sorted(map(key, got)), sorted(map(key, want))
+        assert [(r[0], r[-1]) for r in x] == [(r[0], r[-1]) for r in y] and np.allclose([r[1:-1] for r in x], [r[1:-1] for r in y])
