@@ -25,7 +25,7 @@ def gathered(df) -> list[str]:
     return [y for x, y in zip(lines, lines[1:]) if re.search(r"Exchange hashpartitioning\((label|_class)#\d+L?, \d+\)", x) and "Aggregate" not in y]
 
 
-@pytest.mark.parametrize("of", [lambda d: sampling.sample_by(d, "label", 40, ["id"])])
+@pytest.mark.parametrize("of", [lambda d: sampling.sample_by(d, "label", 40, ["id"]), lambda d: sampling.frequent_classes(d, "label"), lambda d: models.weighted(d, "label")])
 def test_classes_are_not_gathered(rows, of):
     assert not gathered(of(rows))
 
