@@ -36,3 +36,14 @@ def test_a_sample_by_class_has_each_class_in_proportion_and_in_order(rows):
     order = [(r["id"], r["label"]) for r in rows.orderBy(F.md5(F.concat(F.lit("42:"), F.col("id").cast("string")).cast("binary"))).collect()]
     want = {i: c for c in "ab" for i, x in [(i, x) for i, x in order if x == c][: sizes[c]]}
     assert got == want
+
+
+def test_more_rows_are_numbered_in_more_tasks(rows, monkeypatch):
+    monkeypatch.setattr(sampling, "ROWS", 20, raising=False)
+    n = sampling.numbered_by(rows, ["label"], ["id"], 42, "at")
+    sizes = n.rdd.glom().map(len).collect()
+    assert len(sizes) == 20 and max(sizes) <= 50
+    order = rows.orderBy(F.md5(F.concat(F.lit("42:"), F.col("id").cast("string")).cast("binary"))).collect()
+    classes = [[r["id"] for r in order if r["label"] == c] for c in ("a", "b", None)]
+    want = {i: (k, len(ids)) for ids in classes for k, i in enumerate(ids, 1)}
+    assert {r["id"]: (r["at"], r["_size"]) for r in n.collect()} == want
