@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expressions import ordered
 from .features import FeatureState, transform
 from .features import fit as fit_features
 from .quantiles import quantiles
-from .sampling import split
+from .sampling import split, uniform
 from .thresholds import calibrated
 
 NODE = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
@@ -104,18 +106,15 @@ def fit(df: DataFrame, features: list[str], key: list[str], trees: int = 300, sa
     size = min(samples, n)
     if size < 2:
         raise ValueError("an Isolation Forest needs two rows at least")
-    pool = df.select(*features, ordered(seed, *map(F.col, key)).alias("_o"))
+    order = ordered(seed, *map(F.col, key)).alias("_o")
     if n >= trees * size:
-        from pyspark.sql.window import Window
-
-        top = pool.orderBy("_o").limit(trees * size)
+        top = uniform(df, trees * size, key, seed).select(*features, order)
         dealt = top.withColumn("tree", (F.row_number().over(Window.orderBy("_o")) - 1) % trees)  # trees * samples rows
-    else:  # each tree draws its own rows by the order of another hash
-        from pyspark.sql.window import Window
-
-        each = pool.crossJoin(F.broadcast(df.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))))
+    else:  # each tree draws its own rows by the order of another hash; features meet the drawn rows only
+        pool = df.select(*features, order).withColumn("_d", F.row_number().over(Window.partitionBy("_o").orderBy("_o")))
+        each = pool.select("_o", "_d").crossJoin(F.broadcast(df.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))))
         each = each.withColumn("_p", F.row_number().over(Window.partitionBy("tree").orderBy(F.md5(F.concat("tree", F.lit(":"), "_o").cast("binary")))))
-        dealt = each.filter(F.col("_p") <= size)
+        dealt = each.filter(F.col("_p") <= size).join(pool, ["_o", "_d"])
 
     def build(g: pd.DataFrame) -> pd.DataFrame:
         t = int(g["tree"].iloc[0])
@@ -171,17 +170,24 @@ def train(df: DataFrame, label: str, features: list[str], key: list[str], test:
     d = df.withColumn("_y", F.when(is_benign(F.col(label)), 0).otherwise(1))
     if (n := d.filter("_y = 0").count()) < least:
         raise ValueError(f"too little normal traffic: {n} benign rows, {least} are needed")
-    d = split(d, "_y", test, key)
-    benign = d.filter("not is_test and _y = 0")
-    if (n := benign.count()) < least:
-        raise ValueError(f"too little normal traffic after the split: {n} benign rows, {least} are needed")
-    state = fit_features(benign, features, [], approx=True)  # sketches: all columns in two passes
-    forest = fit(transform(benign, state, "robust"), features, key, **given)
-    made = Detector(state, forest, {})
-    held = d.filter("is_test").select(*features, "_y")
-    if references is not None:
-        held = held.unionByName(references.select(*features, F.when(is_benign(F.col(label)), 0).otherwise(1).alias("_y")))
-    made.calibration = calibrated(made.score(held).select(F.col("_y").alias("label"), F.col("decision").alias("score")), target_fp)
+    d = split(d.select(*dict.fromkeys([*key, *features]), "_y"), "_y", test, key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        benign = d.filter("not is_test and _y = 0")
+        if (n := benign.count()) < least:
+            raise ValueError(f"too little normal traffic after the split: {n} benign rows, {least} are needed")
+        state = fit_features(benign, features, [], approx=True)  # sketches: all columns in two passes
+        forest = fit(transform(benign, state, "robust"), features, key, **given)
+        made = Detector(state, forest, {})
+        held = d.filter("is_test").select(*features, "_y")
+        if references is not None:
+            held = held.unionByName(references.select(*features, F.when(is_benign(F.col(label)), 0).otherwise(1).alias("_y")))
+        scored = made.score(held).select(F.col("_y").alias("label"), F.col("decision").alias("score")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            made.calibration = calibrated(scored, target_fp)
+        finally:
+            scored.unpersist()
+    finally:
+        d.unpersist()
     return made
 
 

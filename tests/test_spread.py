@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from netweir.operators import models, sampling
+from netweir.operators import iforest, models, sampling
 
 
 @pytest.fixture()
@@ -47,3 +47,27 @@ def test_more_rows_are_numbered_in_more_tasks(rows, monkeypatch):
     classes = [[r["id"] for r in order if r["label"] == c] for c in ("a", "b", None)]
     want = {i: (k, len(ids)) for ids in classes for k, i in enumerate(ids, 1)}
     assert {r["id"]: (r["at"], r["_size"]) for r in n.collect()} == want
+
+
+def test_a_detector_reads_its_rows_once(spark):
+    def counted(df):
+        seen = spark.sparkContext.accumulator(0)
+
+        @F.udf("double")
+        def read(x):
+            seen.add(1)
+            return x
+
+        return df.select("id", F.when(F.col("id") % 10 == 0, "DoS").otherwise("BENIGN").alias("label"), read(F.col("id") * 7919 % 1000 + 0.0).alias("a")), seen
+
+    (d, rows), (more, extra) = counted(spark.range(0, 400, 1, 4)), counted(spark.range(400, 440, 1, 1))
+    iforest.train(d, "label", ["a"], ["id"], references=more, trees=5, samples=16)
+    assert (rows.value, extra.value) == (400, 40)
+
+
+@pytest.mark.parametrize("samples", [16, 256])
+def test_each_tree_has_its_rows(spark, samples):
+    d = spark.range(0, 400, 1, 4).select("id", F.col("id").cast("double").alias("a"))
+    d = d.unionByName(d.limit(3))
+    nodes = iforest.fit(d, ["a"], ["id"], trees=5, samples=samples).nodes
+    assert [int(n["size"]) for n in nodes if n["node"] == 0] == [samples] * 5
