@@ -77,6 +77,14 @@ def test_the_grid_takes_the_best_parameters(spark, rows):
     assert (best, f1, k) == ({"right": True, "other": 1}, 1.0, 3)
 
 
+def test_no_vectors_are_kept(spark, rows, monkeypatch):
+    """A cached batch of vectors is one large array, which fills heap that Spark does not count."""
+    kept, persist = [], type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda d, *level: kept.append(d.schema) or persist(d, *level))
+    models.train(rows, "label", ["a", "b"], ["c"], ["id"], "XGBoost", grid={"depth": [1, 2]}, rounds=2, rate=0.3)
+    assert len(kept) > 3 and not [f for s in kept for f in s if f.dataType.typeName() == "vectorudt"]
+
+
 @pytest.mark.parametrize("algorithm, given", [("Random Forest", {"numTrees": 8, "maxDepth": 6}), ("XGBoost", {"rounds": 4, "depth": 3, "rate": 0.3})])
 def test_life_cycle_of_a_supervised_model(spark, rows, tmp_path, algorithm, given):
     t = models.train(rows, "label", ["a", "b"], ["c"], ["id"], algorithm, test=0.25, **given)
